@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_automaton import op10_bpe_codec
 from .packing import op2_packing
 from .prefix_tokens import op7_token_counts
+from .quality_fm import op1_quality_fm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_fm": op1_quality_fm,
         "op2_packing": op2_packing,
         "op7_token_counts": op7_token_counts,
         "op10_bpe_codec": op10_bpe_codec,
