@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_automaton import op10_bpe_codec
+from .embed_int8 import OP8_SQL, op8_embedding_dedup
 from .packing import op2_packing
 from .prefix_tokens import op7_token_counts
 from .quality_fm import op1_quality_fm
@@ -17,9 +18,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_fm": op1_quality_fm,
         "op2_packing": op2_packing,
         "op7_token_counts": op7_token_counts,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op10_bpe_codec": op10_bpe_codec,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_embedding_dedup": OP8_SQL,
+    }
