@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bagminhash import op3_bagminhash
 from .bpe_automaton import op10_bpe_codec
 from .embed_int8 import OP8_SQL, op8_embedding_dedup
 from .packing import op2_packing
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_fm": op1_quality_fm,
         "op2_packing": op2_packing,
+        "op3_bagminhash": op3_bagminhash,
         "op7_token_counts": op7_token_counts,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op10_bpe_codec": op10_bpe_codec,
