@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bagminhash import op3_bagminhash
 from .bpe_automaton import op10_bpe_codec
 from .embed_int8 import OP8_SQL, op8_embedding_dedup
+from .line_spread import OP5_SQL, op5_line_spread
 from .packing import op2_packing
 from .prefix_tokens import op7_token_counts
 from .quality_fm import op1_quality_fm
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_fm": op1_quality_fm,
         "op2_packing": op2_packing,
         "op3_bagminhash": op3_bagminhash,
+        "op5_line_spread": op5_line_spread,
         "op7_token_counts": op7_token_counts,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op10_bpe_codec": op10_bpe_codec,
@@ -27,5 +29,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_line_spread": OP5_SQL,
         "op8_embedding_dedup": OP8_SQL,
     }
