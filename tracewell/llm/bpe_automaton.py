@@ -139,7 +139,10 @@ class WordBpe:
         self.longest = max(map(len, self.final))
         self.library = Tokenizer.from_file(path)  # its normaliser and splitter; the merging is the automaton's
         self.splits = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.word_ids = ChunkCache(lambda words: [self.automaton.spell(w, self.inner, self.final, self.longest) for w in words], 50_000)
+        self.word_ids = ChunkCache(lambda words: [self.automaton.spell(w, self.inner, self.final, self.longest) for w in words], 300_000)
+        # Chunks of plain Latin-1 letters and a tail of plain punctuation need no library: lower case, two words.
+        self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)").fullmatch
+        self.symbols = {i: self.library.pre_tokenizer.pre_tokenize_str(chr(i))[0][0] for i in (*range(0xDF, 0xF7), *range(0xF8, 0x100))}
         self.chunks = re.compile(f"[^{WHITE}]+").findall
         self.cache = ChunkCache(lambda chunks: [self.written(c) for c in chunks], 250_000)
 
@@ -148,6 +151,11 @@ class WordBpe:
         for part in self.splits.split(chunk) if self.splits and "<|" in chunk else [chunk]:
             if part in self.special:
                 out.append(self.special[part])
+            elif part and (m := self.plain(part)):
+                letters, tail = m.groups()
+                words = [w for w in (letters.lower().translate(self.symbols), tail) if w]
+                for ids in self.word_ids.get(words):
+                    out += ids
             elif part:
                 words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
                 for ids in self.word_ids.get([w for w, _ in words]):
