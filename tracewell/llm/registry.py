@@ -11,6 +11,7 @@ from .bpe_automaton import op10_bpe_codec
 from .embed_int8 import OP8_SQL, op8_embedding_dedup
 from .line_spread import OP5_SQL, op5_line_spread
 from .packing import op2_packing
+from .pii_boost import op9_pii
 from .prefix_tokens import op7_token_counts
 from .quality_fm import op1_quality_fm
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_spread": op5_line_spread,
         "op7_token_counts": op7_token_counts,
         "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_pii": op9_pii,
         "op10_bpe_codec": op10_bpe_codec,
     }
 
