@@ -181,12 +181,9 @@ def _residual(floor: float, reach: float):
     return run
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of df: doc_id, class_id (smallest id of its class), n_linked (texts it was found near to), kept.
-
-    kept is true for one id of each class, the smallest (and the smallest text id, if texts share it); rows that repeat
-    both the id and the text are kept alike.
-    """
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(node, component, n_linked) of the texts that are near to another, and (class, class_id, kept_node) of every class
+    of texts with a word; a text near to no other is the class of its own node."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("node", text_id(F.col("text")))
     sig = materialise(docs.select("node", "text").where("text is not null").mapInArrow(_signatures, "node long, bands array<long>, prints binary"), "signatures")
     keyed = sig.select("node", F.explode("bands").alias("band"))
@@ -225,15 +222,36 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     degree = all_links.select(F.col("a").alias("node")).union(all_links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_linked"))
     placed = materialise(found.join(degree, "node"), "classes")
 
-    # every row: texts without a word stay alone
-    rows = docs.withColumn("worded", F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))).drop("text")
-    rows = rows.withColumn("node", F.when(F.col("worded"), F.col("node"))).drop("worded")
+    rows = docs.where(_worded("text")).select("doc_id", "node").join(placed, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    smallest = rows.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("least")).select("class", F.col("least.doc_id").alias("class_id"), F.col("least.node").alias("kept_node"))
+    return placed, materialise(smallest, "smallest")
+
+
+def _worded(text: str):
+    return F.coalesce(F.col(text).rlike(r"[\p{L}\p{N}]"), F.lit(False))
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of df: doc_id, class_id (smallest id of its class), n_linked (texts it was found near to), kept.
+
+    kept is true for one id of each class, the smallest (and the smallest text id, if texts share it); rows that repeat
+    both the id and the text are kept alike.
+    """
+    placed, smallest = classes(df, doc_id, text, threshold)
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(_worded(text), text_id(F.col(text))).alias("node"))
     rows = rows.join(placed, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    smallest = materialise(rows.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("least")).select("class", F.col("least.doc_id").alias("class_id"), F.col("least.node").alias("kept_node")), "smallest")
     out = rows.join(smallest, "class", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), F.when(F.col("class").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("kept_node"))).alias("kept"))
 
 
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df with one document of each class, the one of the smallest id, once; texts without a word all stay."""
+    _, smallest = classes(df, doc_id, text, threshold)
+    worded = df.where(_worded(text)).withColumn("__node", text_id(F.col(text)))
+    kept = worded.join(smallest.select(F.col("class_id").alias("__id"), F.col("kept_node").alias("__kept")), (F.col("__node") == F.col("__kept")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates([doc_id, "__node"]).drop("__node").unionByName(df.where(~_worded(text)))
+
+
 def op3_bagminhash(spark, sf_dir: str) -> DataFrame:
     """One row per document of the whole table with its near-duplicate class."""
     from .common import read

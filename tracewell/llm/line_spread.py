@@ -15,7 +15,8 @@ is left as it is, for near-duplicate removal to decide on.
 
 Edge cases: a null text stays null and counts no line; empty and blank lines are never boilerplate; a null source is
 no site; texts of any length are cut at every line feed; repeated rows give repeated rows; an empty table gives an
-empty table; other columns are carried.  Columns named like the results are an error of the caller.
+empty table; other columns are carried
+whatever their names (those of the results are parameters; names that begin with two underscores are reserved).
 """
 
 from __future__ import annotations
@@ -53,18 +54,18 @@ def boilerplate(df: DataFrame, text: str = "text", site: str = "source", min_sit
     return materialise(sure.union(exact), "boilerplate")
 
 
-def remove_boilerplate(df: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """df with boilerplate lines taken out of the text, and n_removed, the number of lines taken out."""
+def remove_boilerplate(df: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, out: str = "n_removed") -> DataFrame:
+    """df with boilerplate lines taken out of the text, and `out`, the number of lines taken out."""
     flagged = boilerplate(df, text, site, min_sites)
     key = (F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2"))
     hits = _lines(df, text, *key).join(flagged, ["h1", "h2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("pos").alias("gone"))
     hits = materialise(hits, "hits")
-    out = df.withColumn("__t1", key[0]).withColumn("__t2", key[1]).join(hits.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), "gone"), ["__t1", "__t2"], "left")
+    found = df.withColumn("__t1", key[0]).withColumn("__t2", key[1]).join(hits.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("gone").alias("__gone")), ["__t1", "__t2"], "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    out = out.withColumn("__cleaned", F.when(F.col("gone").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    found = found.withColumn("__cleaned", F.when(F.col("__gone").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")))
     taken = F.coalesce(2 * F.length("__cleaned") >= F.length(text), F.lit(False))
-    return out.select(*[(F.when(taken, F.col("__cleaned")).otherwise(F.col(c)).alias(c) if c == text else F.col(c)) for c in df.columns], F.when(taken, F.size("gone")).otherwise(0).cast("long").alias("n_removed"))
+    return found.select(*[(F.when(taken, F.col("__cleaned")).otherwise(F.col(c)).alias(c) if c == text else F.col(c)) for c in df.columns], F.when(taken, F.size("__gone")).otherwise(0).cast("long").alias(out))
 
 
 def op5_line_spread(spark, sf_dir: str) -> DataFrame:

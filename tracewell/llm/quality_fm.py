@@ -134,11 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Factorisation
     return FactorisationMachine().fit(got, np.array([float(r["quality"] > 0) for r in rows]))
 
 
-def score(docs: DataFrame, machine: FactorisationMachine, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """docs with quality_score (0 to 1) and quality_pred (1 if the score reaches the threshold)."""
+def score(docs: DataFrame, machine: FactorisationMachine, threshold: float = 0.3, text: str = "text", out: tuple[str, str] = ("quality_score", "quality_pred")) -> DataFrame:
+    """docs with a score (0 to 1) and a prediction (1 if the score reaches the threshold), named by `out`."""
     model = (machine.w0, machine.w.astype(np.float32), machine.v.astype(np.float32))
     at = docs.columns.index(text)
-    schema = docs.select("*", F.lit(0.0).alias("quality_score"), F.lit(0).alias("quality_pred")).schema
+    schema = docs.select("*", F.lit(0.0).alias(out[0]), F.lit(0).alias(out[1])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = FactorisationMachine()
