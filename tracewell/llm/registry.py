@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bagminhash import op3_bagminhash
+from .bm25_wand import OP4_SQL, op4_bm25_topk
 from .bpe_automaton import op10_bpe_codec
 from .embed_int8 import OP8_SQL, op8_embedding_dedup
 from .line_spread import OP5_SQL, op5_line_spread
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_fm": op1_quality_fm,
         "op2_packing": op2_packing,
         "op3_bagminhash": op3_bagminhash,
+        "op4_bm25_topk": op4_bm25_topk,
         "op5_line_spread": op5_line_spread,
         "op7_token_counts": op7_token_counts,
         "op8_embedding_dedup": op8_embedding_dedup,
@@ -31,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_bm25_topk": OP4_SQL,
         "op5_line_spread": OP5_SQL,
         "op8_embedding_dedup": OP8_SQL,
     }
