@@ -1,11 +1,13 @@
 """Exact BM25 top-k search with block-max dynamic pruning, per shard, merged exactly (operator 4).
 
-Documents are dealt into shards of about SHARD rows by a hash of their id.  A shard builds an inverted index: postings by
-term, cut at blocks of BLOCK consecutive documents, with the largest impact of every block.  A query's bound for a
-block is the sum of its terms' block maxima; blocks are evaluated in falling order of bound, and as soon as the bound
-falls below the k-th best score so far nothing that is left can enter the top k (block-max WAND with the pivot moved
-a block at a time).  Document frequencies, the number of documents and their mean length are those of the whole table,
-so scores of different shards compare and the merge of the shards' top k is the exact top k.
+Documents are dealt into shards of about SHARD rows by a hash of their id.  A shard builds an inverted index.  The
+postings of a query's rare terms are added up first; frequent terms stand in a matrix, cut at blocks of BLOCK
+documents, with the largest impact of each term in each block.  A query's bound for a block is the largest sum of rare
+terms in it plus its frequent terms' block maxima; a block is evaluated for a query only if the bound reaches the
+query's floor, the k-th best score of the documents that share most of its rare terms, so nothing that could enter the
+top k is passed over (block-max WAND, with the pivot moved a block at a time and many queries sharing a pass).
+Document frequencies, the number of documents and their mean length are those of the whole table, so scores of
+different shards compare, and the merge of the shards' top k is the exact top k.
 
 Queries are dealt into blocks of QUERIES and meet each shard once a block: a task holds one shard and one block.
 Terms are 64-bit hashes.  Scores are rounded to six places before they are ranked; ties go to the smaller id.
@@ -33,7 +35,7 @@ from .chunkcache import ChunkCache
 from .common import materialise, text_id
 
 K1, B = 1.5, 0.75
-SHARD, BLOCK, QUERIES = 10_000, 64, 32_768
+SHARD, BLOCK, QUERIES, DENSE = 10_000, 256, 32_768, 32
 _WORD = re.compile(r"[^\W_]+").findall
 
 
@@ -59,58 +61,73 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class ShardIndex:
+    """Postings of a shard by term.  Terms in at least one document of DENSE also stand in a matrix, by document."""
+
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, impacts: np.ndarray):
         """ids: of the documents; sizes: distinct terms of each; terms, impacts: theirs, one after the other."""
         self.ids, n = ids, len(ids)
         doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        order = np.lexsort((doc, terms))
+        order = np.argsort(terms, kind="stable")
         self.doc, self.impact, terms = doc[order], impacts[order], terms[order]
-        block = self.doc // BLOCK
-        edge = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])) if len(terms) else np.empty(0, np.int64)
-        self.start = edge
-        self.size = np.diff(np.append(edge, len(terms)))
-        self.block = block[edge]
-        self.top = np.maximum.reduceat(self.impact, edge) if len(edge) else np.empty(0)
-        owner = terms[edge]
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
-        self.terms, self.first, self.last = owner[first], first, np.append(first[1:], len(owner))
-        self.blocks = -(-n // BLOCK)
+        self.start = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.empty(0, np.int64)
+        self.size = np.diff(np.append(self.start, len(terms)))
+        self.terms = terms[self.start]
+        dense = np.flatnonzero(self.size * DENSE >= n)
+        self.column = np.full(len(self.terms), -1)
+        self.column[dense] = np.arange(len(dense))
+        self.matrix = np.zeros((n, len(dense)))
+        for c, t in enumerate(dense):
+            part = slice(self.start[t], self.start[t] + self.size[t])
+            self.matrix[self.doc[part], c] = self.impact[part]
+        self.edges = np.arange(0, n, BLOCK)
+        self.top = np.maximum.reduceat(self.matrix, self.edges, 0) if n else self.matrix  # block maxima
 
     @staticmethod
     def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
         ends = np.cumsum(size)
         return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, step: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
-        """ids and rounded scores of the best k by (score, smaller id), and how many blocks were evaluated."""
-        at = np.searchsorted(self.terms, terms)
-        has = at < len(self.terms)
-        has[has] = self.terms[at[has]] == terms[has]
-        at, weights = at[has], weights[has]
-        count = self.last[at] - self.first[at]
-        parts = self._ranges(self.first[at], count)  # of every term, its blocks
-        weight, block = np.repeat(weights, count), self.block[parts]
-        bound = np.bincount(block, weight * self.top[parts], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        place = np.full(self.blocks, len(order))
-        place[order] = np.arange(len(order))
-        turn = place[block] // step
-        scores, floor, seen = np.zeros(len(self.ids)), 0.0, 0
-        for batch in range(-(-len(order) // step)):
-            if bound[order[batch * step]] * (1 + 1e-12) < floor - 1e-6:
-                break
-            use = np.flatnonzero(turn == batch)
-            which, size = parts[use], self.size[parts[use]]
-            posts = self._ranges(self.start[which], size)
-            scores += np.bincount(self.doc[posts], self.impact[posts] * np.repeat(weight[use], size), len(self.ids))
-            seen += min(step, len(order) - batch * step)
-            if np.count_nonzero(scores) >= k:
-                floor = np.partition(scores, -k)[-k]
-        found = np.flatnonzero(scores > max(floor - 1e-6, 0))
-        rounded = np.round(scores[found], 6)
-        best = found[np.lexsort((self.ids[found], -rounded))[:k]]
-        return self.ids[best], np.round(scores[best], 6), seen
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """For each query (terms, weights), ids and rounded scores of the best k by (score, smaller id); and how many
+        (block, query) pairs were evaluated."""
+        n, q = len(self.ids), len(queries)
+        dense, scores = np.zeros((self.matrix.shape[1], q)), np.zeros((n, q))
+        for i, (terms, weights) in enumerate(queries):
+            at = np.searchsorted(self.terms, terms)
+            has = at < len(self.terms)
+            has[has] = self.terms[at[has]] == terms[has]
+            at, weights = at[has], weights[has]
+            column = self.column[at]
+            dense[column[column >= 0], i] = weights[column >= 0]
+            rare, weights = at[column < 0], weights[column < 0]
+            size = self.size[rare]
+            posts = self._ranges(self.start[rare], size)
+            scores[:, i] = np.bincount(self.doc[posts], self.impact[posts] * np.repeat(weights, size), n)
+        # the k-th best of the documents that share most rare terms is a first floor
+        floor, few = np.zeros(q), min(n, 4 * k)
+        for i in range(q):
+            best = np.argpartition(scores[:, i], n - few)[n - few :]
+            floor[i] = np.sort(scores[best, i] + self.matrix[best] @ dense[:, i])[-k] if few >= k else 0
+        bound = self.top @ dense + np.maximum.reduceat(scores, self.edges, 0)
+        seen = 0
+        for block in np.argsort(-bound.max(1), kind="stable"):
+            active = np.flatnonzero((bound[block] > 0) & (bound[block] * (1 + 1e-12) >= floor - 1e-6))
+            rows = slice(self.edges[block], min(self.edges[block] + BLOCK, n))
+            skipped = np.ones(q, bool)
+            skipped[active] = False
+            scores[rows, skipped] = 0
+            if len(active):
+                scores[rows, active] += self.matrix[rows] @ dense[:, active]
+                seen += len(active)
+        out = []
+        for i in range(q):
+            column = scores[:, i]
+            least = np.partition(column, n - k)[n - k] if n > k else 0.0
+            found = np.flatnonzero(column > max(least - 1e-6, 0))
+            rounded = np.round(column[found], 6)
+            best = found[np.lexsort((self.ids[found], -rounded))[:k]]
+            out.append((self.ids[best], np.round(column[best], 6)))
+        return out, seen
 
 
 def _search(k: int):
@@ -122,10 +139,11 @@ def _search(k: int):
             qt, qw = queries.column("terms").combine_chunks(), queries.column("weights").combine_chunks()
             ends, all_t, all_w = qt.offsets.to_numpy(), qt.flatten().to_numpy(), qw.flatten().to_numpy()
             ends = ends - ends[0]
-            for i, (q, t) in enumerate(zip(queries.column("query_id").to_pylist(), queries.column("tid").to_pylist())):
-                part = slice(ends[i], ends[i + 1])
-                ids, scores, _ = index.search(all_t[part], all_w[part], k)
-                out += [(q, t, int(d), float(s)) for d, s in zip(ids, scores)]
+            names = list(zip(queries.column("query_id").to_pylist(), queries.column("tid").to_pylist()))
+            for at in range(0, len(names), 32):
+                some = range(at, min(at + 32, len(names)))
+                found, _ = index.search([(all_t[ends[i] : ends[i + 1]], all_w[ends[i] : ends[i + 1]]) for i in some], k)
+                out += [(*names[i], int(d), float(s)) for i, (ids, scores) in zip(some, found) for d, s in zip(ids, scores)]
         cols = list(zip(*out)) or [(), (), (), ()]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "tid", "doc_id", "score"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))})
 
