@@ -15,6 +15,7 @@ from .packing import op2_packing
 from .pii_boost import op9_pii
 from .prefix_tokens import op7_token_counts
 from .quality_fm import op1_quality_fm
+from .sparse_suffix import op6_repeated_passages
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bagminhash": op3_bagminhash,
         "op4_bm25_topk": op4_bm25_topk,
         "op5_line_spread": op5_line_spread,
+        "op6_repeated_passages": op6_repeated_passages,
         "op7_token_counts": op7_token_counts,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_pii": op9_pii,
