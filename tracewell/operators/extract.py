@@ -1,0 +1,103 @@
+"""Deterministic extraction: table rows and prose patterns to entities and facts, driven by rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+# Confidences by kind of evidence.
+TABLE_WITH_ID, EXPLICIT_PROSE, DERIVED_TABLE, NAME_PROSE, NAME_ONLY = 0.95, 0.90, 0.90, 0.85, 0.80
+NEGATION = "(?i)\\b(?:not|never|no longer)\\b"
+
+
+def table_rows(tables: DataFrame, headers: tuple[str, ...]) -> DataFrame:
+    """Rows of the tables with just these headers (in lower case), a column each.  tables: source, headers, rows."""
+    signature = "|".join(headers)
+    picked = tables.where(F.array_join(F.transform("headers", lambda h: F.lower(F.trim(h))), "|") == signature)
+    rows = picked.select("source", F.explode(T.normalize_rows(F.col("rows"))).alias("r")).where(F.size("r") == len(headers))
+    return rows.select("source", *(F.col("r")[k].alias(h.replace(" ", "_").replace(".", "")) for k, h in enumerate(headers)))
+
+
+def dependency_facts(tables: DataFrame) -> DataFrame:
+    rows = table_rows(tables, ("dep. id", "source", "target", "type"))
+    key = lambda c: F.concat(F.lit("component:"), F.upper(c))
+    return rows.toDF("chunk", "dep_id", "source", "target", "type").select(key("source").alias("subject"), F.lit("depends_on").alias("predicate"), key("target").alias("object"), F.lit(DERIVED_TABLE).alias("confidence"), "chunk")
+
+
+def component_entities(tables: DataFrame) -> DataFrame:
+    rows = table_rows(tables, ("id", "component", "type", "layer", "description"))
+    return rows.select(F.concat(F.lit("component:"), F.upper("id")).alias("entity_key"), F.lit("component").alias("entity_type"), F.col("component").alias("name"), F.lit(TABLE_WITH_ID).alias("confidence"), "source")
+
+
+def pattern_facts(chunks: DataFrame, rules: list[tuple[str, str, float]], chunk: str = "chunk_id", text: str = "text") -> DataFrame:
+    """rules: (predicate, pattern with two groups, confidence): subject, predicate, object, confidence, chunk."""
+    out = None
+    for predicate, pattern, confidence in rules:
+        both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("o"))
+        part = chunks.select(chunk, F.explode(both).alias("x")).select(chunk, F.col("x.s").alias("subject"), F.lit(predicate).alias("predicate"), F.col("x.o").alias("object"), F.lit(confidence).alias("confidence"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def verb_sentences(docs: DataFrame, verbs: str, window: int = 40, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, n_verbs, n_negated: occurrences of a verb, and those with a negation in the `window` characters before.
+
+    The text is cut at the verbs; what stands before each is the end of the part before it.
+    """
+    parts = F.split(F.col(text), f"(?<![A-Za-z0-9_])(?:{verbs})(?![A-Za-z0-9_])", -1)
+    before = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.substring(p, F.greatest(F.length(p) - window + 1, F.lit(1)), F.lit(window)))
+    return docs.select(doc, F.size(before).cast("long").alias("n_verbs"), F.size(F.filter(before, lambda p: p.rlike(NEGATION))).cast("long").alias("n_negated"))
+
+
+def name_pairs(chunks: DataFrame, names: list[str], verbs: str = "requires|depends on|depends_on", reach: int = 90, chunk: str = "chunk_id", text: str = "text") -> DataFrame:
+    """Last name within `reach` characters before a verb and first one after it, unless negated: subject, object, chunk."""
+    import re
+
+    alternatives = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+    # a blank end marker makes the split keep the text on both sides of each verb
+    parts = F.split(F.col(text), f"(?<![A-Za-z0-9_])(?:{verbs})(?![A-Za-z0-9_])", -1)
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.size(parts) - 2),
+        lambda i: F.struct(
+            F.element_at(F.regexp_extract_all(F.substring(F.get(parts, i), F.greatest(F.length(F.get(parts, i)) - reach + 1, F.lit(1)), F.lit(reach)), F.lit(alternatives), F.lit(0)), -1).alias("subject"),
+            F.get(F.regexp_extract_all(F.substring(F.get(parts, i + 1), 1, reach), F.lit(alternatives), F.lit(0)), F.lit(0)).alias("object"),
+            F.substring(F.get(parts, i), F.greatest(F.length(F.get(parts, i)) - 39, F.lit(1)), F.lit(40)).rlike(NEGATION).alias("negated"),
+        ),
+    )
+    found = chunks.where(F.size(parts) > 1).select(chunk, F.explode(pairs).alias("p")).select(chunk, "p.*")
+    return found.where("subject is not null and object is not null and subject <> object and not negated").drop("negated")
+
+
+def cooccurrence(mentions: DataFrame, by: str = "sentence_id") -> DataFrame:
+    """subject, object, n: ordered pairs of different names of a sentence (by, pos, name), the earlier first."""
+    a, b = mentions.select(by, F.col("pos").alias("pa"), F.col("name").alias("subject")), mentions.select(by, F.col("pos").alias("pb"), F.col("name").alias("object"))
+    return a.join(b, by).where("pa < pb and subject <> object").groupBy("subject", "object").agg(F.count(F.lit(1)).alias("n"))
+
+
+def longest_spans(text: str, names: list[str]) -> list[tuple[int, int, str]]:
+    """Non-overlapping whole-word occurrences of names, the longest first at each place."""
+    import re
+
+    pattern = "|".join(rf"(?<![\w-]){re.escape(n)}(?![\w-])" for n in sorted(names, key=lambda n: (-len(n), n)))
+    return [(m.start(), m.end(), m.group()) for m in re.finditer(pattern, text)] if names else []
+
+
+def mentions(chunks: DataFrame, names: list[str], chunk: str = "chunk_id", text: str = "text") -> DataFrame:
+    """chunk, pos, name: the names' spans in the order of the text."""
+    import re
+
+    pattern = "|".join(rf"(?<![\w-]){re.escape(n)}(?![\w-])" for n in sorted(names, key=lambda n: (-len(n), n)))
+    return chunks.select(chunk, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("pos", "name"))
+
+
+def contents_share(docs: DataFrame, doc: str = "doc_id", text: str = "text", leaders: str = "\\.{3,}\\s*[0-9]{1,3}\\s*$|\\.{5,}") -> DataFrame:
+    """doc, share, is_contents: the share of a text's lines with dot leaders; from one half on it is a table of contents."""
+    rows = F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != "")
+    share = F.when(F.size(rows) == 0, 0.0).otherwise(F.size(F.filter(rows, lambda x: x.rlike(leaders))) / F.size(rows))
+    return docs.select(doc, F.round(share, 6).alias("share"), (share >= 0.5).alias("is_contents"))
+
+
+def evidence_ids(chunks: DataFrame, by: str, order: str) -> DataFrame:
+    return chunks.withColumn("evidence_id", F.concat(F.lit("E"), F.row_number().over(Window.partitionBy(by).orderBy(order)).cast("string")))
