@@ -698,7 +698,7 @@ def stale_refs(spark, sf):
     """Target facts that name an interface which the target registry, as read here, has dropped."""
     _, t, be, te = _snapshots(spark, sf)
     dropped = be.where("entity_type = 'interface' and length(name) % 3 = 0").select("entity_key")
-    return diff.stale_references(dropped, te.limit(0), t)
+    return diff.stale_references(dropped, te.join(dropped, "entity_key", "left_anti"), t)
 
 
 @query(f"{VERSIONS}, {SNAP} SELECT 'entity' AS level, change, count(*) AS n FROM ec WHERE change IS NOT NULL GROUP BY change UNION ALL SELECT 'relationship', change, count(*) FROM rc GROUP BY change")
