@@ -11,8 +11,9 @@ After the last merge exactly one spelling of every word is left: the one the mer
 as what its gadget did to the state it was split from, and an arc of the transition table is worked out from that
 chain when it is first asked for, then held; a full table of states times labels would take hundreds of megabytes.
 
-A pre-split word is encoded by table-driven transitions over its positions: the prefix of each length ends in
-exactly one arc that leaves the state reached at the arc's start.  Decoding walks the arcs and emits their labels.
+A pre-split word is encoded by table-driven transitions: from the state reached, the longest arc that the table allows
+is taken, and given up for the next shorter one where no arc leads on.  Whatever has been read along the way is itself
+spelled in the only way there is, so no place is reached twice and the steps are linear in the word's length.  Decoding walks the arcs and emits their labels.
 
 Edge cases: a null text is encoded as an empty one (no ids, decoded ''); texts of any length are encoded whole;
 repeated rows give repeated rows; an empty table gives an empty table; other columns are not looked at.
@@ -43,7 +44,7 @@ class TokenAutomaton:
         self.born, self.left = [-1] * n, [-1] * n  # of a label: the merge that made it, and its left part
         self.parent, self.since = [-1], [-1]  # of a state: what it was split from, and when
         self.cut: dict[tuple[int, int], int] = {}
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}  # by state << 20 | label
         for b in base:
             self.target[b] = 0
         shared = [len(base) + 1]  # labels that lead to a state; the start counts for one
@@ -80,7 +81,7 @@ class TokenAutomaton:
                 return True
 
     def leaves(self, state: int, label: int) -> bool:
-        key = (state, label)
+        key = state << 20 | label
         found = self.table.get(key)
         if found is None:
             if len(self.table) > 1_500_000:
@@ -92,27 +93,32 @@ class TokenAutomaton:
         """The arcs of a word.  inner: labels inside a word, and -1 for what only begins one, by their characters;
         final: labels that may only end a word, at most `longest` characters."""
         n, table, target, leaves, step = len(word), self.table, self.target, self.leaves, inner.get
-        state, came = [-1] * (n + 1), [(0, 0)] * (n + 1)
-        state[0] = 0
-        for j in range(n):
-            here = state[j]
-            for i in range(j + 1, n):
-                t = step(word[j:i])
+        path: list[int] = []  # the arcs so far; every way from the start is the spelling of what it reads
+        open_: list[list[tuple[int, int]]] = []  # for each of them, the shorter arcs not yet tried at its place
+        state = at = 0
+        while at < n:
+            arcs = []
+            for i in range(at + 1, n):
+                t = step(word[at:i])
                 if t is None:
                     break
-                if t >= 0 and state[i] < 0:
-                    ok = table.get((here, t))
-                    if ok if ok is not None else leaves(here, t):
-                        state[i], came[i] = target[t], (j, t)
-            if n - j <= longest and state[n] < 0 and (t := final.get(word[j:])) is not None:
-                ok = table.get((here, t))
-                if ok if ok is not None else leaves(here, t):
-                    state[n], came[n] = target[t], (j, t)
-        out = []
-        while n:
-            n, t = came[n]
-            out.append(t)
-        return out[::-1]
+                if t >= 0:
+                    arcs.append((t, i))
+            if n - at <= longest and (t := final.get(word[at:])) is not None:
+                arcs.append((t, n))
+            while True:
+                while not arcs:  # no way on from here: the last arc was no part of the spelling
+                    arcs = open_.pop()
+                    path.pop()
+                    state = target[path[-1]] if path else 0
+                t, i = arcs.pop()
+                ok = table.get(state << 20 | t)
+                if ok if ok is not None else leaves(state, t):
+                    break
+            path.append(t)
+            open_.append(arcs)
+            state, at = target[t], i
+        return path
 
 
 class WordBpe:
@@ -139,32 +145,49 @@ class WordBpe:
         self.longest = max(map(len, self.final))
         self.library = Tokenizer.from_file(path)  # its normaliser and splitter; the merging is the automaton's
         self.splits = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.word_ids = ChunkCache(lambda words: [self.automaton.spell(w, self.inner, self.final, self.longest) for w in words], 300_000)
+        self.words: dict[str, tuple[int, str, str]] = {}  # count, ids and labels of a word
         # Chunks of plain Latin-1 letters and a tail of plain punctuation need no library: lower case, two words.
         self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)").fullmatch
         self.symbols = {i: self.library.pre_tokenizer.pre_tokenize_str(chr(i))[0][0] for i in (*range(0xDF, 0xF7), *range(0xF8, 0x100))}
         self.chunks = re.compile(f"[^{WHITE}]+").findall
         self.cache = ChunkCache(lambda chunks: [self.written(c) for c in chunks], 250_000)
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
+    def word_ids(self, word: str) -> list[int]:
+        return self.automaton.spell(word, self.inner, self.final, self.longest)
+
+    def parts(self, chunk: str) -> Iterator[int | str]:
+        """The special ids and the pre-split words of a chunk."""
         for part in self.splits.split(chunk) if self.splits and "<|" in chunk else [chunk]:
             if part in self.special:
-                out.append(self.special[part])
+                yield self.special[part]
             elif part and (m := self.plain(part)):
                 letters, tail = m.groups()
-                words = [w for w in (letters.lower().translate(self.symbols), tail) if w]
-                for ids in self.word_ids.get(words):
-                    out += ids
+                if letters:
+                    yield letters.lower().translate(self.symbols)
+                if tail:
+                    yield tail
             elif part:
-                words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
-                for ids in self.word_ids.get([w for w, _ in words]):
-                    out += ids
-        return out
+                for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
+                    yield word
+
+    def chunk_ids(self, chunk: str) -> list[int]:
+        return [i for p in self.parts(chunk) for i in ([p] if isinstance(p, int) else self.word_ids(p))]
 
     def written(self, chunk: str) -> tuple[int, str, str]:
-        ids = self.chunk_ids(chunk)
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+        """Number of ids, the ids in decimal and the labels of a chunk."""
+        got, words = [], self.words
+        for p in self.parts(chunk):
+            v = words.get(p)
+            if v is None:
+                ids = [p] if isinstance(p, int) else self.word_ids(p)
+                v = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+                if len(words) > 400_000:
+                    words.clear()
+                words[p] = v
+            got.append(v)
+        if len(got) == 1:
+            return got[0]
+        return sum([v[0] for v in got]), " ".join([v[1] for v in got]), " ".join([v[2] for v in got])
 
     def encode(self, text: str | None) -> list[int]:
         return [i for c in self.chunks(text or "") for i in self.chunk_ids(c)]
