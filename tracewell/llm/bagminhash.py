@@ -11,12 +11,13 @@ Only the earliest points matter: processes are followed up to a time by which al
 which is raised (doubled) for a document where one is not, so the work is about (shingles + registers x log registers).
 
 Candidates.  Registers form bands; documents that agree in a band share a bucket.  Every member of a bucket is compared
-with the bucket's smallest one (a star: as many pairs as members), by the exact overlap of the multisets.  Then
+with CENTRES members of it, picked as if at random and others in each band (stars: at most CENTRES pairs a member), by
+the exact overlap of the multisets.  Then
 buckets that hold several components so far are searched for the links a star cannot see: their members are
-dealt into blocks of bounded size, pairs of blocks are compared by signature, pairs whose estimate is within five
-standard deviations of the threshold and that the triangle inequality of the Jaccard distance (through the star's
-centre, to which the distance of both is known) does not rule out are verified too.  A group in which all are linked
-to its centre costs one pair a member.
+dealt into blocks of bounded size, pairs of blocks are compared by signature, pairs whose estimate is within 3.5
+standard deviations of the threshold and that the triangle inequality of the Jaccard distance (through the first
+centre, to which the distance of both is known) does not rule out are verified too.  A group costs a bounded number of
+pairs a member as long as its members are linked by way of the centres.
 
 Copies of a text fold into one node (a 64-bit content id) before anything is compared.
 
@@ -44,6 +45,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
 BLOCK = 512
+CENTRES = 3
 _WORD = re.compile(r"[^\W_]+").findall
 _U = np.uint64
 
@@ -60,17 +62,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def shingles_of(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the runs of `words` words of all texts, repeats included, and where each text's begin (and end)."""
+    hashes = [b"".join(_word_hashes().get(_WORD((t or "").lower()))) for t in texts]
+    size = np.array([len(h) // 8 for h in hashes], np.int64)
+    n = np.where(size > 0, np.maximum(size - words + 1, 1), 0)
+    # a short text is padded to one run by zeros, which mix in nothing
+    h = np.frombuffer(b"".join(x + b"\0" * (8 * max(words - len(x) // 8, 0)) if x else x for x in hashes), ">u8").astype(np.uint64)
+    padded = np.where(size > 0, np.maximum(size, words), 0)
+    if not len(h):
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    runs = np.zeros(len(h) - words + 1, np.uint64)
+    for k in range(words):
+        part = h[k : k + len(runs)]
+        runs = np.where(part == 0, runs, mix(runs + part + _U(0x9E3779B97F4A7C15)))
+    begin = np.cumsum(padded) - padded
+    ends = np.cumsum(n)
+    at = np.repeat(begin - (ends - n), n) + np.arange(ends[-1])
+    return runs[at], np.concatenate([[0], ends])
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """64-bit hashes of the runs of `words` words, repeats included."""
-    found = _WORD((text or "").lower())
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.frombuffer(b"".join(_word_hashes().get(found)), ">u8").astype(np.uint64)
-    n = max(len(h) - words + 1, 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(min(words, len(h))):
-        out = mix(out + h[k : k + n] + _U(0x9E3779B97F4A7C15))
-    return out
+    return shingles_of([text], words)[0]
 
 
 def numbered(shingle: np.ndarray) -> np.ndarray:
@@ -89,39 +102,59 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> _U(11)).astype(np.float64) + 1) * 2.0**-53
 
 
-def signature(shingle: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """First times per register, as float64; empty for no shingle."""
-    found, counts = np.unique(shingle, return_counts=True)
-    if not len(found):
-        return np.empty(0)
-    seeds, rate, low, weight = [], [], [], []
-    for k in range(int(counts.max() - 1).bit_length() + 1):
+def signatures(shingle: np.ndarray, ends: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    """First times per register, a row of float64 for each document (infinite for one without shingles).
+
+    shingle[ends[d]:ends[d + 1]] are document d's.
+    """
+    docs = len(ends) - 1
+    doc = np.repeat(np.arange(docs), np.diff(ends))
+    order = np.lexsort((shingle, doc))
+    found, doc = shingle[order], doc[order]
+    edge = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])])) if len(found) else np.empty(0, np.int64)
+    counts = np.diff(np.append(edge, len(found)))
+    found, doc = found[edge], doc[edge]
+    parts = []
+    for k in range(int(counts.max(initial=1) - 1).bit_length() + 1):
         begin, length = (0, 1) if k == 0 else (1 << (k - 1), 1 << (k - 1))
         has = counts > begin
-        seeds.append(mix(found[has] + _U((k + 1) * 0xA0761D6478BD642F % (1 << 64))))
-        rate.append(np.full(has.sum(), float(length)))
-        low.append(np.full(has.sum(), begin))
-        weight.append(counts[has])
-    seed, rate, low, weight = map(np.concatenate, (seeds, rate, low, weight))
-    until = registers / counts.sum() * (np.log(registers) + 3)
-    out = np.full(registers, np.inf)
-    while True:
-        s, r, lo, w, t = seed, rate, low, weight, np.zeros(len(seed))
-        out[:] = np.inf
-        while len(s):
-            a = mix(s + _U(0x9E3779B97F4A7C15))
-            t = t - np.log(_uniform(a)) / r
-            on = t <= until
-            if not on.any():
-                break
-            s, r, lo, w, t = a[on], r[on], lo[on], w[on], t[on]
-            where = mix(s ^ _U(0xE7037ED1A0B428DB))
-            level = lo + np.floor(_uniform(mix(s ^ _U(0x8EBC6AF09C88C6E3))) * r * 0.9999999) + 1
-            hit = level <= w
-            np.minimum.at(out, (where[hit] % _U(registers)).astype(np.int64), t[hit])
-        if np.isfinite(out).all():
-            return out
-        until *= 2
+        parts.append((mix(found[has] + _U((k + 1) * 0xA0761D6478BD642F % (1 << 64))), doc[has], np.full(has.sum(), float(length)), np.full(has.sum(), begin), counts[has]))
+    seed, owner, rate, low, weight = map(np.concatenate, zip(*parts))
+    total = np.bincount(doc, counts, docs)
+    until = registers / np.maximum(total, 1) * (np.log(registers) + 2)
+    out = np.full((docs, registers), np.inf)
+    flat = out.reshape(-1)
+    open_ = total > 0
+    while open_.any():
+        out[open_] = np.inf
+        use = np.flatnonzero(open_[owner])
+        expected = until[owner[use]] * rate[use]
+        size = np.maximum(np.ceil(np.log2(expected + 3 * np.sqrt(expected) + 2)), 1).astype(int)
+        for k in np.unique(size):  # processes that need about as many points are drawn together
+            some = use[size == k]
+            for at in range(0, len(some), max(1 << 16 >> k, 1)):
+                part = some[at : at + max(1 << 16 >> k, 1)]
+                s, d, r, lo, w, t, step = seed[part], owner[part], rate[part], low[part], weight[part], np.zeros(len(part)), 0
+                while len(s):
+                    point = mix(s[:, None] + np.arange(step + 1, step + (1 << k) + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+                    times = -np.log(_uniform(point)) / r[:, None]
+                    times[:, 0] += t  # one running sum: times do not depend on how many points are drawn at once
+                    times = np.cumsum(times, 1)
+                    row, col = np.nonzero(times <= until[d][:, None])
+                    other = mix(point[row, col] ^ _U(0xE7037ED1A0B428DB))
+                    where = d[row] * registers + ((other >> _U(32)) * _U(registers) >> _U(32)).astype(np.int64)
+                    level = lo[row] + np.floor((other & _U(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * r[row]) + 1
+                    hit = level <= w[row]
+                    np.minimum.at(flat, where[hit], times[row, col][hit])
+                    on = times[:, -1] <= until[d]
+                    s, d, r, lo, w, t, step = s[on], d[on], r[on], lo[on], w[on], times[on, -1], step + (1 << k)
+        open_ &= ~np.isfinite(out).all(1)
+        until[open_] *= 2
+    return out
+
+
+def signature(shingle: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    return signatures(shingle, np.array([0, len(shingle)]), registers)[0]
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
@@ -133,23 +166,26 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        nodes, keys, prints = [], [], []
-        for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            s = signature(shingles(text))
-            if len(s):
-                nodes.append(node)
-                keys.append(bands(s).astype(np.int64))
-                prints.append((mix(s.view(np.uint64)) >> _U(48)).astype("<u2").tobytes())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists, pa.array(prints, pa.binary())], names=["node", "bands", "prints"])
+    for whole in batches:
+        for first in range(0, whole.num_rows, 256):
+            b = whole.slice(first, 256)
+            shingle, ends = shingles_of(b.column(1).to_pylist())
+            has = np.flatnonzero(np.diff(ends))
+            sig = signatures(shingle, ends)[has]
+            keys = np.array([bands(x) for x in sig], np.uint64).reshape(-1).astype(np.int64)
+            prints = [x.tobytes() for x in (mix(sig.view(np.uint64)) >> _U(48)).astype("<u2")]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * BANDS, pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), lists, pa.array(prints, pa.binary())], names=["node", "bands", "prints"])
 
 
 def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [numbered(shingles(t)).astype(np.int64) for t in b.column(1).to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], names=["node", "grams"])
+    for whole in batches:
+        for first in range(0, whole.num_rows, 256):
+            b = whole.slice(first, 256)
+            shingle, ends = shingles_of(b.column(1).to_pylist())
+            sets = [numbered(shingle[i:j]).astype(np.int64) for i, j in zip(ends[:-1], ends[1:])]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))], names=["node", "grams"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,8 +223,12 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("node", text_id(F.col("text")))
     sig = materialise(docs.select("node", "text").where("text is not null").mapInArrow(_signatures, "node long, bands array<long>, prints binary"), "signatures")
     keyed = sig.select("node", F.explode("bands").alias("band"))
-    buckets = materialise(keyed.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("band", "centre"), "buckets")
-    members = materialise(keyed.join(buckets, "band").select("band", "centre", "node").distinct(), "members")
+    # CENTRES members of a bucket, as good as random ones and others in every band: the smallest under an exclusive or
+    other = [F.col("band") if k == 0 else F.xxhash64(F.lit(k), "band") for k in range(CENTRES)]
+    picked = [F.min(F.col("node").bitwiseXOR(x)).bitwiseXOR(x).alias(f"c{k}") for k, x in enumerate(other)]
+    buckets = keyed.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), *picked).where("lo <> hi")
+    buckets = materialise(buckets.select("band", F.array_distinct(F.array(*(f"c{k}" for k in range(CENTRES)))).alias("centres")), "buckets")
+    members = materialise(keyed.join(buckets, "band").select("band", "centres", "node").distinct(), "members")
 
     # one row per text that shares a bucket
     wanted = members.select("node").distinct()
@@ -196,13 +236,15 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     texts = docs.join(first.select(F.col("node").alias("n"), F.col("doc_id").alias("d")), (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
     sets = materialise(texts.mapInArrow(_multisets, "node long, grams array<long>").dropDuplicates(["node"]), "multisets")
 
-    star = materialise(verified(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), sets), "star")
+    star = members.select("node", F.explode("centres").alias("centre")).where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    star = materialise(verified(star, sets), "star")
     links = star.where(F.col("similarity") >= threshold).select("a", "b")
     found = components(links)
 
     # links a star can't see
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.join(star.select(F.col("a").alias("centre"), F.col("b").alias("node"), "similarity"), ["centre", "node"], "left")
+    placed = placed.withColumn("centre", F.get("centres", F.lit(0))).drop("centres")
+    placed = placed.withColumn("a", F.least("centre", "node")).withColumn("b", F.greatest("centre", "node")).join(star, ["a", "b"], "left").drop("a", "b")
     placed = materialise(placed.withColumn("distance", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(1 - F.col("similarity"))).drop("similarity"), "placed")
     open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2")
     open_ = materialise(open_.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
@@ -212,9 +254,9 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.select("band", "node", "component", "distance", "prints", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rest = rest.select("band", "node", "component", "distance", "prints", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    floor = threshold - 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+    floor = threshold - 3.5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
     more = rest.groupBy("band", "i", "j").applyInArrow(_residual(floor, 1 - threshold + 1e-9), "a long, b long").distinct()
-    more = more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = more.join(star.select("a", "b"), ["a", "b"], "left_anti")
     late = materialise(verified(more, sets).where(F.col("similarity") >= threshold).select("a", "b"), "late")
     if not late.isEmpty():
         found = components(links.union(late))
