@@ -86,7 +86,7 @@ class TokenAutomaton:
         if found is None:
             if len(self.table) > 1_500_000:
                 self.table.clear()
-            found = self.table[key] = self.arc(state, label, self.ever)
+            found = self.table[key] = self.target[label] >= 0 and self.arc(state, label, self.ever)  # some labels are never made
         return found
 
     def spell(self, word: str, inner: dict[str, int], final: dict[str, int], longest: int) -> list[int]:
