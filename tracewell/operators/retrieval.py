@@ -89,7 +89,8 @@ def hash_features(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, bucket, value: the signed feature-hashing embedding (words and character trigrams), unit length."""
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
     squashed = F.array_join("__t", " ")
-    grams = F.when(F.length("__s") > 2, F.transform(F.sequence(F.lit(1), F.length("__s") - 2), lambda i: F.concat(F.lit("c:"), F.substring(F.col("__s"), i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    # a look-ahead matches at every place: all trigrams in one pass over the text
+    grams = F.transform(F.regexp_extract_all("__s", F.lit("(?=(.{3}))"), F.lit(1)), lambda g: F.concat(F.lit("c:"), g))
     feats = df.select(key, tokens.alias("__t")).withColumn("__s", squashed).select(key, F.explode(F.concat(F.transform("__t", lambda t: F.concat(F.lit("w:"), t)), grams)).alias("f"))
     counted = feats.groupBy(key, "f").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.md5("f"))
     byte = lambda i: F.conv(F.substring("h", 2 * i + 1, 2), 16, 10).cast("int")

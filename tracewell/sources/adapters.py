@@ -37,13 +37,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question_id, chunk_id): the chunks that hold a question's text, found through shared line-free anchors.
 
-    A text holds another only if it holds its first 40 characters' hash at some place; the join is on that hash, so no
+    A text that holds another has the hash of its first 40 characters at some place; the join is on that hash, so no
     question meets every chunk.
     """
     width = 40
     q = questions(spark, sf_dir).where(F.length("question") >= width).withColumn("anchor", F.xxhash64(F.substring("question", 1, width)))
     c = chunks(spark, sf_dir).where(F.length("text") >= width)
-    grams = c.select("chunk_id", "text", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - width + 1), lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(width))))).alias("anchor"))
+    grams = c.select("chunk_id", "text", F.explode(F.transform(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)), lambda g: F.xxhash64(g))).alias("anchor"))
     return grams.join(q, "anchor").where(F.contains("text", "question")).select("question_id", "chunk_id").distinct()
 
 
