@@ -593,7 +593,16 @@ def graph_validation(spark, sf):
     return graph.validate(version(spark, sf, A.TARGET), _known(spark, sf))
 
 
-@query()
+def _escaped(column: str) -> str:
+    for found, put in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        column = f"replace({column}, '{found}', '{put}')"
+    return column
+
+
+@query(
+    f"""{VERSIONS} SELECT 0 AS part, '<node id="' || {_escaped('entity_key')} || '"><data key="name">' || {_escaped('name')} || '</data></node>' AS line FROM entities
+ UNION ALL SELECT 1, '<edge source="' || {_escaped('subject')} || '" target="' || {_escaped('object')} || '"><data key="predicate">' || {_escaped('predicate')} || '</data></edge>' FROM target"""
+)
 def graphml_lines(spark, sf):
     return graphml(A.entities(spark, sf), version(spark, sf, A.TARGET))
 
