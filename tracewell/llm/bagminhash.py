@@ -12,12 +12,10 @@ which is raised (doubled) for a document where one is not, so the work is about
 
 Candidates.  Registers form bands; documents that agree in a band share a bucket.  Every member of a bucket is compared
 with CENTRES members of it, picked as if at random and others in each band (stars: at most CENTRES pairs a member), by
-the exact overlap of the multisets.  Then
-buckets that hold several components so far are searched for the links a star cannot see: their members are
-dealt into blocks of bounded size, pairs of blocks are compared by signature, pairs whose estimate is within 3.5
-standard deviations of the threshold and that the triangle inequality of the Jaccard distance (through the first
-centre, to which the distance of both is known) does not rule out are verified too.  A group costs a bounded number of
-pairs a member as long as its members are linked by way of the centres.
+the exact overlap of the multisets.  Then buckets that hold several components so far are searched for the links a star
+cannot see: their members are dealt into blocks of bounded size, and in each pair of blocks the exact overlaps of
+members of different components are computed; a task returns one link for each two components that meet in it.  So
+every pair that shares a band is verified unless its documents are linked already, and what is emitted stays linear.
 
 Copies of a text fold into one node (a 64-bit content id) before anything is compared.
 
@@ -173,9 +171,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has = np.flatnonzero(np.diff(ends))
             sig = signatures(shingle, ends)[has]
             keys = np.array([bands(x) for x in sig], np.uint64).reshape(-1).astype(np.int64)
-            prints = [x.tobytes() for x in (mix(sig.view(np.uint64)) >> _U(48)).astype("<u2")]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * BANDS, pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), lists, pa.array(prints, pa.binary())], names=["node", "bands", "prints"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), lists], names=["node", "bands"])
 
 
 def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,32 +193,45 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity"))
 
 
-def _residual(floor: float, reach: float):
-    """Pairs of different components in a pair of blocks whose signatures and distances allow a link."""
+def _residual(threshold: float):
+    """Links between different components in a pair of blocks, found by exact overlaps: one for each two components met.
+
+    The shingles of the blocks are numbered; a document's are flagged, and the flags of every other document summed.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp = table.column("node").to_numpy(), table.column("component").to_numpy()
-        dist = table.column("distance").to_numpy()
-        prints = np.frombuffer(b"".join(table.column("prints").to_pylist()), "<u2").reshape(len(node), -1)
-        own = table.column("own").to_numpy()
+        node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
+        root = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+        grams = table.column("grams").combine_chunks()
+        begin = grams.offsets.to_numpy()
+        number = np.unique(grams.flatten().to_numpy(), return_inverse=True)[1]
+        begin = begin - begin[0]
+        size, flags = np.diff(begin), np.zeros(len(number) + 1, bool)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ia, ib = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out_a, out_b = [], []
-        for k in ia:
-            may = ib[(comp[ib] != comp[k]) & (np.abs(dist[ib] - dist[k]) <= reach) & ((node[ib] > node[k]) if i == j else True)]
-            may = may[(prints[may] == prints[k]).mean(1) >= floor]
-            out_a.append(np.minimum(node[may], node[k]))
-            out_b.append(np.maximum(node[may], node[k]))
-        return pa.table({"a": pa.array(np.concatenate(out_a) if out_a else [], pa.int64()), "b": pa.array(np.concatenate(out_b) if out_b else [], pa.int64())})
+        ib = np.flatnonzero(own == j)
+        out: list[tuple[int, int]] = []
+        for k in np.flatnonzero(own == i):
+            may = ib[(root[ib] != root[k]) & (np.minimum(size[ib], size[k]) >= threshold * np.maximum(size[ib], size[k]))]
+            if len(may):
+                mine = number[begin[k] : begin[k + 1]]
+                flags[mine] = True
+                common = np.add.reduceat(flags[number].astype(np.int32), begin[:-1])[may]
+                flags[mine] = False
+                for hit in may[common / (size[may] + size[k] - common) >= threshold]:
+                    if root[hit] != root[k]:
+                        out.append((int(min(node[k], node[hit])), int(max(node[k], node[hit]))))
+                        root[root == root[hit]] = root[k]
+        cols = list(zip(*out)) or [(), ()]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
     return run
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(node, component, n_linked) of the texts that are near to another, and (class, class_id, kept_node) of every class
+    """(node, component) of the texts that are near to another, and (class, class_id, kept_node) of every class
     of texts with a word; a text near to no other is the class of its own node."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("node", text_id(F.col("text")))
-    sig = materialise(docs.select("node", "text").where("text is not null").mapInArrow(_signatures, "node long, bands array<long>, prints binary"), "signatures")
+    sig = materialise(docs.select("node", "text").where("text is not null").mapInArrow(_signatures, "node long, bands array<long>"), "signatures")
     keyed = sig.select("node", F.explode("bands").alias("band"))
     # CENTRES members of a bucket, as good as random ones and others in every band: the smallest under an exclusive or
     other = [F.col("band") if k == 0 else F.xxhash64(F.lit(k), "band") for k in range(CENTRES)]
@@ -242,27 +252,17 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     found = components(links)
 
     # links a star can't see
-    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.withColumn("centre", F.get("centres", F.lit(0))).drop("centres")
-    placed = placed.withColumn("a", F.least("centre", "node")).withColumn("b", F.greatest("centre", "node")).join(star, ["a", "b"], "left").drop("a", "b")
-    placed = materialise(placed.withColumn("distance", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(1 - F.col("similarity"))).drop("similarity"), "placed")
-    open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2")
+    placed = materialise(members.drop("centres").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"lo <> hi and n > {min(CENTRES, 2)}")
     open_ = materialise(open_.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
-    rest = placed.where("node <> centre").join(open_, "band")
-    prints = sig.join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("prints").alias("prints"))
-    rest = rest.join(materialise(prints, "prints"), "node")
+    rest = placed.join(open_, "band").join(sets, "node")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.select("band", "node", "component", "distance", "prints", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rest = rest.select("band", "node", "component", "distance", "prints", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    floor = threshold - 3.5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
-    more = rest.groupBy("band", "i", "j").applyInArrow(_residual(floor, 1 - threshold + 1e-9), "a long, b long").distinct()
-    more = more.join(star.select("a", "b"), ["a", "b"], "left_anti")
-    late = materialise(verified(more, sets).where(F.col("similarity") >= threshold).select("a", "b"), "late")
+    rest = rest.select("band", "node", "component", "grams", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rest = rest.select("band", "node", "component", "grams", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    late = materialise(rest.groupBy("band", "i", "j").applyInArrow(_residual(threshold), "a long, b long").distinct(), "late")
     if not late.isEmpty():
         found = components(links.union(late))
-    all_links = links.union(late)
-    degree = all_links.select(F.col("a").alias("node")).union(all_links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_linked"))
-    placed = materialise(found.join(degree, "node"), "classes")
+    placed = materialise(found, "classes")
 
     rows = docs.where(_worded("text")).select("doc_id", "node").join(placed, "node", "left").withColumn("class", F.coalesce("component", "node"))
     smallest = rows.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("least")).select("class", F.col("least.doc_id").alias("class_id"), F.col("least.node").alias("kept_node"))
@@ -274,7 +274,7 @@ def _worded(text: str):
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of df: doc_id, class_id (smallest id of its class), n_linked (texts it was found near to), kept.
+    """One row per row of df: doc_id, class_id (smallest id of its class), kept.
 
     kept is true for one id of each class, the smallest (and the smallest text id, if texts share it); rows that repeat
     both the id and the text are kept alike.
@@ -283,7 +283,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(_worded(text), text_id(F.col(text))).alias("node"))
     rows = rows.join(placed, "node", "left").withColumn("class", F.coalesce("component", "node"))
     out = rows.join(smallest, "class", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), F.when(F.col("class").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("kept_node"))).alias("kept"))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("class").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("kept_node"))).alias("kept"))
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
