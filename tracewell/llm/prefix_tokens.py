@@ -6,8 +6,8 @@ last token of every prefix follows from the last tokens of shorter prefixes, and
 every prefix: count[i] = count[i - len(t)] + 1, t being the one entry that ends at i and pairs with the last token
 at i - len(t).  No prefix is ever encoded twice; truncation and budget questions read the table.
 
-Merges never cross the start of a run of blanks (no entry holds a blank after another character), so a text is cut
-there and the table of each chunk is computed once per worker.
+Merges never cross the start of a run of blanks (no entry holds a blank after another character), a line feed, or any
+two characters that no entry holds side by side, so a text is cut there and a part's table is computed once per worker.
 
 Edge cases: a null text counts as empty (0 tokens, 0 bytes, not over the limit); whole texts of any length are
 counted; repeated rows give repeated rows; an empty table gives an empty table; other columns are not looked at.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .chunkcache import ChunkCache
 
 BLANK = "▁"
-_CHUNK = re.compile(" *[^ ]+| +")
+_CHUNK = re.compile(" *[^ \n]+|\n| +")
 
 
 class PrefixCounter:
@@ -40,10 +40,17 @@ class PrefixCounter:
         self.rank = {sp.id_to_piece(i): -sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         if any(BLANK in p.lstrip(BLANK) for p in self.rank):
             raise ValueError("an entry holds a blank after another character: chunks can't be cut at blanks")
-        self.begins = dict.fromkeys((p[:i] for p in self.rank for i in range(1, len(p))), False) | dict.fromkeys(self.rank, True)
-        self.valid: dict[tuple[str, str], bool] = {}
-        self.last_cut: dict[str, bool] = {}
-        self.cache = ChunkCache(lambda chunks: [self.table(c)[-1] for c in chunks])
+        self.names = [""]  # number 0 is the start of a chunk
+        self.numbers: dict[str, int] = {}
+        for p in self.rank:
+            self.numbers[p] = len(self.names)
+            self.names.append(p)
+        self.entries = len(self.names)
+        self.begins = dict.fromkeys((p[:i] for p in self.rank for i in range(1, len(p))), 0) | self.numbers
+        self.inside = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
+        self.valid: dict[int, bool] = {}
+        self.parts = ChunkCache(lambda parts: [self.table(c)[-1] for c in parts], 400_000)
+        self.cache = ChunkCache(lambda chunks: [sum(self.parts.get(self.cut(c))) for c in chunks], 400_000)
 
     def merged(self, text: str) -> list[str]:
         """Plain merging, best entry first and leftmost on ties; used on pairs of entries only."""
@@ -59,37 +66,51 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def pairs(self, left: str, right: str) -> bool:
-        key = (left, right)
-        ok = self.valid.get(key)
-        if ok is None:
-            ok = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.valid) > 1_000_000:
-                self.valid.clear()
-            self.valid[key] = ok
+    def pairs(self, left: int, right: int) -> bool:
+        """Whether the two entries, merged alone, stay as they are."""
+        a, b = self.names[left], self.names[right]
+        ok = self.merged(a + b) == ([a, b] if a else [b])
+        if len(self.valid) > 1_500_000:
+            self.valid.clear()
+        self.valid[left << 32 | right] = ok
         return ok
 
-    def weight(self, token: str) -> int:
-        """Ids a token takes: one, or its UTF-8 bytes where a lone character is not in the vocabulary."""
-        return 1 if token in self.rank else len(token.encode("utf-8", "surrogatepass"))
+    def cut(self, chunk: str) -> list[str]:
+        """The chunk in parts between characters that no entry holds side by side: no merge joins them."""
+        inside, out, start = self.inside, [], 0
+        for i in range(1, len(chunk)):
+            if chunk[i - 1 : i + 1] not in inside:
+                out.append(chunk[start:i])
+                start = i
+        out.append(chunk[start:])
+        return out
+
+    def number(self, character: str) -> int:
+        """The number of a lone character that is no entry: it stands for its UTF-8 bytes."""
+        n = self.numbers.get(character)
+        if n is None:
+            n = self.numbers[character] = len(self.names)
+            self.names.append(character)
+        return n
 
     def table(self, chunk: str) -> list[int]:
         """Ids of every prefix of a chunk (blanks written as U+2581); entry 0 is the empty prefix."""
-        n, begins, valid, pairs = len(chunk), self.begins.get, self.valid, self.pairs
-        last, count = [""] * (n + 1), [-1] * (n + 1)
+        n, begins, valid = len(chunk), self.begins.get, self.valid.get
+        last, count = [0] * (n + 1), [-1] * (n + 1)
         count[0] = 0
         for j in range(n):
             before, base = last[j], count[j]
             for i in range(j + 1, n + 1):
-                t = chunk[j:i]
-                whole = begins(t)
-                if whole is None and i > j + 1:
-                    break
-                if count[i] < 0 and (whole or i == j + 1):
-                    ok = valid.get((before, t))
-                    if ok if ok is not None else pairs(before, t):
-                        last[i], count[i] = t, base + (1 if whole else self.weight(t))
-                if whole is None:
+                t = begins(chunk[j:i])
+                if not t and i == j + 1:
+                    lone = self.number(chunk[j:i])
+                    if count[i] < 0 and self.pairs(before, lone):
+                        last[i], count[i] = lone, base + len(chunk[j:i].encode("utf-8", "surrogatepass"))
+                elif t and count[i] < 0:
+                    ok = valid(before << 32 | t)
+                    if ok if ok is not None else self.pairs(before, t):
+                        last[i], count[i] = t, base + 1
+                if t is None:
                     break
         return count
 
