@@ -63,8 +63,23 @@ def k_hop(facts: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def shortest_lengths(facts: DataFrame, seeds: DataFrame, longest: int) -> DataFrame:
-    return k_hop(facts, seeds, longest).where("depth > 0").select("seed", "node", F.col("depth").cast("long").alias("length"))
+def shortest_lengths(facts: DataFrame, seeds: DataFrame, longest: int | None = None, write=None) -> DataFrame:
+    """seed, node, length of all nodes that undirected steps reach from a seed; at most `longest` steps if given.
+
+    Without a limit the frontier is iterated until it is empty.  Steps go both ways, so a neighbour of the frontier is new
+    or stands in the last two levels.  write(df) stores a level and returns what it reads back, so that the plan does not grow.
+    """
+    if longest is not None:
+        return k_hop(facts, seeds, longest).where("depth > 0").select("seed", "node", F.col("depth").cast("long").alias("length"))
+    steps = write(adjacency(facts).select("node", "neighbour").distinct())
+    frontier = write(seeds.select(F.col("entity_key").alias("seed"), F.col("entity_key").alias("node"), F.lit(0).cast("long").alias("length")).distinct())
+    before, found, length = frontier.limit(0), frontier.limit(0), 0
+    while not frontier.isEmpty():
+        length += 1
+        reached = frontier.join(steps, "node").select("seed", F.col("neighbour").alias("node")).distinct()
+        level = write(reached.join(frontier.union(before).select("seed", "node"), ["seed", "node"], "left_anti").withColumn("length", F.lit(length).cast("long")))
+        before, frontier, found = frontier, level, found.union(level)
+    return found
 
 
 def weak_components(facts: DataFrame, write, rounds: int = 40) -> DataFrame:

@@ -570,6 +570,12 @@ def _write(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@query()
+def shortest_path_all(spark, sf):
+    """Lengths without a limit; tested against breadth-first search.  shortest_path_len keeps to the two steps of its SQL."""
+    return graph.shortest_lengths(version(spark, sf, A.TARGET), A.entities(spark, sf).where("entity_type = 'signal'"), write=_write)
+
+
 @query(f"{VERSIONS}, pairs AS (SELECT subject AS a, object AS b FROM target WHERE predicate = 'provides'), adj AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(a, b) AS (SELECT a, a FROM adj UNION SELECT r.a, adj.b FROM reach r JOIN adj ON r.b = adj.a) SELECT a AS entity_key, min(b) AS component FROM reach GROUP BY a")
 def components(spark, sf):
     return graph.weak_components(version(spark, sf, A.TARGET).where("predicate = 'provides'"), _write)
