@@ -1,10 +1,14 @@
 """The whole job where a given SQL stops short: each against brute force."""
 
+import math
+import random
 from collections import defaultdict, deque
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import graph
+from tracewell.operators import graph, retrieval
 from tracewell.plans import queries as plans
 from tracewell.plans.queries import _write
 from tracewell.sources import adapters as A
@@ -41,3 +45,25 @@ def test_shortest_lengths_have_no_limit(spark, sf):
     edges = [(r.subject, r.object) for r in plans.version(spark, sf, A.TARGET).collect()]
     want = bfs(edges, [r.entity_key for r in A.entities(spark, sf).where("entity_type = 'signal'").collect()])
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want and max(r.length for r in rows) > 2
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_cosine_meets_every_label(spark, block):
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)], rng.choice(["a", "b", "c", None])) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {(r.query_id, r.vec_id): (r["rank"], r.similarity) for r in retrieval.cosine_topk(v, v.where("vec_id % 10 = 0"), 5, block=block).collect()}
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b)), 6)
+    want = {}
+    for q, e, _ in rows[::10]:
+        best = sorted((-cos(e, f), i) for i, f, _ in rows)[:5]
+        want |= {(q, i): (n, -s) for n, (s, i) in enumerate(best, 1)}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
+
+
+def test_cosine_topk_all_and_sql_agree(spark, sf):
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    cols = "query_id, vec_id, similarity, rank"
+    want = c.execute(f"SELECT {cols} FROM ({plans.oracle_sql()['cosine_topk_all']})").fetchall()
+    assert sorted(map(tuple, plans.queries()["cosine_topk_all"](spark, sf).selectExpr(*cols.split(", ")).collect())) == sorted(want)

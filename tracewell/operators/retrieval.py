@@ -76,12 +76,21 @@ def lexical_filtered(chunks: DataFrame, questions: DataFrame, filters: dict, k:
     return top(keep(pool), k, F.col("score").desc(), F.col("document_name"), F.col("chunk_id"))
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, vec_id, similarity, rank over vectors of the query's label (a filter that goes below the scoring)."""
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, same_label: bool = False, block: int = 64) -> DataFrame:
+    """query_id, vec_id, similarity, rank over all vectors, or over those of the query's label (a filter below the scoring).
+
+    Without the filter queries are dealt into blocks of about `block`; a vector is read once a block, not once a query.
+    """
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     v = vectors.withColumn("vn", norm("embedding"))
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label").withColumn("qn", norm("q"))
-    scored = v.join(q, "label").select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("vn") * F.col("qn")), 6).alias("similarity"))
+    if same_label:
+        pairs = v.join(q, "label")
+    else:
+        n_blocks = -(-q.count() // block) or 1
+        blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("b")).agg(F.collect_list(F.struct("query_id", "q", "qn")).alias("block"))
+        pairs = v.select("vec_id", "embedding", "vn").crossJoin(blocks.select("block")).select("vec_id", "embedding", "vn", F.inline("block"))
+    scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("vn") * F.col("qn")), 6).alias("similarity"))
     return top(scored, k, F.col("similarity").desc(), F.col("vec_id"), by="query_id")
 
 
