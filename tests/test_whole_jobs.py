@@ -67,3 +67,26 @@ def test_cosine_topk_all_and_sql_agree(spark, sf):
     cols = "query_id, vec_id, similarity, rank"
     want = c.execute(f"SELECT {cols} FROM ({plans.oracle_sql()['cosine_topk_all']})").fetchall()
     assert sorted(map(tuple, plans.queries()["cosine_topk_all"](spark, sf).selectExpr(*cols.split(", ")).collect())) == sorted(want)
+
+
+def test_line_dedup_whatever_share_is_left(spark, sf):
+    from tracewell.llm import line_spread as ls
+
+    rows = [(i, f"a licence line that is long\nown {i}", f"s{i}") for i in range(5)] + [(10 + i, "copied one\n\ncopied two", f"s{i}") for i in range(5)] + [(20, "own\nown too\na licence line that is long", None), (21, "a licence line that is long\ncopied one", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in ls.remove_boilerplate(df).collect()}
+    assert all(got[i] == (f"own {i}", 1) for i in range(5)) and got[20] == ("own\nown too", 1)
+    assert all(got[i] == (t, 0) for i, t, _ in rows[5:10] + rows[11:])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").collect()
+    cut = {r.doc_id: [x.strip(" ") for x in r.text.split("\n")] if r.text is not None else [] for r in docs}
+    sites = defaultdict(set)
+    for r in docs:
+        for line in cut[r.doc_id]:
+            sites[line] |= {r.source} - {None}
+    bad = {line for line, s in sites.items() if line and len(s) >= 5}
+    for r in ls.op5_line_spread_all(spark, sf).collect():
+        n = sum(line in bad for line in cut[r.doc_id])
+        assert r.n_removed == (n if any(line and line not in bad for line in cut[r.doc_id]) else 0)
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    assert sorted(map(repr, map(tuple, ls.op5_line_spread(spark, sf).collect()))) == sorted(map(repr, c.execute(f"SELECT doc_id, text, n_removed FROM ({ls.OP5_SQL})").fetchall()))

@@ -10,8 +10,9 @@ Only lines that occur often enough to reach the threshold at all are sketched.
 by hash, to the positions at which a text holds them, keyed by the text's content: copies share one row, and the texts
 are moved once.
 
-A text that would lose more than half of its characters is not a page with boilerplate but a copy of other texts; it
-is left as it is, for near-duplicate removal to decide on.
+A text all of whose lines (but blank ones) are flagged is not a page with boilerplate but a copy of other texts, or
+boilerplate alone; it is left as it is, for near-duplicate removal to decide on.  All others lose their flagged lines,
+whatever their share.  With `least_left`, instead, a text of which a smaller share of the characters would be left stays as it is.
 
 Edge cases: a null text stays null and counts no line; empty and blank lines are never boilerplate; a null source is
 no site; texts of any length are cut at every line feed; repeated rows give repeated rows; an empty table gives an
@@ -54,7 +55,7 @@ def boilerplate(df: DataFrame, text: str = "text", site: str = "source", min_sit
     return materialise(sure.union(exact), "boilerplate")
 
 
-def remove_boilerplate(df: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, out: str = "n_removed") -> DataFrame:
+def remove_boilerplate(df: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, out: str = "n_removed", least_left: float | None = None) -> DataFrame:
     """df with boilerplate lines taken out of the text, and `out`, the number of lines taken out."""
     flagged = boilerplate(df, text, site, min_sites)
     key = (F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2"))
@@ -64,12 +65,20 @@ def remove_boilerplate(df: DataFrame, text: str = "text", site: str = "source",
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     found = found.withColumn("__cleaned", F.when(F.col("__gone").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")))
-    taken = F.coalesce(2 * F.length("__cleaned") >= F.length(text), F.lit(False))
+    own = F.col("__cleaned").rlike("[^ \n]") if least_left is None else F.length("__cleaned") >= F.lit(least_left) * F.length(text)
+    taken = F.coalesce(own, F.lit(False))
     return found.select(*[(F.when(taken, F.col("__cleaned")).otherwise(F.col(c)).alias(c) if c == text else F.col(c)) for c in df.columns], F.when(taken, F.size("__gone")).otherwise(0).cast("long").alias(out))
 
 
 def op5_line_spread(spark, sf_dir: str) -> DataFrame:
-    """doc_id, text without boilerplate lines and n_removed of every document."""
+    """doc_id, text without boilerplate lines and n_removed of every document; as in its SQL, only where half of the text is left."""
+    from .common import read
+
+    return remove_boilerplate(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), least_left=0.5).select("doc_id", "text", "n_removed")
+
+
+def op5_line_spread_all(spark, sf_dir: str) -> DataFrame:
+    """The same with the flagged lines taken out of every text that has a line of its own."""
     from .common import read
 
     return remove_boilerplate(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "text", "n_removed")

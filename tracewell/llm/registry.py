@@ -10,7 +10,7 @@ from .bagminhash import op3_bagminhash
 from .bm25_wand import OP4_SQL, op4_bm25_topk
 from .bpe_automaton import op10_bpe_codec
 from .embed_int8 import OP8_SQL, op8_embedding_dedup
-from .line_spread import OP5_SQL, op5_line_spread
+from .line_spread import OP5_SQL, op5_line_spread, op5_line_spread_all
 from .packing import op2_packing
 from .pii_boost import op9_pii
 from .prefix_tokens import op7_token_counts
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bagminhash": op3_bagminhash,
         "op4_bm25_topk": op4_bm25_topk,
         "op5_line_spread": op5_line_spread,
+        "op5_line_spread_all": op5_line_spread_all,
         "op6_repeated_passages": op6_repeated_passages,
         "op7_token_counts": op7_token_counts,
         "op8_embedding_dedup": op8_embedding_dedup,
