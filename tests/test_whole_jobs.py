@@ -90,3 +90,45 @@ def test_line_dedup_whatever_share_is_left(spark, sf):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     assert sorted(map(repr, map(tuple, ls.op5_line_spread(spark, sf).collect()))) == sorted(map(repr, c.execute(f"SELECT doc_id, text, n_removed FROM ({ls.OP5_SQL})").fetchall()))
+
+
+def test_all_versions_are_those_of_each(spark, sf):
+    q = plans.queries()
+    facts_, known = A.facts(spark, sf).cache(), plans._known(spark, sf)
+    months = sorted(r.version for r in facts_.select("version").distinct().collect())
+    assert len(months) > 80
+
+    def rows(df, *drop):
+        cols = sorted(c for c in df.columns if c not in drop)
+        return sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
+
+    every = {n: q[n](spark, sf).cache() for n in ("graph_nodes_all", "related_all", "components_all", "findings_all", "entity_diff_all", "relationship_diff_all", "impact_d1_all", "prf_scores_all")}
+    for n in ("graph_nodes", "related", "entity_diff", "relationship_diff", "impact_d1", "prf_scores"):
+        one = {"version": A.TARGET} if "version" in every[n + "_all"].columns else {"base_version": A.BASE, "target_version": A.TARGET}
+        got = every[n + "_all"]
+        for c, v in one.items():
+            got = got.where(F.col(c) == v)
+        assert rows(got, *one) == rows(q[n](spark, sf)), n
+        key = "version" if "version" in one else "target_version"
+        assert {r[0] for r in every[n + "_all"].select(key).distinct().collect()} == set(months if key == "version" else months[1:])
+    found = every["findings_all"]
+    assert rows(found.where((F.col("version") == A.TARGET) & (F.col("finding_type") != "inconsistent_classification")), "version") == rows(q["finding_ids"](spark, sf))
+    for name, kind in (("undefined_refs", "undefined_reference"), ("duplicate_names", "duplicate_interface"), ("dual_class", "inconsistent_classification")):
+        assert rows(found.where((F.col("version") == A.TARGET) & (F.col("finding_type") == kind)), "version", "finding_id", "severity") == rows(q[name](spark, sf))
+    for m in (months[0], months[40]):
+        assert rows(every["graph_nodes_all"].where(F.col("version") == m), "version") == rows(graph.build_nodes(plans.version(spark, sf, m), known))
+    near = defaultdict(lambda: defaultdict(set))
+    for r in facts_.collect():
+        near[r.version][r.subject].add(r.object)
+        near[r.version][r.object].add(r.subject)
+    want = set()
+    for m, g in near.items():
+        left = set(g)
+        while left:
+            queue = group = {min(left)}
+            while queue:
+                queue = set().union(*(g[x] for x in queue)) - group
+                group = group | queue
+            want |= {(m, x, min(group)) for x in group}
+            left -= group
+    assert sorted(tuple(r) for r in every["components_all"].select("version", "entity_key", "component").collect()) == sorted(want)

@@ -1,4 +1,7 @@
-"""Consistency detectors, content-addressed finding ids, validation and persistence rules."""
+"""Consistency detectors, content-addressed finding ids, validation and persistence rules.
+
+`by` scopes graphs as in `graph`: the detectors then find in all versions at once.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest10
-from .graph import ends
+from .graph import ends, in_each
 
 # Codes in finding ids, and severities.
 CODES = {
@@ -25,46 +28,46 @@ def _p(facts: DataFrame, predicate: str) -> DataFrame:
     return facts.where(F.col("predicate") == predicate)
 
 
-def undefined_references(facts: DataFrame, entities: DataFrame) -> DataFrame:
+def undefined_references(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """finding_type, entity_keys, n_facts: ends that no entity defines."""
-    missing = ends(facts).join(entities, "entity_key", "left_anti")
-    return missing.groupBy("entity_key").agg(F.count(F.lit(1)).alias("n_facts")).select(F.lit("undefined_reference").alias("finding_type"), F.col("entity_key").alias("entity_keys"), "n_facts")
+    missing = ends(facts, by).join(entities, "entity_key", "left_anti")
+    return missing.groupBy(*by, "entity_key").agg(F.count(F.lit(1)).alias("n_facts")).select(*by, F.lit("undefined_reference").alias("finding_type"), F.col("entity_key").alias("entity_keys"), "n_facts")
 
 
-def dangling_requires(facts: DataFrame, entities: DataFrame) -> DataFrame:
+def dangling_requires(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Interfaces that are required and that nothing provides."""
-    offered = _p(facts, "provides").select("object").distinct()
-    return _p(facts, "requires").join(offered, "object", "left_anti").groupBy("object").agg(F.count(F.lit(1)).alias("n_facts")).select(F.lit("dangling_requires").alias("finding_type"), F.col("object").alias("entity_keys"), "n_facts")
+    offered = _p(facts, "provides").select(*by, "object").distinct()
+    return _p(facts, "requires").join(offered, [*by, "object"], "left_anti").groupBy(*by, "object").agg(F.count(F.lit(1)).alias("n_facts")).select(*by, F.lit("dangling_requires").alias("finding_type"), F.col("object").alias("entity_keys"), "n_facts")
 
 
-def duplicate_interfaces(facts: DataFrame, entities: DataFrame) -> DataFrame:
+def duplicate_interfaces(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Interfaces that share a name, as one finding per name."""
-    named = entities.where("entity_type = 'interface'").groupBy(F.lower(F.trim("name")).alias("n")).agg(F.collect_set("entity_key").alias("k"))
-    return named.where(F.size("k") >= 2).select(F.lit("duplicate_interface").alias("finding_type"), F.array_join(F.array_sort("k"), ",").alias("entity_keys"), F.lit(0).cast("long").alias("n_facts"))
+    named = in_each(entities, facts, by).where("entity_type = 'interface'").groupBy(*by, F.lower(F.trim("name")).alias("n")).agg(F.collect_set("entity_key").alias("k"))
+    return named.where(F.size("k") >= 2).select(*by, F.lit("duplicate_interface").alias("finding_type"), F.array_join(F.array_sort("k"), ",").alias("entity_keys"), F.lit(0).cast("long").alias("n_facts"))
 
 
-def conflicting_providers(facts: DataFrame, entities: DataFrame) -> DataFrame:
-    by = _p(facts, "provides").groupBy("object").agg(F.countDistinct("subject").alias("providers"), F.count(F.lit(1)).alias("n_facts"))
-    return by.where("providers >= 2").select(F.lit("conflicting_providers").alias("finding_type"), F.col("object").alias("entity_keys"), "n_facts")
+def conflicting_providers(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    shared = _p(facts, "provides").groupBy(*by, "object").agg(F.countDistinct("subject").alias("providers"), F.count(F.lit(1)).alias("n_facts"))
+    return shared.where("providers >= 2").select(*by, F.lit("conflicting_providers").alias("finding_type"), F.col("object").alias("entity_keys"), "n_facts")
 
 
-def orphan_entities(facts: DataFrame, entities: DataFrame) -> DataFrame:
-    lone = entities.where(F.col("entity_type").isin(*ORPHAN_TYPES)).join(ends(facts).distinct(), "entity_key", "left_anti")
-    return lone.select(F.lit("orphan_entity").alias("finding_type"), F.col("entity_key").alias("entity_keys"), F.lit(0).cast("long").alias("n_facts"))
+def orphan_entities(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    lone = in_each(entities, facts, by).where(F.col("entity_type").isin(*ORPHAN_TYPES)).join(ends(facts, by).distinct(), [*by, "entity_key"], "left_anti")
+    return lone.select(*by, F.lit("orphan_entity").alias("finding_type"), F.col("entity_key").alias("entity_keys"), F.lit(0).cast("long").alias("n_facts"))
 
 
-def unconsumed_signals(facts: DataFrame, entities: DataFrame) -> DataFrame:
+def unconsumed_signals(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Signals none of whose carrying interfaces is required."""
-    used = _p(facts, "requires").select(F.col("object").alias("subject")).distinct()
-    carried = _p(facts, "carries").join(used.withColumn("used", F.lit(1)), "subject", "left")
-    dead = carried.groupBy("object").agg(F.count("used").alias("uses"), F.count(F.lit(1)).alias("n_facts")).where("uses = 0")
-    return dead.select(F.lit("unconsumed_signal").alias("finding_type"), F.col("object").alias("entity_keys"), "n_facts")
+    used = _p(facts, "requires").select(*by, F.col("object").alias("subject")).distinct()
+    carried = _p(facts, "carries").join(used.withColumn("used", F.lit(1)), [*by, "subject"], "left")
+    dead = carried.groupBy(*by, "object").agg(F.count("used").alias("uses"), F.count(F.lit(1)).alias("n_facts")).where("uses = 0")
+    return dead.select(*by, F.lit("unconsumed_signal").alias("finding_type"), F.col("object").alias("entity_keys"), "n_facts")
 
 
-def inconsistent_classification(facts: DataFrame, entities: DataFrame, one: str = "requires", other: str = "provides") -> DataFrame:
+def inconsistent_classification(facts: DataFrame, entities: DataFrame, one: str = "requires", other: str = "provides", by: tuple[str, ...] = ()) -> DataFrame:
     """Objects that stand under two classes that exclude each other (here: reached by both predicates)."""
-    by = facts.groupBy("object").agg(F.bool_or(F.col("predicate") == one).alias("a"), F.bool_or(F.col("predicate") == other).alias("b"), F.count(F.lit(1)).alias("n_facts"))
-    return by.where("a and b").select(F.lit("inconsistent_classification").alias("finding_type"), F.col("object").alias("entity_keys"), "n_facts")
+    both = facts.groupBy(*by, "object").agg(F.bool_or(F.col("predicate") == one).alias("a"), F.bool_or(F.col("predicate") == other).alias("b"), F.count(F.lit(1)).alias("n_facts"))
+    return both.where("a and b").select(*by, F.lit("inconsistent_classification").alias("finding_type"), F.col("object").alias("entity_keys"), "n_facts")
 
 
 DETECTORS = {
@@ -83,14 +86,14 @@ def finding_id(version) -> F.Column:
     return F.concat(F.lit("M6-"), code[F.col("finding_type")], F.lit("-"), digest10(version, F.col("finding_type"), F.col("entity_keys"), F.lit("")))
 
 
-def run(facts: DataFrame, entities: DataFrame, version: str, detectors: dict | None = None) -> DataFrame:
-    """All findings of a version: finding_id, finding_type, severity, entity_keys, n_facts."""
+def run(facts: DataFrame, entities: DataFrame, version: str, detectors: dict | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """All findings of a version, or of each of the column that `by` and `version` name: finding_id, finding_type, severity, entity_keys, n_facts."""
     found = None
     for detect in (detectors or DETECTORS).values():
-        part = detect(facts, entities)
+        part = detect(facts, entities, by=by)
         found = part if found is None else found.unionByName(part)
     severity = F.create_map(*[F.lit(x) for t, (_, s) in CODES.items() for x in (t, s)])
-    return found.select(finding_id(F.lit(version)).alias("finding_id"), "finding_type", severity[F.col("finding_type")].alias("severity"), "entity_keys", "n_facts")
+    return found.select(*by, finding_id(F.col(version) if version in by else F.lit(version)).alias("finding_id"), "finding_type", severity[F.col("finding_type")].alias("severity"), "entity_keys", "n_facts")
 
 
 def breakdown(findings: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Version-scoped labelled multigraphs: nodes(entity_key, entity_type, name) and edges(subject, predicate, object, fact_key, ...)."""
+"""Version-scoped labelled multigraphs: nodes(entity_key, entity_type, name) and edges(subject, predicate, object, fact_key, ...).
+
+`by` names the columns of the facts that scope a graph, such as the version: all their graphs are one job.  Without it the
+facts are one graph.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ends(facts: DataFrame) -> DataFrame:
-    return facts.select(F.explode(F.array("subject", "object")).alias("entity_key"))
+def ends(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return facts.select(*by, F.explode(F.array("subject", "object")).alias("entity_key"))
+
+
+def in_each(entities: DataFrame, facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The registry once for each graph that the facts have."""
+    return entities.crossJoin(facts.select(*by).distinct()) if by else entities
 
 
-def implicit_nodes(facts: DataFrame, entities: DataFrame) -> DataFrame:
+def implicit_nodes(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Keys that facts name and the registry does not hold."""
-    return ends(facts).distinct().join(entities, "entity_key", "left_anti")
+    return ends(facts, by).distinct().join(entities, "entity_key", "left_anti")
 
 
-def build_nodes(facts: DataFrame, entities: DataFrame) -> DataFrame:
-    known = entities.select("entity_key", "entity_type", "name", F.lit("registry").alias("source"))
-    unknown = implicit_nodes(facts, entities).select("entity_key", F.substring_index("entity_key", ":", 1).alias("entity_type"), F.substring_index("entity_key", ":", -1).alias("name"), F.lit("unregistered").alias("source"))
+def build_nodes(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    known = in_each(entities, facts, by).select(*by, "entity_key", "entity_type", "name", F.lit("registry").alias("source"))
+    unknown = implicit_nodes(facts, entities, by).select(*by, "entity_key", F.substring_index("entity_key", ":", 1).alias("entity_type"), F.substring_index("entity_key", ":", -1).alias("name"), F.lit("unregistered").alias("source"))
     return known.unionByName(unknown)
 
 
@@ -31,16 +40,16 @@ def degrees(facts: DataFrame) -> DataFrame:
     return marked.groupBy(F.col("x.k").alias("entity_key")).agg(F.sum("x.i").alias("in_degree"), F.sum("x.o").alias("out_degree"), F.count(F.lit(1)).alias("degree"))
 
 
-def adjacency(facts: DataFrame) -> DataFrame:
+def adjacency(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Both directions: node, neighbour, predicate, fact_key, direction."""
-    out = facts.select(F.col("subject").alias("node"), F.col("object").alias("neighbour"), "predicate", "fact_key", F.lit("out").alias("direction"))
-    return out.unionByName(facts.select(F.col("object").alias("node"), F.col("subject").alias("neighbour"), "predicate", "fact_key", F.lit("in").alias("direction")))
+    out = facts.select(*by, F.col("subject").alias("node"), F.col("object").alias("neighbour"), "predicate", "fact_key", F.lit("out").alias("direction"))
+    return out.unionByName(facts.select(*by, F.col("object").alias("node"), F.col("subject").alias("neighbour"), "predicate", "fact_key", F.lit("in").alias("direction")))
 
 
-def related(facts: DataFrame, entities: DataFrame, keys: DataFrame) -> DataFrame:
+def related(facts: DataFrame, entities: DataFrame, keys: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Edges at the given keys with the neighbour's name, per predicate and direction."""
-    near = adjacency(facts).join(keys.select(F.col("entity_key").alias("node")), "node")
-    return near.join(entities.select(F.col("entity_key").alias("neighbour"), "name"), "neighbour", "left").groupBy("node", "predicate", "direction").agg(F.count(F.lit(1)).alias("n_edges"), F.array_join(F.array_sort(F.collect_set("neighbour")), ",").alias("neighbours"))
+    near = adjacency(facts, by).join(keys.select(F.col("entity_key").alias("node")), "node")
+    return near.join(entities.select(F.col("entity_key").alias("neighbour"), "name"), "neighbour", "left").groupBy(*by, "node", "predicate", "direction").agg(F.count(F.lit(1)).alias("n_edges"), F.array_join(F.array_sort(F.collect_set("neighbour")), ",").alias("neighbours"))
 
 
 def resolve_keys(idents: DataFrame, entities: DataFrame) -> DataFrame:
@@ -82,25 +91,25 @@ def shortest_lengths(facts: DataFrame, seeds: DataFrame, longest: int | None = N
     return found
 
 
-def weak_components(facts: DataFrame, write, rounds: int = 40) -> DataFrame:
+def weak_components(facts: DataFrame, write, rounds: int = 40, by: tuple[str, ...] = ()) -> DataFrame:
     """entity_key, component (the smallest key): alternating re-hanging of neighbours on the smallest key around them.
 
     write(df) stores a round's edges and returns what it reads back, so that the plan does not grow.
     """
-    edges = write(facts.where("subject <> object").select(F.greatest("subject", "object").alias("a"), F.least("subject", "object").alias("b")).distinct())
-    lone = ends(facts).distinct()
+    edges = write(facts.where("subject <> object").select(*by, F.greatest("subject", "object").alias("a"), F.least("subject", "object").alias("b")).distinct())
+    lone = ends(facts, by).distinct()
     for _ in range(rounds):
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = write(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        after = write(large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
+        both = edges.union(edges.select(*by, "b", "a"))
+        least = both.groupBy(*by, "a").agg(F.min("b").alias("m")).select(*by, "a", F.least("a", "m").alias("m"))
+        large = write(both.join(least, [*by, "a"]).where("b > a").select(*by, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = large.groupBy(*by, "a").agg(F.min("b").alias("m"))
+        after = write(large.join(least, [*by, "a"]).where("b <> m").select(*by, F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(least.select(*by, "a", F.col("m").alias("b"))).distinct())
         done = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
         edges = after
         if done:
             break
-    roots = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "entity_key")
-    return lone.join(roots, "entity_key", "left").select("entity_key", F.coalesce("component", "entity_key").alias("component"))
+    roots = edges.groupBy(*by, "a").agg(F.min("b").alias("component")).withColumnRenamed("a", "entity_key")
+    return lone.join(roots, [*by, "entity_key"], "left").select(*by, "entity_key", F.coalesce("component", "entity_key").alias("component"))
 
 
 def filter_graph(facts: DataFrame, nodes: DataFrame, entity_type: str | None = None, predicate: str | None = None, min_confidence: float = 0.0) -> tuple[DataFrame, DataFrame]:

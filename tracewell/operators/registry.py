@@ -61,13 +61,13 @@ def sole_owner(requires: DataFrame, wanted: DataFrame) -> DataFrame:
     return owners.where("n = 1").select("group", "owner")
 
 
-def scores(predicted: DataFrame, gold: DataFrame, key: str, by: str) -> DataFrame:
-    """by, tp, fp, fn, precision, recall, f1 (0 where undefined, four places)."""
-    both = predicted.select(by, key).distinct().withColumn("p", F.lit(1)).join(gold.select(by, key).distinct().withColumn("g", F.lit(1)), [by, key], "full_outer")
-    n = both.groupBy(by).agg(F.count_if(F.expr("p = 1 and g = 1")).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+def scores(predicted: DataFrame, gold: DataFrame, key: str, by: str, per: tuple[str, ...] = ()) -> DataFrame:
+    """per, by, tp, fp, fn, precision, recall, f1 (0 where undefined, four places)."""
+    both = predicted.select(*per, by, key).distinct().withColumn("p", F.lit(1)).join(gold.select(*per, by, key).distinct().withColumn("g", F.lit(1)), [*per, by, key], "full_outer")
+    n = both.groupBy(*per, by).agg(F.count_if(F.expr("p = 1 and g = 1")).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    return n.select(by, "tp", "fp", "fn", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(ratio(2 * p * r, p + r), 4).alias("f1"))
+    return n.select(*per, by, "tp", "fp", "fn", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(ratio(2 * p * r, p + r), 4).alias("f1"))
 
 
 def cross_check(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

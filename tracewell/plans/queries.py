@@ -767,6 +767,74 @@ def change_ids(spark, sf):
     return entity_diff(spark, sf).select("entity_key", diff.change_id(A.BASE, A.TARGET, F.col("change"), F.col("entity_key")).alias("change_id"))
 
 
+# --- all versions in one job: no SQL, tested version by version against the queries above -------------------------------
+
+EACH = ("version",)
+
+
+@query()
+def graph_nodes_all(spark, sf):
+    return graph.build_nodes(A.facts(spark, sf), _known(spark, sf), EACH)
+
+
+@query()
+def related_all(spark, sf):
+    e = A.entities(spark, sf)
+    keys = e.where("entity_key like 'component:S-%' or entity_key like 'signal:%'").select("entity_key")
+    return graph.related(A.facts(spark, sf), e, keys, EACH)
+
+
+@query()
+def components_all(spark, sf):
+    """Over all predicates."""
+    return graph.weak_components(A.facts(spark, sf), _write, by=EACH)
+
+
+@query()
+def findings_all(spark, sf):
+    """The findings of all seven detectors."""
+    detectors = {**findings.DETECTORS, "inconsistent_classification": findings.inconsistent_classification}
+    return findings.run(A.facts(spark, sf), _known(spark, sf), "version", detectors, by=EACH)
+
+
+def _all_snapshots(spark, sf):
+    e = A.entities(spark, sf)
+    b, t = diff.consecutive(A.facts(spark, sf))
+    renamed = F.when((F.col("entity_type") == "interface") & (F.length("name") % 2 == 0), F.concat("name", F.lit(" (new)"))).otherwise(F.col("name"))
+    return b, t, diff.snapshot_entities(b, e, diff.PAIR), diff.snapshot_entities(t, e, diff.PAIR).withColumn("name", renamed)
+
+
+@query()
+def entity_diff_all(spark, sf):
+    _, _, be, te = _all_snapshots(spark, sf)
+    return diff.entity_diff(be, te, diff.PAIR)
+
+
+@query()
+def relationship_diff_all(spark, sf):
+    return diff.relationship_diff(*diff.consecutive(A.facts(spark, sf)), diff.PAIR)
+
+
+def _all_impacts(spark, sf, depth):
+    b, t, be, te = _all_snapshots(spark, sf)
+    return diff.impact(diff.entity_diff(be, te, diff.PAIR), b, t, depth, diff.PAIR)
+
+
+@query()
+def impact_d1_all(spark, sf):
+    return _all_impacts(spark, sf, 1)
+
+
+@query()
+def impact_d2_all(spark, sf):
+    return _all_impacts(spark, sf, 2)
+
+
+@query()
+def prf_scores_all(spark, sf):
+    return registry.scores(*diff.consecutive(A.facts(spark, sf)), "fact_key", "predicate", diff.PAIR)
+
+
 # --- evaluation, answers, reports -------------------------------------------------------------------------------------
 
 
