@@ -132,3 +132,14 @@ def test_all_versions_are_those_of_each(spark, sf):
             want |= {(m, x, min(group)) for x in group}
             left -= group
     assert sorted(tuple(r) for r in every["components_all"].select("version", "entity_key", "component").collect()) == sorted(want)
+
+
+def test_quality_features_read_long_tokens_whole():
+    from tracewell.llm.quality_fm import BINS, STATISTICS, features
+
+    token = "a" * 64 + "B" * 100 + "7" * 50 + "+" * 36 + "a" * 50
+    at, x = features(token)
+    upper, digit, other = x[list(at).index(BINS - STATISTICS + 4) :][:3]
+    assert (upper, digit, other) == (100 / 300, 50 / 300, 36 / 300)
+    shape = lambda t: features(t)[0][1]
+    assert shape("a" * 70) == shape("b" * 90) and shape("a" * 70) != shape("a" * 70 + "7")

@@ -37,10 +37,10 @@ _PACK = struct.Struct("<6i").pack
 
 
 def _token(token: str) -> bytes:
-    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64])
+    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
     upper, digit, letters = shape.count("A"), shape.count("0"), shape.count("A") + shape.count("a")
     shape = _RUNS.sub(r"\1", shape)
-    return _PACK(zlib.crc32(token.lower().encode("utf-8", "replace")) % WORDS, WORDS + zlib.crc32(shape.encode("utf-8", "replace")) % SHAPES, upper, digit, len(shape) and min(len(token), 64) - letters - digit, len(token))
+    return _PACK(zlib.crc32(token.lower().encode("utf-8", "replace")) % WORDS, WORDS + zlib.crc32(shape.encode("utf-8", "replace")) % SHAPES, upper, digit, len(token) - letters - digit, len(token))
 
 
 @lru_cache(maxsize=1)
