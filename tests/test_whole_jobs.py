@@ -143,3 +143,15 @@ def test_quality_features_read_long_tokens_whole():
     assert (upper, digit, other) == (100 / 300, 50 / 300, 36 / 300)
     shape = lambda t: features(t)[0][1]
     assert shape("a" * 70) == shape("b" * 90) and shape("a" * 70) != shape("a" * 70 + "7")
+
+
+def test_secrets_need_no_digit(spark):
+    from tracewell.llm.pii_boost import find, fit, matches
+
+    key = "".join(random.Random(4).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40))
+    rows = [(1, f'x token = "{key}" y'), (2, f'x token = "{key}" y 7'), (3, "no run of that length " * 9), (4, "a" * 19), (5, "a" * 20), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(m.start, m.end, m.value) for m in r.m or []] for r in df.select("doc_id", matches(F.col("text"), "secret").alias("m")).collect()}
+    assert found == {1: [(11, 51, key)], 2: [(11, 51, key)], 3: [], 4: [], 5: [(0, 20, "a" * 20)], 6: []}
+    kinds = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in find(df, model=fit(spark)).collect()}
+    assert kinds[1] == kinds[2] and kinds[3] == kinds[6] == []

@@ -49,6 +49,7 @@ CONTEXT = {
     "secret": "token|key|secret|passw|auth|bearer|credential",
 }
 NEED = {"email": "@", "phone": "+"}  # a character without which there is no match
+RUN = {"email_written": r"[(\[]at[)\]]", "secret": "[A-Za-z0-9+/_-]{20}"}  # the same as a pattern; all other kinds need a digit
 NEAR = 24  # code points of context
 
 
@@ -67,9 +68,7 @@ def matches(text: Column, kind: str) -> Column:
         ),
         lambda acc: acc["found"],
     )
-    may = F.contains(text, F.lit(NEED[kind])) if kind in NEED else text.rlike("[0-9]")
-    if kind == "email_written":
-        may = text.rlike(r"[(\[]at[)\]]")
+    may = F.contains(text, F.lit(NEED[kind])) if kind in NEED else text.rlike(RUN.get(kind, "[0-9]"))
     return F.when(may, folded).otherwise(empty)
 
 
