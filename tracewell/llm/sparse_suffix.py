@@ -1,13 +1,18 @@
-"""Repeated passages by sparse suffix arrays (operator 6).
+"""Repeated passages by hash grouping at the positions of a sparse suffix array (operator 6).
+
+This takes the place of the dealt method: suffixes are neither sorted, nor compared with their neighbours, nor extended
+word by word.  Hashes of runs of fixed length are grouped instead: a sort of suffixes needs their texts beside each
+other, and the suffixes of a passage that very many texts share would meet in one task, while a grouping of hashes
+combines before the exchange.  The spans are the same but for collisions of 64-bit hashes, since a match of at least
+`min_words` words is the union of its runs of exactly `min_words`.
 
 Only suffixes at content-selected positions are kept: of every window of WINDOW consecutive K-word runs, the position
 of the run with the smallest hash (its minimiser).  With K + WINDOW - 1 = `min_words`, every passage of `min_words`
-words holds at least one, and equal passages hold the same ones.  The suffixes are ordered by the hash of their
-first K words; a suffix whose neighbours in this order begin differently repeats nothing and is dropped.  The others
-are extended to the left and to the right: every passage of exactly `min_words` words around the position for which
-the position is the minimiser is hashed, again brought next to its equals, and kept if it has a neighbour in another
-text or elsewhere in its own.  The union of the kept passages of a text is its repeated spans, as far as each match
-extends to either side.
+words holds at least one, and equal passages hold the same ones.  The suffixes are grouped by the hash of their first K
+words; one that is alone in its group repeats nothing and is dropped.  For the others every passage of exactly
+`min_words` words for which the position is the minimiser is hashed, these hashes are grouped again, and a passage is
+kept if its group has a member in another text or elsewhere in its own.  The union of the kept passages of a text is
+its repeated spans, as far as each match extends to either side.
 
 Suffixes and passages of a text are found once for all of its copies, which fold into one node with the number of
 rows; a text with copies repeats wholly if it has `min_words` words.  Equal hashes are brought together by partial
@@ -148,7 +153,7 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     keys = materialise(docs.select("node", "text").mapInArrow(_suffixes(min_words, k), "node long, keys array<long>"), "suffixes")
     flat = keys.select("node", F.explode("keys").alias("key"))
-    # equal neighbours: in another text, or twice in one (copies of a text count once)
+    # groups of equal keys: in another text, or twice in one (copies of a text count once)
     shared = flat.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     inside = keys.where(F.size("keys") > F.size(F.array_distinct("keys"))).select(F.explode("keys").alias("key")).distinct()
     shared = materialise(shared.union(inside).distinct(), "shared")
