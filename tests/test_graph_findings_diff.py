@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import diff, findings, graph, registry
-from tracewell.plans.queries import _write
+from tracewell.operators import graph, registry
+from tracewell.sources.shared import store
 
 ENTITIES = [("component:C-01", "component", "Door"), ("component:C-02", "component", "Lock"), ("interface:IF-01", "interface", "LockIF"), ("signal:SG-001", "signal", "lock"), ("interface:IF-02", "interface", "lockif")]
 FACTS = [("component:C-01", "provides", "interface:IF-01", 0.9), ("component:C-02", "requires", "interface:IF-01", 0.8), ("interface:IF-01", "carries", "signal:SG-001", 0.9)]
@@ -33,48 +33,32 @@ def test_k_hop_and_components(spark):
     seeds = spark.createDataFrame([("signal:SG-001",)], "entity_key string")
     assert keys(graph.k_hop(facts(spark), seeds, 2), "node", "depth") == [("component:C-01", 2), ("component:C-02", 2), ("interface:IF-01", 1), ("signal:SG-001", 0)]
     chain = facts(spark, [(f"n:{i:02}", "x", f"n:{i + 1:02}", 1.0) for i in range(12)] + [("m:2", "x", "m:1", 1.0), ("l:1", "x", "l:1", 1.0)])
-    got = dict(keys(graph.weak_components(chain, _write), "entity_key", "component"))
+    got = dict(keys(graph.weak_components(chain, store), "entity_key", "component"))
     assert {got[f"n:{i:02}"] for i in range(13)} == {"n:00"} and got["m:2"] == "m:1" and got["l:1"] == "l:1"
 
 
-@pytest.mark.parametrize(
-    "kind, more, fires",
-    [
-        ("undefined_reference", [("component:C-77", "requires", "interface:IF-01", 1.0)], "component:C-77"),
-        ("dangling_requires", [("component:C-02", "requires", "interface:IF-02", 1.0)], "interface:IF-02"),
-        ("conflicting_providers", [("component:C-02", "provides", "interface:IF-01", 1.0)], "interface:IF-01"),
-        ("unconsumed_signal", [("interface:IF-02", "carries", "signal:SG-009", 1.0)], "signal:SG-009"),
-    ],
-)
-def test_detectors_fire_and_stay_silent(spark, kind, more, fires):
-    detect = findings.DETECTORS[kind]
-    assert keys(detect(facts(spark), entities(spark)), "entity_keys") == []
-    assert keys(detect(facts(spark, FACTS + more), entities(spark)), "entity_keys") == [(fires,)]
-
-
-def test_names_and_orphans(spark):
-    assert keys(findings.duplicate_interfaces(facts(spark), entities(spark)), "entity_keys") == [("interface:IF-01,interface:IF-02",)]
-    assert keys(findings.orphan_entities(facts(spark), entities(spark)), "entity_keys") == [("interface:IF-02",)]
-
-
-def test_finding_ids_follow_from_content(spark):
-    run = lambda: keys(findings.run(facts(spark), entities(spark), "1.0"), "finding_id", "finding_type")
-    assert run() == run()
-    found = findings.run(facts(spark), entities(spark), "1.0")
-    assert {r.n for r in findings.validate(found, entities(spark), "1.0").collect()} == {0}
-    assert findings.validate(found, entities(spark), "2.0").where("rule = 'id_mismatch'").first().n == 2
-
-
-def test_diff_and_impact(spark):
-    base, target = facts(spark), facts(spark, FACTS[:1] + [("component:C-03", "requires", "interface:IF-01", 1.0)])
-    assert keys(diff.relationship_diff(base, target), "subject", "change") == [("component:C-02", "removed"), ("component:C-03", "added"), ("interface:IF-01", "removed")]
-    e = entities(spark, ENTITIES + [("component:C-03", "component", "New")])
-    changes = diff.entity_diff(diff.snapshot_entities(base, e), diff.snapshot_entities(target, e))
-    assert keys(changes, "entity_key", "change") == [("component:C-02", "removed"), ("component:C-03", "added"), ("signal:SG-001", "removed")]
-    hit = diff.impact(changes, base, target, 1)
-    assert ("signal:SG-001", "interface:IF-01", 1, "signal") in keys(hit, "change_key", "node", "depth", "category")
-    assert diff.invalid_paths(hit, base, target).isEmpty()
-    assert not diff.invalid_paths(hit.withColumn("path", F.when(F.col("path") != "", "no|such|fact>x>out").otherwise("")), base, target).isEmpty()
+def test_facade_and_lookups(spark):
+    g = graph.Graph(facts(spark, FACTS + [("component:C-01", "depends_on", "component:C-09", 0.5)]), entities(spark), store)
+    assert g.shortest_path("component:C-02", "signal:SG-001") == ["component:C-02", "interface:IF-01", "signal:SG-001"]
+    assert g.shortest_path("signal:SG-001", "component:C-02") is None and g.shortest_path("signal:SG-001", "component:C-02", directed=False) is not None
+    assert [g.resolve(x) for x in ("c-02", "component:c-02", "component:C-02", "Door", "lockif", "LockIF", "none", "Door:1")] == ["component:C-02", "component:C-02", "component:C-02", "component:C-01", None, None, None, None]
+    assert keys(g.related("interface:IF-01"), "direction", "neighbour", "neighbour_name") == [("in", "component:C-01", "Door"), ("in", "component:C-02", "Lock"), ("out", "signal:SG-001", "lock")]
+    assert keys(g.filter(predicate="provides").facts, "predicate") == [("provides",)] and g.filter(predicate="provides").nodes.count() == 6
+    assert g.filter(node="component:C-02", depth=1).nodes.count() == 2 and g.filter(node="component:C-02", depth=2).facts.count() == 3
+    assert g.filter(node="component:C-02", depth=2, entity_type="interface").nodes.count() == 2
+    assert g.filter(min_confidence=0.9, endpoints_only=True).nodes.count() == 3
+    n = {r.rule: r.n for r in g.validate().collect()}
+    assert n["unregistered"] == 1 and n["orphan"] == 1 and not any(n[r] for r in graph.ERRORS)
+    assert keys(graph.dangling_references(g.facts, entities(spark)), "fact_key") == [("component:C-01|depends_on|component:C-09",)]
+    assert keys(graph.search_entities(entities(spark), " LOCK "), "entity_key") == [("component:C-02",), ("interface:IF-01",), ("interface:IF-02",), ("signal:SG-001",)]
+    assert graph.facts_of_id(g.facts, "if-01").count() == 3
+    node, out, into = graph.entity_detail(g.facts, g.nodes, "interface:IF-01")
+    assert (node.count(), out.count(), into.count()) == (1, 1, 2)
+    doc = graph.node_link(g.facts, g.nodes).first().document
+    assert '"edge_count":4' in doc and '"node_count":6' in doc
+    assert keys(graph.component_sizes(graph.weak_components(g.facts, store)), "component", "size") == [("component:C-01", 5)]
+    with pytest.raises(ValueError):
+        g.filter(node="no:1")
 
 
 def test_registry(spark):

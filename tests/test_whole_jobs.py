@@ -1,29 +1,29 @@
-"""The whole job where a given SQL stops short: each against brute force."""
+"""Whole jobs without SQL, or of many versions at once, each against brute force."""
 
 import math
 import random
 from collections import defaultdict, deque
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import graph, retrieval
+from tracewell.operators import diff, findings, graph, retrieval
 from tracewell.plans import queries as plans
-from tracewell.plans.queries import _write
 from tracewell.sources import adapters as A
+from tracewell.sources.shared import store
 
 
 def facts(spark, rows):
     df = spark.createDataFrame(rows, "subject string, predicate string, object string, confidence double")
-    return df.withColumn("fact_key", F.concat_ws("|", "subject", "predicate", "object"))
+    return df.withColumn("fact_key", F.concat_ws("|", "subject", "predicate", "object", F.lit("")))
 
 
-def bfs(edges, seeds):
+def bfs(edges, seeds, directed=False):
     near = defaultdict(set)
     for a, b in edges:
         near[a].add(b)
-        near[b].add(a)
+        if not directed:
+            near[b].add(a)
     out = set()
     for seed in seeds:
         far, queue = {seed: 0}, deque([seed])
@@ -36,89 +36,81 @@ def bfs(edges, seeds):
     return out
 
 
-def test_shortest_lengths_have_no_limit(spark, sf):
-    edges = [(f"n:{i:02}", f"n:{i + 1:02}") for i in range(9)] + [("n:09", "n:00"), ("n:04", "m:1"), ("m:1", "m:2"), ("m:2", "m:2"), ("far:1", "far:2")]
+EDGES = [(f"n:{i:02}", f"n:{i + 1:02}") for i in range(9)] + [("n:09", "n:00"), ("n:04", "m:1"), ("m:1", "m:2"), ("m:2", "m:2"), ("far:1", "far:2")]
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_shortest_lengths_have_no_limit(spark, directed):
     seeds = ["n:00", "m:2", "lone:1"]
-    got = graph.shortest_lengths(facts(spark, [(a, "x", b, 1.0) for a, b in edges]), spark.createDataFrame([(s,) for s in seeds], "entity_key string"), write=_write).collect()
-    assert len(got) == len(set(got)) and {tuple(r) for r in got} == bfs(edges, seeds)
-    rows = plans.queries()["shortest_path_all"](spark, sf).collect()
-    edges = [(r.subject, r.object) for r in plans.version(spark, sf, A.TARGET).collect()]
-    want = bfs(edges, [r.entity_key for r in A.entities(spark, sf).where("entity_type = 'signal'").collect()])
-    assert len(rows) == len(want) and {tuple(r) for r in rows} == want and max(r.length for r in rows) > 2
+    got = graph.shortest_lengths(facts(spark, [(a, "x", b, 1.0) for a, b in EDGES]), spark.createDataFrame([(s,) for s in seeds], "entity_key string"), store, directed=directed).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == bfs(EDGES, seeds, directed)
+
+
+def test_shortest_lengths_of_every_version(spark, sf):
+    rows = plans.queries()["shortest_path_len"](spark, sf).collect()
+    edges, seeds = defaultdict(list), {r.entity_key for r in A.entities(spark, sf).where("entity_type = 'signal'").collect()}
+    for r in A.facts(spark, sf).collect():
+        edges[r.version].append((r.subject, r.object))
+    want = {(v, *x) for v, e in edges.items() for x in bfs(e, seeds & {n for pair in e for n in pair})}
+    assert len(rows) == len(want) and {(r.version, r.seed, r.node, r.length) for r in rows} == want and max(r.length for r in rows) > 2
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_shortest_paths(spark, directed):
+    pairs = [("n:00", "m:2"), ("m:2", "n:07"), ("n:03", "n:03"), ("n:00", "far:2"), ("n:02", "n:08"), ("gone:1", "n:00")]
+    got = graph.shortest_paths(facts(spark, [(a, "x", b, 1.0) for a, b in EDGES]), spark.createDataFrame(pairs, "source string, target string"), store, directed=directed).collect()
+    near = defaultdict(set)
+    for a, b in EDGES:
+        near[a].add(b)
+        if not directed:
+            near[b].add(a)
+    nodes = {n for e in EDGES for n in e}
+    want = {}
+    for s, t in pairs:
+        level = {s: [s]} if s in nodes else {}
+        seen = dict(level)
+        while level and t not in seen:
+            level = {b: min(p + [b] for a, p in level.items() if b in near[a]) for b in set().union(*(near[a] for a in level)) - set(seen)}
+            seen |= level
+        if t in seen:
+            want[s, t] = seen[t]
+    assert {(r.source, r.target): r.path for r in got} == want and all(r.length == len(r.path) - 1 for r in got)
 
 
 @pytest.mark.parametrize("block", [2, 64])
 def test_cosine_meets_every_label(spark, block):
     rng = random.Random(3)
-    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)], rng.choice(["a", "b", "c", None])) for i in range(60)]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
-    got = {(r.query_id, r.vec_id): (r["rank"], r.similarity) for r in retrieval.cosine_topk(v, v.where("vec_id % 10 = 0"), 5, block=block).collect()}
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)], rng.choice([1, 2, 3, None])) for i in range(60)]
+    odd = [(90, None, 1), (91, [0.0] * 8, 1), (92, [1.0] * 3, 1), (93, [float("nan")] * 8, 2)]
+    v = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int")
     cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b)), 6)
-    want = {}
-    for q, e, _ in rows[::10]:
-        best = sorted((-cos(e, f), i) for i, f, _ in rows)[:5]
-        want |= {(q, i): (n, -s) for n, (s, i) in enumerate(best, 1)}
-    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
-
-
-def test_cosine_topk_all_and_sql_agree(spark, sf):
-    c = duckdb.connect()
-    c.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
-    cols = "query_id, vec_id, similarity, rank"
-    want = c.execute(f"SELECT {cols} FROM ({plans.oracle_sql()['cosine_topk_all']})").fetchall()
-    assert sorted(map(tuple, plans.queries()["cosine_topk_all"](spark, sf).selectExpr(*cols.split(", ")).collect())) == sorted(want)
-
-
-def test_line_dedup_whatever_share_is_left(spark, sf):
-    from tracewell.llm import line_spread as ls
-
-    rows = [(i, f"a licence line that is long\nown {i}", f"s{i}") for i in range(5)] + [(10 + i, "copied one\n\ncopied two", f"s{i}") for i in range(5)] + [(20, "own\nown too\na licence line that is long", None), (21, "a licence line that is long\ncopied one", "s1")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: (r.text, r.n_removed) for r in ls.remove_boilerplate(df).collect()}
-    assert all(got[i] == (f"own {i}", 1) for i in range(5)) and got[20] == ("own\nown too", 1)
-    assert all(got[i] == (t, 0) for i, t, _ in rows[5:10] + rows[11:])
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").collect()
-    cut = {r.doc_id: [x.strip(" ") for x in r.text.split("\n")] if r.text is not None else [] for r in docs}
-    sites = defaultdict(set)
-    for r in docs:
-        for line in cut[r.doc_id]:
-            sites[line] |= {r.source} - {None}
-    bad = {line for line, s in sites.items() if line and len(s) >= 5}
-    for r in ls.op5_line_spread_all(spark, sf).collect():
-        n = sum(line in bad for line in cut[r.doc_id])
-        assert r.n_removed == (n if any(line and line not in bad for line in cut[r.doc_id]) else 0)
-    c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
-    assert sorted(map(repr, map(tuple, ls.op5_line_spread(spark, sf).collect()))) == sorted(map(repr, c.execute(f"SELECT doc_id, text, n_removed FROM ({ls.OP5_SQL})").fetchall()))
+    for same in (False, True):
+        got = {(r.query_id, r.vec_id): (r["rank"], r.similarity) for r in retrieval.cosine_topk(v, v.where("vec_id % 10 = 0"), 5, same, block).collect()}
+        want = {}
+        for q, e, label in rows[::10]:
+            best = sorted((-cos(e, f), i) for i, f, other in rows if not same or (label is not None and other == label))[:5]
+            want |= {(q, i): (n, -s) for n, (s, i) in enumerate(best, 1)}
+        assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
 
 
 def test_all_versions_are_those_of_each(spark, sf):
-    q = plans.queries()
-    facts_, known = A.facts(spark, sf).cache(), plans._known(spark, sf)
-    months = sorted(r.version for r in facts_.select("version").distinct().collect())
-    assert len(months) > 80
-
-    def rows(df, *drop):
-        cols = sorted(c for c in df.columns if c not in drop)
-        return sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
-
-    every = {n: q[n](spark, sf).cache() for n in ("graph_nodes_all", "related_all", "components_all", "findings_all", "entity_diff_all", "relationship_diff_all", "impact_d1_all", "prf_scores_all")}
-    for n in ("graph_nodes", "related", "entity_diff", "relationship_diff", "impact_d1", "prf_scores"):
-        one = {"version": A.TARGET} if "version" in every[n + "_all"].columns else {"base_version": A.BASE, "target_version": A.TARGET}
-        got = every[n + "_all"]
-        for c, v in one.items():
-            got = got.where(F.col(c) == v)
-        assert rows(got, *one) == rows(q[n](spark, sf)), n
-        key = "version" if "version" in one else "target_version"
-        assert {r[0] for r in every[n + "_all"].select(key).distinct().collect()} == set(months if key == "version" else months[1:])
-    found = every["findings_all"]
-    assert rows(found.where((F.col("version") == A.TARGET) & (F.col("finding_type") != "inconsistent_classification")), "version") == rows(q["finding_ids"](spark, sf))
-    for name, kind in (("undefined_refs", "undefined_reference"), ("duplicate_names", "duplicate_interface"), ("dual_class", "inconsistent_classification")):
-        assert rows(found.where((F.col("version") == A.TARGET) & (F.col("finding_type") == kind)), "version", "finding_id", "severity") == rows(q[name](spark, sf))
-    for m in (months[0], months[40]):
-        assert rows(every["graph_nodes_all"].where(F.col("version") == m), "version") == rows(graph.build_nodes(plans.version(spark, sf, m), known))
+    """Graph, findings, diff and components of one month alone give the rows of the job over all months."""
+    every, known, e = store(A.facts(spark, sf)), plans._known(spark, sf), A.entities(spark, sf)
+    one = A.facts(spark, sf, (A.TARGET,))
+    rows = lambda df, *drop: sorted(repr([r[c] for c in sorted(df.columns) if c not in drop]) for r in df.collect())
+    here = lambda df: df.where(F.col("version") == A.TARGET)
+    assert rows(here(every), "version") == rows(one, "version")
+    assert rows(here(graph.build_nodes(every, known, ("version",))), "version") == rows(graph.build_nodes(one, known))
+    all_found, found = findings.run(every, known, "version", by=("version",)), findings.run(one, known, A.TARGET)
+    assert rows(here(all_found), "version") == rows(found)
+    b, t = diff.consecutive(every)
+    pair = (F.col("base_version") == A.BASE) & (F.col("target_version") == A.TARGET)
+    all_changes = diff.relationship_diff(b, t, diff.PAIR).where(pair)
+    assert rows(all_changes, *diff.PAIR) == rows(diff.relationship_diff(A.facts(spark, sf, (A.BASE,)), one, labels=(A.BASE, A.TARGET)))
+    be, te = (diff.snapshot_entities(x, e, diff.PAIR) for x in (b, t))
+    assert rows(diff.entity_diff(be, te, diff.PAIR).where(pair), *diff.PAIR) == rows(diff.entity_diff(diff.snapshot_entities(A.facts(spark, sf, (A.BASE,)), e), diff.snapshot_entities(one, e), labels=(A.BASE, A.TARGET)))
     near = defaultdict(lambda: defaultdict(set))
-    for r in facts_.collect():
+    for r in every.collect():
         near[r.version][r.subject].add(r.object)
         near[r.version][r.object].add(r.subject)
     want = set()
@@ -131,27 +123,15 @@ def test_all_versions_are_those_of_each(spark, sf):
                 group = group | queue
             want |= {(m, x, min(group)) for x in group}
             left -= group
-    assert sorted(tuple(r) for r in every["components_all"].select("version", "entity_key", "component").collect()) == sorted(want)
-
-
-def test_quality_features_read_long_tokens_whole():
-    from tracewell.llm.quality_fm import BINS, STATISTICS, features
+    got = plans.queries()["components"](spark, sf).select("version", "entity_key", "component").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
 
-    token = "a" * 64 + "B" * 100 + "7" * 50 + "+" * 36 + "a" * 50
-    at, x = features(token)
-    upper, digit, other = x[list(at).index(BINS - STATISTICS + 4) :][:3]
-    assert (upper, digit, other) == (100 / 300, 50 / 300, 36 / 300)
-    shape = lambda t: features(t)[0][1]
-    assert shape("a" * 70) == shape("b" * 90) and shape("a" * 70) != shape("a" * 70 + "7")
 
+def test_a_month_reaches_the_scan(spark, sf):
+    plan = A.facts(spark, sf, ("1996-12",))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan(l_shipdate" in plan
 
-def test_secrets_need_no_digit(spark):
-    from tracewell.llm.pii_boost import find, fit, matches
 
-    key = "".join(random.Random(4).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40))
-    rows = [(1, f'x token = "{key}" y'), (2, f'x token = "{key}" y 7'), (3, "no run of that length " * 9), (4, "a" * 19), (5, "a" * 20), (6, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: [(m.start, m.end, m.value) for m in r.m or []] for r in df.select("doc_id", matches(F.col("text"), "secret").alias("m")).collect()}
-    assert found == {1: [(11, 51, key)], 2: [(11, 51, key)], 3: [], 4: [], 5: [(0, 20, "a" * 20)], 6: []}
-    kinds = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in find(df, model=fit(spark)).collect()}
-    assert kinds[1] == kinds[2] and kinds[3] == kinds[6] == []
+def test_components_that_do_not_settle_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        graph.weak_components(facts(spark, [(a, "x", b, 1.0) for a, b in EDGES]), store, rounds=1)

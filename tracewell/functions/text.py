@@ -46,6 +46,21 @@ def stem_variants(term: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(term, *forms))))
 
 
+# Forms that the evidence gate takes for one.
+PRE_STEMS = {
+    "provide": "provide", "provides": "provide", "provided": "provide",
+    "consume": "consume", "consumes": "consume", "consumed": "consume",
+    "require": "require", "requires": "require", "required": "require",
+    "depend": "depend", "depends": "depend", "depended": "depend",
+}
+
+
+def gate_variants(term: Column) -> Column:
+    """The variants under which the gate looks for a term: the one form of a listed verb, else `stem_variants`."""
+    fixed = F.create_map(*[F.lit(x) for pair in PRE_STEMS.items() for x in pair])[term]
+    return F.when(fixed.isNotNull(), F.array(fixed)).otherwise(stem_variants(term))
+
+
 def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.floor(F.length(text) / 4))
 

@@ -1,76 +1,155 @@
-"""Consistency detectors, content-addressed finding ids, validation and persistence rules.
+"""Consistency detectors, content-addressed finding ids, evidence, validation and persistence rules.
 
-`by` scopes graphs as in `graph`: the detectors then find in all versions at once.
+A finding is a row: finding_type, severity, entity_keys and fact_keys (sorted arrays), confidence, detector, title.  `by`
+scopes graphs as in `graph`: the detectors then find in all versions at once.  The registry may be one for all versions
+or carry the columns of `by`.  An id is taken over all keys of a finding, so the facts of one interface meet in one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import digest10
+from ..functions.text import digest10, sorted_keys
 from .graph import ends, in_each
 
-# Codes in finding ids, and severities.
+# Codes in finding ids.
 CODES = {
-    "undefined_reference": ("UNDEF", "high"),
-    "dangling_requires": ("DANGL", "medium"),
-    "duplicate_interface": ("DUPIF", "medium"),
-    "conflicting_providers": ("CONFL", "high"),
-    "orphan_entity": ("ORPHN", "medium"),
-    "unconsumed_signal": ("UNCON", "medium"),
-    "inconsistent_classification": ("CLASS", "medium"),
+    "undefined_reference": "UNDEFREF",
+    "dangling_requires": "DANGREQ",
+    "duplicate_interface": "DUPINTF",
+    "conflicting_providers": "CONFLPROV",
+    "orphan_entity": "ORPHAN",
+    "unconsumed_signal": "UNCSIG",
 }
+# Vocabularies.
+SEVERITIES = ("high", "medium", "low", "info")
+STATUSES = ("open", "accepted", "rejected", "needs_discussion")
+ENTITY_TYPES = ("component", "interface", "port", "signal", "dependency", "functional_flow")
 ORPHAN_TYPES = ("component", "interface", "signal", "functional_flow")
+FOUNDATION, SERVICES = "autosar:platform_foundation:", "autosar:platform_service:"
+COLUMNS = ("finding_type", "severity", "entity_keys", "fact_keys", "confidence", "detector", "title")
+NO_WITNESS = 0.5  # the confidence of a finding that nothing with a confidence supports
 
 
 def _p(facts: DataFrame, predicate: str) -> DataFrame:
     return facts.where(F.col("predicate") == predicate)
 
 
+def _scope(entities: DataFrame, by: tuple[str, ...]) -> list[str]:
+    """The columns that tell the registries of versions apart, where there is more than one."""
+    return [c for c in by if c in entities.columns]
+
+
+def _known(entities: DataFrame, by: tuple[str, ...], key: str = "entity_key") -> DataFrame:
+    return entities.select(*_scope(entities, by), F.col("entity_key").alias(key)).distinct()
+
+
+def _keys(column: str) -> Column:
+    return F.array_sort(F.collect_set(column))
+
+
+def _row(df: DataFrame, by: tuple[str, ...], kind: str, severity: Column, entity_keys: Column, detector: str, title: Column) -> DataFrame:
+    facts = F.col("fact_keys") if "fact_keys" in df.columns else F.array().cast("array<string>")
+    return df.select(
+        *by,
+        F.lit(kind).alias("finding_type"),
+        severity.alias("severity"),
+        F.array_sort(F.array_distinct(entity_keys)).alias("entity_keys"),
+        facts.alias("fact_keys"),
+        F.bround(F.coalesce(F.col("confidence"), F.lit(NO_WITNESS)), 4).alias("confidence"),
+        F.lit(detector).alias("detector"),
+        title.alias("title"),
+    )
+
+
+def _undefined(facts: DataFrame, entities: DataFrame, by: tuple[str, ...], typed: Column, detector: str) -> DataFrame:
+    each = facts.select(*by, "fact_key", "confidence", F.posexplode(F.array("subject", "object")).alias("pos", "entity_key")).where(typed)
+    missing = each.join(_known(entities, by), [*_scope(entities, by), "entity_key"], "left_anti")
+    per = missing.groupBy(*by, "fact_key").agg(F.max("confidence").alias("confidence"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity_key"))), lambda x: x["entity_key"]).alias("k")).withColumn("fact_keys", F.array("fact_key"))
+    return _row(per, by, "undefined_reference", F.lit("high"), F.col("k"), detector, F.concat(F.lit("Fact references undefined entity "), F.get("k", F.lit(0))))
+
+
 def undefined_references(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """finding_type, entity_keys, n_facts: ends that no entity defines."""
-    missing = ends(facts, by).join(entities, "entity_key", "left_anti")
-    return missing.groupBy(*by, "entity_key").agg(F.count(F.lit(1)).alias("n_facts")).select(*by, F.lit("undefined_reference").alias("finding_type"), F.col("entity_key").alias("entity_keys"), "n_facts")
+    """One finding per fact with an end, of a typed key, that the registry lacks: the missing keys, the fact."""
+    typed = F.substring_index("entity_key", ":", 1).isin(*ENTITY_TYPES)
+    return _undefined(facts, entities, by, typed, "UndefinedReferenceDetector")
+
+
+def undefined_references_adaptive(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same for facts whose subject is of the second vocabulary."""
+    return _undefined(facts.where(F.col("subject").startswith("autosar:")), entities, by, F.lit(True), "AutosarUndefinedReferenceDetector")
 
 
 def dangling_requires(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Interfaces that are required and that nothing provides."""
+    """One finding per consumer of an interface that nothing provides; high if the registry lacks the interface too."""
     offered = _p(facts, "provides").select(*by, "object").distinct()
-    return _p(facts, "requires").join(offered, [*by, "object"], "left_anti").groupBy(*by, "object").agg(F.count(F.lit(1)).alias("n_facts")).select(*by, F.lit("dangling_requires").alias("finding_type"), F.col("object").alias("entity_keys"), "n_facts")
+    lacking = _p(facts, "requires").join(offered, [*by, "object"], "left_anti")
+    per = lacking.groupBy(*by, "object").agg(_keys("fact_key").alias("fact_keys"), F.max("confidence").alias("confidence"))
+    known = _known(entities, by, "object").withColumn("defined", F.lit(True))
+    per = per.join(known, [*_scope(entities, by), "object"], "left")
+    each = lacking.select(*by, "subject", "object").distinct().join(per, [*by, "object"])
+    severity = F.when(F.col("defined"), "medium").otherwise("high")
+    return _row(each, by, "dangling_requires", severity, F.array("subject", "object"), "DanglingRequiresDetector", F.concat("subject", F.lit(" requires "), "object", F.lit(" but nothing provides it")))
+
+
+def _confidence(entities: DataFrame) -> Column:
+    return F.col("confidence") if "confidence" in entities.columns else F.lit(None).cast("double")
 
 
 def duplicate_interfaces(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Interfaces that share a name, as one finding per name."""
-    named = in_each(entities, facts, by).where("entity_type = 'interface'").groupBy(*by, F.lower(F.trim("name")).alias("n")).agg(F.collect_set("entity_key").alias("k"))
-    return named.where(F.size("k") >= 2).select(*by, F.lit("duplicate_interface").alias("finding_type"), F.array_join(F.array_sort("k"), ",").alias("entity_keys"), F.lit(0).cast("long").alias("n_facts"))
+    """Interfaces that share a name, as one finding per name, with the facts that touch one of them."""
+    rows = entities if _scope(entities, by) else in_each(entities, facts, by)
+    named = rows.where((F.substring_index("entity_key", ":", 1) == "interface") & (F.trim("name") != "")).select(*by, F.lower(F.trim("name")).alias("n"), "entity_key", _confidence(rows).alias("confidence"))
+    groups = named.groupBy(*by, "n").agg(_keys("entity_key").alias("k"), F.max("confidence").alias("confidence")).where(F.size("k") >= 2)
+    touching = facts.select(*by, "fact_key", F.explode(F.array_distinct(F.array("subject", "object"))).alias("entity_key"))
+    supports = groups.select(*by, "n", F.explode("k").alias("entity_key")).join(touching, [*by, "entity_key"]).groupBy(*by, "n").agg(_keys("fact_key").alias("fact_keys"))
+    found = groups.join(supports, [*by, "n"], "left").withColumn("fact_keys", F.coalesce("fact_keys", F.array().cast("array<string>")))
+    ids = F.array_join(F.transform("k", lambda x: F.upper(F.substring_index(x, ":", -1))), ", ")
+    return _row(found, by, "duplicate_interface", F.lit("medium"), F.col("k"), "DuplicateInterfaceDetector", F.concat(F.lit("Interfaces "), ids, F.lit(" share the name '"), "n", F.lit("'")))
 
 
 def conflicting_providers(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    shared = _p(facts, "provides").groupBy(*by, "object").agg(F.countDistinct("subject").alias("providers"), F.count(F.lit(1)).alias("n_facts"))
-    return shared.where("providers >= 2").select(*by, F.lit("conflicting_providers").alias("finding_type"), F.col("object").alias("entity_keys"), "n_facts")
+    """Interfaces that two or more components provide: the interface and its providers, the facts that say so."""
+    per = _p(facts, "provides").groupBy(*by, "object").agg(_keys("subject").alias("p"), _keys("fact_key").alias("fact_keys"), F.max("confidence").alias("confidence")).where(F.size("p") >= 2)
+    return _row(per, by, "conflicting_providers", F.lit("high"), F.concat(F.array("object"), "p"), "ConflictingProvidersDetector", F.concat(F.lit("Interface "), "object", F.lit(" claimed by "), F.size("p").cast("string"), F.lit(" providers")))
 
 
 def orphan_entities(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    lone = in_each(entities, facts, by).where(F.col("entity_type").isin(*ORPHAN_TYPES)).join(ends(facts, by).distinct(), [*by, "entity_key"], "left_anti")
-    return lone.select(*by, F.lit("orphan_entity").alias("finding_type"), F.col("entity_key").alias("entity_keys"), F.lit(0).cast("long").alias("n_facts"))
+    """Registered components, interfaces, signals and flows that no fact touches."""
+    rows = entities if _scope(entities, by) else in_each(entities, facts, by)
+    typed = rows.where(F.substring_index("entity_key", ":", 1).isin(*ORPHAN_TYPES)).select(*by, "entity_key", _confidence(rows).alias("confidence"))
+    lone = typed.join(ends(facts, by).distinct(), [*by, "entity_key"], "left_anti")
+    return _row(lone, by, "orphan_entity", F.lit("medium"), F.array("entity_key"), "OrphanEntityDetector", F.concat(F.lit("Orphan entity "), "entity_key"))
 
 
 def unconsumed_signals(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Signals none of whose carrying interfaces is required."""
+    """One finding per signal of an interface that nothing requires: the two, and what the interface carries."""
     used = _p(facts, "requires").select(*by, F.col("object").alias("subject")).distinct()
-    carried = _p(facts, "carries").join(used.withColumn("used", F.lit(1)), [*by, "subject"], "left")
-    dead = carried.groupBy(*by, "object").agg(F.count("used").alias("uses"), F.count(F.lit(1)).alias("n_facts")).where("uses = 0")
-    return dead.select(*by, F.lit("unconsumed_signal").alias("finding_type"), F.col("object").alias("entity_keys"), "n_facts")
-
-
-def inconsistent_classification(facts: DataFrame, entities: DataFrame, one: str = "requires", other: str = "provides", by: tuple[str, ...] = ()) -> DataFrame:
-    """Objects that stand under two classes that exclude each other (here: reached by both predicates)."""
-    both = facts.groupBy(*by, "object").agg(F.bool_or(F.col("predicate") == one).alias("a"), F.bool_or(F.col("predicate") == other).alias("b"), F.count(F.lit(1)).alias("n_facts"))
-    return both.where("a and b").select(*by, F.lit("inconsistent_classification").alias("finding_type"), F.col("object").alias("entity_keys"), "n_facts")
-
-
-DETECTORS = {
+    idle = _p(facts, "carries").join(used, [*by, "subject"], "left_anti")
+    per = idle.groupBy(*by, "subject").agg(_keys("fact_key").alias("fact_keys"), F.max("confidence").alias("confidence"))
+    each = idle.select(*by, "subject", "object").distinct().join(per, [*by, "subject"])
+    return _row(each, by, "unconsumed_signal", F.lit("medium"), F.array("subject", "object"), "UnconsumedSignalDetector", F.concat(F.lit("Signal "), "object", F.lit(" has no consumer")))
+
+
+def inconsistent_classification(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Functional clusters that belong to a foundation and to a services parent: the cluster, all parents of the registry."""
+    scope = _scope(entities, by)
+    parents = entities.where(F.col("entity_key").startswith(FOUNDATION) | F.col("entity_key").startswith(SERVICES)).select(*scope, "entity_key").distinct()
+    belongs = _p(facts, "belongs_to").where(F.col("subject").startswith("autosar:functional_cluster:"))
+    sided = belongs.join(parents.withColumnRenamed("entity_key", "object"), [*scope, "object"])
+    one = F.col("object").startswith(FOUNDATION)
+    both = sided.groupBy(*by, "subject").agg(F.bool_or(one).alias("f"), F.bool_or(~one).alias("s"), _keys("fact_key").alias("fact_keys"), F.max("confidence").alias("confidence")).where("f and s")
+    listed = parents.groupBy(*scope).agg(_keys("entity_key").alias("parents"))  # a handful a registry
+    both = both.join(listed, scope) if scope else both.join(F.broadcast(listed), F.lit(True))
+    return _row(both, by, "undefined_reference", F.lit("medium"), F.concat(F.array("subject"), "parents"), "InconsistentClassificationDetector", F.concat("subject", F.lit(" classified into both platform partitions")))
+
+
+Detector = Callable[..., DataFrame]
+DETECTORS: dict[str, Detector] = {
     "undefined_reference": undefined_references,
     "dangling_requires": dangling_requires,
     "duplicate_interface": duplicate_interfaces,
@@ -78,43 +157,94 @@ DETECTORS = {
     "orphan_entity": orphan_entities,
     "unconsumed_signal": unconsumed_signals,
 }
-PROFILES = {"application": DETECTORS, "adaptive": {"undefined_reference": undefined_references, "inconsistent_classification": inconsistent_classification}}
+PROFILES: dict[str, dict[str, Detector]] = {
+    "application": DETECTORS,
+    "adaptive": {"undefined_reference": undefined_references_adaptive, "inconsistent_classification": inconsistent_classification},
+}
+
 
+def finding_id(version: Column) -> Column:
+    code = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
+    return F.concat(F.lit("M6-"), code[F.col("finding_type")], F.lit("-"), digest10(version, F.col("finding_type"), sorted_keys(F.col("entity_keys")), sorted_keys(F.col("fact_keys"))))
 
-def finding_id(version) -> F.Column:
-    code = F.create_map(*[F.lit(x) for t, (c, _) in CODES.items() for x in (t, c)])
-    return F.concat(F.lit("M6-"), code[F.col("finding_type")], F.lit("-"), digest10(version, F.col("finding_type"), F.col("entity_keys"), F.lit("")))
 
+def run(facts: DataFrame, entities: DataFrame, version: str, detectors: dict[str, Detector] | None = None, by: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> DataFrame:
+    """All findings of a version, or of each of the column that `by` and `version` name: finding_id, version_label, status
+    and COLUMNS.  `only` names the detectors to run (all by default)."""
+    chosen = {k: d for k, d in (detectors or DETECTORS).items() if not only or k in only}
+    unknown = set(only) - set(chosen)
+    if unknown:
+        raise ValueError(f"unknown detector {sorted(unknown)}")
+    found = reduce(DataFrame.unionByName, (detect(facts, entities, by=by) for detect in chosen.values()))
+    label = F.col(version) if version in by else F.lit(version)
+    return found.select(*by, finding_id(label).alias("finding_id"), label.alias("version_label"), F.lit("open").alias("status"), *COLUMNS)
 
-def run(facts: DataFrame, entities: DataFrame, version: str, detectors: dict | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """All findings of a version, or of each of the column that `by` and `version` name: finding_id, finding_type, severity, entity_keys, n_facts."""
-    found = None
-    for detect in (detectors or DETECTORS).values():
-        part = detect(facts, entities, by=by)
-        found = part if found is None else found.unionByName(part)
-    severity = F.create_map(*[F.lit(x) for t, (_, s) in CODES.items() for x in (t, s)])
-    return found.select(*by, finding_id(F.col(version) if version in by else F.lit(version)).alias("finding_id"), "finding_type", severity[F.col("finding_type")].alias("severity"), "entity_keys", "n_facts")
+
+def evidence(findings: DataFrame, facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """finding_id, kind, key, note and provenance: a row for each fact and each entity behind a finding.
+
+    An entity that the registry lacks has no provenance and says so in its note.
+    """
+    scope = _scope(entities, by)
+    prov = lambda df: F.col("provenance") if "provenance" in df.columns else F.lit(None).cast("string")
+    f = facts.select(*by, F.col("fact_key").alias("key"), prov(facts).alias("provenance"), F.lit(True).alias("known"))
+    e = entities.select(*scope, F.col("entity_key").alias("key"), prov(entities).alias("provenance"), F.lit(True).alias("known"))
+    of_facts = findings.select(*by, "finding_id", F.explode("fact_keys").alias("key")).join(f, [*by, "key"], "left").select(*by, "finding_id", F.lit("fact").alias("kind"), "key", F.lit("supporting registry fact").alias("note"), "provenance")
+    of_entities = findings.select(*by, "finding_id", F.explode("entity_keys").alias("key")).join(e, [*scope, "key"], "left")
+    note = F.when(F.col("known"), "referenced entity").otherwise("entity absent from registry")
+    return of_facts.unionByName(of_entities.select(*by, "finding_id", F.lit("entity").alias("kind"), "key", note.alias("note"), "provenance"))
 
 
 def breakdown(findings: DataFrame) -> DataFrame:
-    """Counts by type and by severity and in all, in one pass of grouping sets."""
-    return findings.groupingSets([[F.col("finding_type")], [F.col("severity")], []], "finding_type", "severity").agg(F.count(F.lit(1)).alias("n"))
-
-
-def validate(findings: DataFrame, entities: DataFrame, version: str) -> DataFrame:
-    """rule, n: ids that do not follow from the content, unknown types, repeated ids, keys no entity has (undefined ones exempt)."""
-    rules = {
-        "id_mismatch": findings.where(F.col("finding_id") != finding_id(F.lit(version))),
-        "unknown_type": findings.where(~F.col("finding_type").isin(*CODES)),
-        "repeated_id": findings.groupBy("finding_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
-        "no_entity": findings.where(F.col("entity_keys") == ""),
-        "unknown_entity": findings.where(~F.col("finding_type").isin("undefined_reference", "dangling_requires")).select(F.explode(F.split("entity_keys", ",")).alias("entity_key")).join(entities, "entity_key", "left_anti"),
+    """Counts by type, by severity, by status and in all, in one pass of grouping sets."""
+    return findings.groupingSets([[F.col("finding_type")], [F.col("severity")], [F.col("status")], []], "finding_type", "severity", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def select(findings: DataFrame, finding_type: str | None = None, severity: str | None = None, status: str | None = None) -> DataFrame:
+    """The findings of a type, a severity and a status, as far as given."""
+    for column, value in (("finding_type", finding_type), ("severity", severity), ("status", status)):
+        findings = findings.where(F.col(column) == value) if value else findings
+    return findings
+
+
+def issues(findings: DataFrame, facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """rule, finding_id, detail: what breaks a rule.
+
+    Ids must follow from the content and not repeat; types, severities and states are of the vocabularies; confidences
+    lie in [0, 1]; titles and keys are there; facts are in the registry, and entities too but for undefined and dangling
+    findings, whose point is that they are not; keys have a type (both vocabularies); a version is named.
+    """
+    expected = finding_id(F.col("version_label"))
+    known_type = F.col("finding_type").isin(*CODES)
+    tests = {
+        "invalid_finding_type": ~known_type,
+        "invalid_finding_id": known_type & ~F.col("finding_id").eqNullSafe(expected),
+        "invalid_severity": ~F.col("severity").isin(*SEVERITIES),
+        "invalid_status": ~F.col("status").isin(*STATUSES),
+        "invalid_confidence": ~F.col("confidence").between(0, 1),
+        "missing_description": F.trim("title") == "",
+        "missing_evidence": (F.size("fact_keys") == 0) & (F.size("entity_keys") == 0),
+        "version_mismatch": F.trim("version_label") == "",
     }
-    out = None
-    for rule, df in rules.items():
-        part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
-        out = part if out is None else out.union(part)
-    return out
+    failed = F.filter(F.array(*[F.when(F.coalesce(t, F.lit(True)), name) for name, t in tests.items()]), lambda x: x.isNotNull())
+    out = findings.select(F.explode(failed).alias("rule"), "finding_id", F.lit("").alias("detail"))
+    repeated = findings.groupBy("finding_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("duplicate_finding_id").alias("rule"), "finding_id", F.col("n").cast("string").alias("detail"))
+    keys = findings.select(*by, "finding_id", "finding_type", F.explode("entity_keys").alias("entity_key"))
+    shaped = F.col("entity_key").rlike("^(?:" + "|".join(ENTITY_TYPES) + "):.+|^autosar:[a-z_]+:.+")
+    malformed = keys.where(~shaped).select(F.lit("malformed_entity_key").alias("rule"), "finding_id", F.col("entity_key").alias("detail"))
+    absent = keys.where(shaped & ~F.col("finding_type").isin("undefined_reference", "dangling_requires")).join(_known(entities, by), [*_scope(entities, by), "entity_key"], "left_anti").select(F.lit("unknown_entity_key").alias("rule"), "finding_id", F.col("entity_key").alias("detail"))
+    unknown = findings.select(*by, "finding_id", F.explode("fact_keys").alias("fact_key")).join(facts.select(*by, "fact_key").distinct(), [*by, "fact_key"], "left_anti").select(F.lit("unknown_fact_key").alias("rule"), "finding_id", F.col("fact_key").alias("detail"))
+    return reduce(DataFrame.unionByName, (repeated, malformed, absent, unknown), out)
+
+
+RULES = ("invalid_finding_type", "invalid_finding_id", "invalid_severity", "invalid_status", "invalid_confidence", "missing_description", "missing_evidence", "version_mismatch", "duplicate_finding_id", "malformed_entity_key", "unknown_entity_key", "unknown_fact_key")
+
+
+def validate(findings: DataFrame, facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """rule, n: how often each rule is broken, rules that hold included."""
+    n = issues(findings, facts, entities, by).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    every = findings.sparkSession.createDataFrame([(r,) for r in RULES], "rule string")
+    return every.join(n, "rule", "left").select("rule", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def carry_over(current: DataFrame, previous: DataFrame) -> DataFrame:

@@ -1,101 +1,190 @@
 """Version-scoped labelled multigraphs: nodes(entity_key, entity_type, name) and edges(subject, predicate, object, fact_key, ...).
 
 `by` names the columns of the facts that scope a graph, such as the version: all their graphs are one job.  Without it the
-facts are one graph.
+facts are one graph.  write(df) stores a table in the shared folder and returns what it reads back, so that the plan of an
+iteration does not grow.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+By = tuple[str, ...]
+# The types under which a bare id is looked up, in this order.
+ID_TYPES = ("component", "interface", "port", "signal", "dependency", "functional_flow")
+UNREGISTERED = "unregistered"
+
 
-def ends(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def ends(facts: DataFrame, by: By = ()) -> DataFrame:
     return facts.select(*by, F.explode(F.array("subject", "object")).alias("entity_key"))
 
 
-def in_each(entities: DataFrame, facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """The registry once for each graph that the facts have."""
-    return entities.crossJoin(facts.select(*by).distinct()) if by else entities
+def in_each(entities: DataFrame, facts: DataFrame, by: By = ()) -> DataFrame:
+    """The registry once for each graph that the facts have: nodes are rows a graph, so the output is as large."""
+    return entities.join(facts.select(*by).distinct(), F.lit(True)) if by else entities
 
 
-def implicit_nodes(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def implicit_nodes(facts: DataFrame, entities: DataFrame, by: By = ()) -> DataFrame:
     """Keys that facts name and the registry does not hold."""
     return ends(facts, by).distinct().join(entities, "entity_key", "left_anti")
 
 
-def build_nodes(facts: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    known = in_each(entities, facts, by).select(*by, "entity_key", "entity_type", "name", F.lit("registry").alias("source"))
-    unknown = implicit_nodes(facts, entities, by).select(*by, "entity_key", F.substring_index("entity_key", ":", 1).alias("entity_type"), F.substring_index("entity_key", ":", -1).alias("name"), F.lit("unregistered").alias("source"))
+def build_nodes(facts: DataFrame, entities: DataFrame, by: By = ()) -> DataFrame:
+    """entity_key, entity_type, name, confidence, source: registered nodes, then those only facts name (confidence 0)."""
+    confidence = F.col("confidence") if "confidence" in entities.columns else F.lit(1.0)
+    known = in_each(entities, facts, by).select(*by, "entity_key", "entity_type", "name", confidence.alias("confidence"), F.lit("registry").alias("source"))
+    unknown = implicit_nodes(facts, entities, by).select(*by, "entity_key", key_type(F.col("entity_key")).alias("entity_type"), F.substring_index("entity_key", ":", -1).alias("name"), F.lit(0.0).alias("confidence"), F.lit(UNREGISTERED).alias("source"))
     return known.unionByName(unknown)
 
 
-def ordered_edges(facts: DataFrame) -> DataFrame:
-    return facts.select("subject", "predicate", "object", "fact_key", "confidence").orderBy("subject", "predicate", "object", "fact_key")
+def clean_attributes(attributes: Column) -> Column:
+    """A map of attributes without the empty ones."""
+    return F.map_filter(attributes, lambda _, v: F.coalesce(v, F.lit("")) != "")
+
 
+def ordered_edges(facts: DataFrame, by: By = ()) -> DataFrame:
+    return facts.select(*by, "subject", "predicate", "object", "fact_key", "confidence").orderBy(*by, "subject", "predicate", "object", "fact_key")
 
-def degrees(facts: DataFrame) -> DataFrame:
+
+def degrees(facts: DataFrame, by: By = ()) -> DataFrame:
     """entity_key, in_degree, out_degree, degree; a loop counts twice."""
-    marked = facts.select(F.explode(F.array(F.struct(F.col("subject").alias("k"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("object").alias("k"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
-    return marked.groupBy(F.col("x.k").alias("entity_key")).agg(F.sum("x.i").alias("in_degree"), F.sum("x.o").alias("out_degree"), F.count(F.lit(1)).alias("degree"))
+    marked = facts.select(*by, F.explode(F.array(F.struct(F.col("subject").alias("k"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("object").alias("k"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
+    return marked.groupBy(*by, F.col("x.k").alias("entity_key")).agg(F.sum("x.i").alias("in_degree"), F.sum("x.o").alias("out_degree"), F.count(F.lit(1)).alias("degree"))
 
 
-def adjacency(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def adjacency(facts: DataFrame, by: By = ()) -> DataFrame:
     """Both directions: node, neighbour, predicate, fact_key, direction."""
     out = facts.select(*by, F.col("subject").alias("node"), F.col("object").alias("neighbour"), "predicate", "fact_key", F.lit("out").alias("direction"))
     return out.unionByName(facts.select(*by, F.col("object").alias("node"), F.col("subject").alias("neighbour"), "predicate", "fact_key", F.lit("in").alias("direction")))
 
 
-def related(facts: DataFrame, entities: DataFrame, keys: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Edges at the given keys with the neighbour's name, per predicate and direction."""
-    near = adjacency(facts, by).join(keys.select(F.col("entity_key").alias("node")), "node")
-    return near.join(entities.select(F.col("entity_key").alias("neighbour"), "name"), "neighbour", "left").groupBy(*by, "node", "predicate", "direction").agg(F.count(F.lit(1)).alias("n_edges"), F.array_join(F.array_sort(F.collect_set("neighbour")), ",").alias("neighbours"))
+def neighbors(facts: DataFrame, by: By = (), direction: str | None = None) -> DataFrame:
+    """node, neighbour: distinct adjacent keys, of out edges ('out', successors), in edges ('in', predecessors) or both."""
+    steps = adjacency(facts, by)
+    return (steps.where(F.col("direction") == direction) if direction else steps).select(*by, "node", "neighbour").distinct()
+
+
+def touching(facts: DataFrame, entities: DataFrame, keys: DataFrame, by: By = ()) -> DataFrame:
+    """node, predicate, direction, fact_key, neighbour, neighbour_type, neighbour_name of all edges at the given keys."""
+    near = adjacency(facts, by).where("not (direction = 'in' and node = neighbour)").join(keys.select(F.col("entity_key").alias("node")), "node")
+    named = entities.select(F.col("entity_key").alias("neighbour"), F.col("entity_type").alias("neighbour_type"), F.col("name").alias("neighbour_name"))
+    return near.join(named, "neighbour", "left").select(*by, "node", "predicate", "direction", "fact_key", "neighbour", "neighbour_type", "neighbour_name")
+
+
+def related(facts: DataFrame, entities: DataFrame, keys: DataFrame, by: By = ()) -> DataFrame:
+    """The edges at the given keys per predicate and direction: n_edges, neighbours (sorted, joined by commas)."""
+    return touching(facts, entities, keys, by).groupBy(*by, "node", "predicate", "direction").agg(F.count(F.lit(1)).alias("n_edges"), F.array_join(F.array_sort(F.collect_set("neighbour")), ",").alias("neighbours"))
+
+
+def entity_detail(facts: DataFrame, nodes: DataFrame, key: str, by: By = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The node of a key, its outgoing edges and its incoming ones, in order."""
+    order = [*by, "predicate", "subject", "object", "fact_key"]
+    return nodes.where(F.col("entity_key") == key), facts.where(F.col("subject") == key).orderBy(*order), facts.where(F.col("object") == key).orderBy(*order)
+
+
+def search_entities(entities: DataFrame, query: str) -> DataFrame:
+    """Entities whose key or name holds the query, whatever the case; all for an empty query."""
+    wanted = query.strip().lower()
+    found = entities.where(F.contains(F.lower(F.concat_ws(" ", "entity_key", "name")), F.lit(wanted))) if wanted else entities
+    return found.orderBy("entity_key")
+
+
+def facts_of_id(facts: DataFrame, ident: str) -> DataFrame:
+    """Facts with an end whose key ends in `:ident`, whatever the case."""
+    tail = f":{ident.strip().lower()}"
+    return facts.where(F.lower("subject").endswith(tail) | F.lower("object").endswith(tail)).orderBy("fact_key")
 
 
 def resolve_keys(idents: DataFrame, entities: DataFrame) -> DataFrame:
-    """ident -> entity_key: the exact key, else the id after the type, else a name that only one entity has."""
-    exact = idents.join(entities.select(F.col("entity_key").alias("ident"), F.col("entity_key").alias("exact")), "ident", "left")
-    tail = entities.select(F.substring_index("entity_key", ":", -1).alias("ident"), "entity_key").groupBy("ident").agg(F.min("entity_key").alias("by_id"))
-    name = entities.select(F.lower("name").alias("lname"), "entity_key").groupBy("lname").agg(F.min("entity_key").alias("by_name"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    found = exact.join(tail, "ident", "left").withColumn("lname", F.lower("ident")).join(name, "lname", "left")
-    return found.select("ident", F.coalesce("exact", "by_id", "by_name").alias("entity_key"))
-
-
-def k_hop(facts: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """seed, node, depth: the nodes within `hops` undirected steps of each seed, at their least depth."""
-    steps = adjacency(facts).select("node", "neighbour").distinct()
-    seen = frontier = seeds.select(F.col("entity_key").alias("seed"), F.col("entity_key").alias("node"), F.lit(0).alias("depth"))
+    """ident -> entity_key: the exact key, else type:ID in any case, else the id under the types of ID_TYPES in order, else
+    the name that only one entity has; null if there is none.  An ident with a colon is never a name."""
+    trimmed = idents.withColumn("__i", F.trim("ident"))
+    keys = entities.select("entity_key").distinct()
+    colon = F.contains("__i", F.lit(":"))
+    typed = F.when(colon, F.concat(F.lower(F.substring_index("__i", ":", 1)), F.lit(":"), F.upper(F.expr("substring(__i, locate(':', __i) + 1)"))))
+    found = trimmed.join(keys.select(F.col("entity_key").alias("__i"), F.col("entity_key").alias("exact")), "__i", "left")
+    found = found.withColumn("__t", typed).join(keys.select(F.col("entity_key").alias("__t"), F.col("entity_key").alias("typed")), "__t", "left")
+    rank = F.array_position(F.array(*map(F.lit, ID_TYPES)), key_type(F.col("entity_key")))
+    ids = keys.where(rank > 0).select(F.expr("substring(entity_key, locate(':', entity_key) + 1)").alias("__u"), rank.alias("r"), "entity_key").groupBy("__u").agg(F.min_by("entity_key", "r").alias("by_id"))
+    name = entities.select(F.lower("name").alias("__l"), "entity_key").groupBy("__l").agg(F.min("entity_key").alias("by_name"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    found = found.withColumn("__u", F.when(~colon, F.upper("__i"))).join(ids, "__u", "left").withColumn("__l", F.when(~colon, F.lower("__i"))).join(name, "__l", "left")
+    return found.select("ident", F.coalesce("exact", "typed", "by_id", "by_name").alias("entity_key"))
+
+
+def k_hop(facts: DataFrame, seeds: DataFrame, hops: int, by: By = (), entity_type: str | None = None, write=lambda df: df) -> DataFrame:
+    """seed, node, depth: the nodes within `hops` undirected steps of each seed, at their least depth.
+
+    With a type, a step only reaches nodes of it.  Seeds carry the columns of `by`, or start in every graph that has them.
+    """
+    if hops < 0:
+        raise ValueError("hops must not be negative")
+    steps = neighbors(facts, by)
+    steps = write(steps.where(key_type(F.col("neighbour")) == entity_type) if entity_type else steps)
+    seen = frontier = _starts(facts, seeds, by).withColumn("depth", F.lit(0))
     for depth in range(1, hops + 1):
-        reached = frontier.join(steps, "node").select("seed", F.col("neighbour").alias("node")).distinct()
-        frontier = reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        reached = frontier.join(steps, [*by, "node"]).select(*by, "seed", F.col("neighbour").alias("node")).distinct()
+        frontier = write(reached.join(seen.select(*by, "seed", "node"), [*by, "seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
 
 
-def shortest_lengths(facts: DataFrame, seeds: DataFrame, longest: int | None = None, write=None) -> DataFrame:
-    """seed, node, length of all nodes that undirected steps reach from a seed; at most `longest` steps if given.
+def _starts(facts: DataFrame, seeds: DataFrame, by: By) -> DataFrame:
+    if all(c in seeds.columns for c in by):
+        found = seeds.select(*by, "entity_key")
+    else:
+        found = ends(facts, by).distinct().join(seeds.select("entity_key"), "entity_key", "left_semi").select(*by, "entity_key")
+    return found.distinct().select(*by, F.col("entity_key").alias("seed"), F.col("entity_key").alias("node"))
 
-    Without a limit the frontier is iterated until it is empty.  Steps go both ways, so a neighbour of the frontier is new
-    or stands in the last two levels.  write(df) stores a level and returns what it reads back, so that the plan does not grow.
+
+def shortest_lengths(facts: DataFrame, seeds: DataFrame, write, by: By = (), directed: bool = False) -> DataFrame:
+    """seed, node, length of all nodes that steps reach from a seed, however many.
+
+    The frontier is iterated until it is empty.  Undirected steps go both ways, so a neighbour of the frontier is new or
+    stands in the last two levels; directed ones are held against all levels.
     """
-    if longest is not None:
-        return k_hop(facts, seeds, longest).where("depth > 0").select("seed", "node", F.col("depth").cast("long").alias("length"))
-    steps = write(adjacency(facts).select("node", "neighbour").distinct())
-    frontier = write(seeds.select(F.col("entity_key").alias("seed"), F.col("entity_key").alias("node"), F.lit(0).cast("long").alias("length")).distinct())
+    steps = write(neighbors(facts, by, "out" if directed else None))
+    frontier = write(_starts(facts, seeds, by).withColumn("length", F.lit(0).cast("long")))
     before, found, length = frontier.limit(0), frontier.limit(0), 0
     while not frontier.isEmpty():
         length += 1
-        reached = frontier.join(steps, "node").select("seed", F.col("neighbour").alias("node")).distinct()
-        level = write(reached.join(frontier.union(before).select("seed", "node"), ["seed", "node"], "left_anti").withColumn("length", F.lit(length).cast("long")))
+        reached = frontier.join(steps, [*by, "node"]).select(*by, "seed", F.col("neighbour").alias("node")).distinct()
+        past = (found.union(frontier) if directed else frontier.union(before)).select(*by, "seed", "node")
+        start = reached.where("seed <> node")
+        level = write(start.join(past, [*by, "seed", "node"], "left_anti").withColumn("length", F.lit(length).cast("long")))
         before, frontier, found = frontier, level, found.union(level)
     return found
 
 
-def weak_components(facts: DataFrame, write, rounds: int = 40, by: tuple[str, ...] = ()) -> DataFrame:
-    """entity_key, component (the smallest key): alternating re-hanging of neighbours on the smallest key around them.
+def shortest_paths(facts: DataFrame, pairs: DataFrame, write, by: By = (), directed: bool = True) -> DataFrame:
+    """source, target, length, path (array of keys) for every pair (source, target) that steps join.
 
-    write(df) stores a round's edges and returns what it reads back, so that the plan does not grow.
+    Of paths of equal length the one whose keys come first in order is returned; a path from a node to itself has length
+    0.  A source's search ends when its targets are found or nothing is new.
     """
+    steps = write(neighbors(facts, by, "out" if directed else None))
+    wanted = write(pairs.select(*by, "source", "target").distinct())
+    nodes = write(ends(facts, by).distinct())
+    begin = wanted.select(*by, "source").distinct().join(nodes.withColumnRenamed("entity_key", "source"), [*by, "source"])
+    frontier = write(begin.select(*by, "source", F.col("source").alias("node"), F.array("source").alias("path")))
+    seen = frontier
+    while True:
+        done = wanted.join(seen.select(*by, "source", F.col("node").alias("target")), [*by, "source", "target"])
+        left = wanted.join(done, [*by, "source", "target"], "left_anti").select(*by, "source").distinct()
+        step = frontier.join(left, [*by, "source"], "left_semi").join(steps, [*by, "node"]).select(*by, "source", F.col("neighbour").alias("node"), "path")
+        fresh = step.join(seen.select(*by, "source", "node"), [*by, "source", "node"], "left_anti").groupBy(*by, "source", "node").agg(F.min("path").alias("path"))
+        frontier = write(fresh.select(*by, "source", "node", F.concat("path", F.array("node")).alias("path")))
+        if frontier.isEmpty():
+            break
+        seen = write(seen.unionByName(frontier))
+    found = wanted.join(seen.withColumnRenamed("node", "target"), [*by, "source", "target"])
+    return found.select(*by, "source", "target", (F.size("path") - 1).cast("long").alias("length"), "path")
+
+
+def weak_components(facts: DataFrame, write, rounds: int = 40, by: By = ()) -> DataFrame:
+    """entity_key, component (the smallest key): alternating re-hanging of neighbours on the smallest key around them."""
     edges = write(facts.where("subject <> object").select(*by, F.greatest("subject", "object").alias("a"), F.least("subject", "object").alias("b")).distinct())
     lone = ends(facts, by).distinct()
     for _ in range(rounds):
@@ -108,18 +197,44 @@ def weak_components(facts: DataFrame, write, rounds: int = 40, by: tuple[str, ..
         edges = after
         if done:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.groupBy(*by, "a").agg(F.min("b").alias("component")).withColumnRenamed("a", "entity_key")
     return lone.join(roots, [*by, "entity_key"], "left").select(*by, "entity_key", F.coalesce("component", "entity_key").alias("component"))
 
 
-def filter_graph(facts: DataFrame, nodes: DataFrame, entity_type: str | None = None, predicate: str | None = None, min_confidence: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """The nodes of a type and the edges among them that pass; nodes without such an edge stay."""
-    kept = nodes.where(F.col("entity_type") == entity_type) if entity_type else nodes
-    keys = kept.select("entity_key")
-    edges = facts.where(F.col("confidence") >= min_confidence)
-    edges = edges.where(F.col("predicate") == predicate) if predicate else edges
-    if entity_type:
-        edges = edges.join(keys.withColumnRenamed("entity_key", "subject"), "subject", "left_semi").join(keys.withColumnRenamed("entity_key", "object"), "object", "left_semi")
+def component_sizes(components: DataFrame, min_size: int = 1, by: By = ()) -> DataFrame:
+    """component, size of those with at least `min_size` nodes, the largest first, then by the smallest key."""
+    sized = components.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
+    return sized.orderBy(*by, F.col("size").desc(), "component")
+
+
+def filter_graph(facts: DataFrame, nodes: DataFrame, entity_type: str | None = None, predicate: str | None = None, min_confidence: float | None = None, node: str | None = None, depth: int = 0, by: By = (), endpoints_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges that pass all filters given.
+
+    A type keeps its nodes, or with `node` limits each step from it; `node` and `depth` keep what undirected steps reach.
+    Edges need both ends, the predicate and the confidence; nodes without such an edge stay unless `endpoints_only`.
+    """
+    if node is not None:
+        seed = nodes.where(F.col("entity_key") == node).select("entity_key").distinct()
+        if seed.isEmpty():
+            raise ValueError(f"node {node!r} not in graph")
+        near = k_hop(facts, seed, depth, by, entity_type).select(*by, F.col("node").alias("entity_key"))
+        kept = nodes.join(near.distinct(), [*by, "entity_key"], "left_semi") if depth else nodes.where(F.col("entity_key") == node)
+    else:
+        kept = nodes.where(F.col("entity_type") == entity_type) if entity_type else nodes
+    edges = facts
+    if predicate is not None:
+        edges = edges.where(F.col("predicate") == predicate)
+    if min_confidence is not None:
+        edges = edges.where(F.col("confidence") >= min_confidence)
+    if entity_type or node is not None:
+        keys = kept.select(*[c for c in by if c in kept.columns], "entity_key").distinct()
+        on = [c for c in by if c in kept.columns]
+        for end in ("subject", "object"):
+            edges = edges.join(keys.withColumnRenamed("entity_key", end), [*on, end], "left_semi")
+    if endpoints_only:
+        kept = kept.join(ends(edges, by).distinct(), [*[c for c in by if c in kept.columns], "entity_key"], "left_semi")
     return kept, edges
 
 
@@ -138,31 +253,112 @@ def key_type(key: Column) -> Column:
     return F.substring_index(key, ":", 1)
 
 
-def domain_range_violations(facts: DataFrame, rules=DOMAIN_RANGE) -> DataFrame:
-    allowed = F.lit(False)
-    for p, s, o in rules:
-        allowed = allowed | ((F.col("predicate") == p) & (key_type(F.col("subject")) == s) & (key_type(F.col("object")) == o))
-    return facts.where(~allowed).select("fact_key", key_type(F.col("subject")).alias("subject_type"), "predicate", key_type(F.col("object")).alias("object_type"))
+def domain_range_violations(facts: DataFrame, rules=DOMAIN_RANGE, by: By = ()) -> DataFrame:
+    """Facts whose ends are of types that their predicate does not join; of an unknown predicate all."""
+    allowed = reduce(lambda a, b: a | b, ((F.col("predicate") == p) & (key_type(F.col("subject")) == s) & (key_type(F.col("object")) == o) for p, s, o in rules), F.lit(False))
+    return facts.where(~allowed).select(*by, "fact_key", key_type(F.col("subject")).alias("subject_type"), "predicate", key_type(F.col("object")).alias("object_type"))
+
+
+RULES = ("empty_end", "predicate", "confidence_range", "domain_range", "fact_key", "duplicate_fact", "provenance", "node_key", "unregistered", "orphan", "dependency_orphan")
+ERRORS = RULES[:7]  # the rest are warnings
 
 
-def validate(facts: DataFrame, entities: DataFrame) -> DataFrame:
-    """rule, n: how many rows break each integrity rule."""
-    rules = {
-        "empty_end": facts.where((F.col("subject") == "") | (F.col("object") == "")),
+def validate(facts: DataFrame, entities: DataFrame, by: By = (), rules=DOMAIN_RANGE) -> DataFrame:
+    """rule, n: how many rows break each integrity rule, in every graph, rules that hold included.
+
+    Errors: ends, known predicates, confidences in [0, 1], types that a predicate joins, a fact key, each once, and the
+    document in the provenance where facts have one.  Warnings: keys without a type or of another type than the node, ends
+    that the registry lacks, nodes without an edge (dependencies, which never have one, apart).
+    """
+    nodes = build_nodes(facts, entities, by)
+    lone = nodes.select(*by, "entity_key").distinct().join(ends(facts, by).distinct(), [*by, "entity_key"], "left_anti")
+    dependency = F.col("entity_key").startswith("dependency:")
+    blank = (F.col("subject") == "") | (F.col("object") == "") | F.col("subject").isNull() | F.col("object").isNull()
+    known = F.col("predicate").isin(*{p for p, _, _ in rules})
+    unnamed = F.coalesce(F.col("provenance.document_name"), F.lit("")) == "" if "provenance" in facts.columns else F.lit(False)
+    misshapen = ~F.col("entity_key").rlike("^[^:\\s]+:.+") | (key_type(F.col("entity_key")) != F.when(F.col("entity_key").startswith("autosar:"), "autosar").otherwise(F.col("entity_type")))
+    broken = {
+        "empty_end": facts.where(blank),
+        "predicate": facts.where(~known),
         "confidence_range": facts.where(~F.col("confidence").between(0, 1)),
-        "domain_range": domain_range_violations(facts),
-        "unregistered": implicit_nodes(facts, entities),
-        "orphan": entities.join(ends(facts).distinct(), "entity_key", "left_anti"),
-        "duplicate_fact": facts.groupBy("fact_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+        "domain_range": domain_range_violations(facts.where(known), rules, by),
+        "fact_key": facts.where(F.coalesce("fact_key", F.lit("")) == ""),
+        "duplicate_fact": facts.groupBy(*by, "fact_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+        "provenance": facts.where(unnamed),
+        "node_key": nodes.where(misshapen),
+        "unregistered": nodes.where(F.col("source") == UNREGISTERED),
+        "orphan": lone.where(~dependency),
+        "dependency_orphan": lone.where(dependency),
     }
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n") for rule, df in rules.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    found = reduce(DataFrame.union, (df.select(*by, F.lit(rule).alias("rule")) for rule, df in broken.items())).groupBy(*by, "rule").agg(F.count(F.lit(1)).alias("n"))
+    every = facts.sparkSession.createDataFrame([(r,) for r in RULES], "rule string")
+    every = in_each(every, facts, by)
+    return every.join(found, [*by, "rule"], "left").select(*by, "rule", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
 
+def dangling_references(facts: DataFrame, entities: DataFrame, by: By = ()) -> DataFrame:
+    """Facts with an end that the registry lacks."""
+    missing = implicit_nodes(facts, entities, by)
+    each = facts.select(*by, "fact_key", F.explode(F.array("subject", "object")).alias("entity_key"))
+    return each.join(missing, [*by, "entity_key"], "left_semi").select(*by, "fact_key").distinct()
 
-def export_json(facts: DataFrame, nodes: DataFrame) -> DataFrame:
+
+def statistics(facts: DataFrame, nodes: DataFrame, by: By = ()) -> DataFrame:
+    """kind, name, n: nodes by type and edges by predicate."""
+    on = [c for c in by if c in nodes.columns]
+    n = nodes.groupBy(*on, F.col("entity_type").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(*on, F.lit("node").alias("kind"), "name", "n")
+    return n.unionByName(facts.groupBy(*by, F.col("predicate").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(*by, F.lit("edge").alias("kind"), "name", "n"))
+
+
+def export_json(facts: DataFrame, nodes: DataFrame, by: By = ()) -> DataFrame:
     """One JSON line per node and per edge (a node-link document by lines; no task gathers the graph)."""
-    n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("entity_key", "entity_type", "name")).alias("line"))
-    return n.union(facts.select(F.lit("edge").alias("kind"), F.to_json(F.struct("subject", "predicate", "object", "fact_key")).alias("line")))
+    n = nodes.select(*by, F.lit("node").alias("kind"), F.to_json(F.struct("entity_key", "entity_type", "name")).alias("line"))
+    return n.union(facts.select(*by, F.lit("edge").alias("kind"), F.to_json(F.struct("subject", "predicate", "object", "fact_key")).alias("line")))
+
+
+def node_link(facts: DataFrame, nodes: DataFrame, by: By = ()) -> DataFrame:
+    """One node-link JSON document a graph, nodes and edges in order.  A graph must fit a row; `export_json` has no such limit."""
+    n = nodes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("entity_key").alias("id"), "entity_type", "name"))).alias("nodes"))
+    e = facts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("subject").alias("source"), "predicate", F.col("object").alias("target"), F.col("fact_key").alias("key"), "confidence"))).alias("edges"))
+    both = n.join(e, list(by), "left") if by else n.join(e, F.lit(True))
+    document = F.to_json(F.struct(F.lit(True).alias("directed"), F.lit(True).alias("multigraph"), F.size("nodes").alias("node_count"), F.coalesce(F.size("edges"), F.lit(0)).alias("edge_count"), "nodes", "edges"))
+    return both.select(*by, document.alias("document"))
+
+
+class Graph:
+    """The graphs of facts over a registry, with all that can be asked of them."""
+
+    def __init__(self, facts: DataFrame, entities: DataFrame, write=lambda df: df, by: By = ()):
+        self.facts, self.entities, self.write, self.by = facts, entities, write, by
+        self.nodes = build_nodes(facts, entities, by)
+
+    def validate(self) -> DataFrame:
+        return validate(self.facts, self.entities, self.by)
+
+    def filter(self, **filters) -> Graph:
+        nodes, edges = filter_graph(self.facts, self.nodes, by=self.by, **filters)
+        out = Graph(edges, self.entities, self.write, self.by)
+        out.nodes = nodes
+        return out
+
+    def related(self, key: str) -> DataFrame:
+        return touching(self.facts, self.entities, self.facts.sparkSession.createDataFrame([(key,)], "entity_key string"), self.by)
+
+    def shortest_path(self, source: str, target: str, directed: bool = True) -> list[str] | None:
+        pair = self.facts.sparkSession.createDataFrame([(source, target)], "source string, target string")
+        if self.by:
+            raise ValueError("a path is asked of one graph")
+        row = shortest_paths(self.facts, pair, self.write, directed=directed).first()
+        return row["path"] if row else None
+
+    def resolve(self, ident: str) -> str | None:
+        return resolve_keys(self.facts.sparkSession.createDataFrame([(ident,)], "ident string"), self.nodes).first()["entity_key"]
+
+    def statistics(self) -> DataFrame:
+        return statistics(self.facts, self.nodes, self.by)
+
+    def edge_records(self) -> DataFrame:
+        return ordered_edges(self.facts, self.by)
+
+    def export_json(self) -> DataFrame:
+        return export_json(self.facts, self.nodes, self.by)

@@ -50,13 +50,13 @@ def validate(entities: DataFrame, facts: DataFrame, aliases: DataFrame, floor: f
     return {"entities": best(entities, ["entity_key"], [F.col("name")]), "facts": best(good, ["fact_key"], [F.col("subject")]), "issues": issues}
 
 
-def sole_owner(requires: DataFrame, wanted: DataFrame) -> DataFrame:
+def sole_owner(requires: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Relational division: group -> the one component that requires every interface wanted by the group.
 
-    requires: (subject, object); wanted: (group, object).
+    requires: (by, subject, object); wanted: (by, group, object).
     """
     need = wanted.groupBy("group").agg(F.countDistinct("object").alias("need"))
-    have = wanted.join(requires, "object").groupBy("group", "subject").agg(F.countDistinct("object").alias("have"))
+    have = wanted.join(requires, [*by, "object"]).groupBy("group", "subject").agg(F.countDistinct("object").alias("have"))
     owners = have.join(need, "group").where("have = need").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("subject").alias("owner"))
     return owners.where("n = 1").select("group", "owner")
 
@@ -67,13 +67,13 @@ def scores(predicted: DataFrame, gold: DataFrame, key: str, by: str, per: tuple[
     n = both.groupBy(*per, by).agg(F.count_if(F.expr("p = 1 and g = 1")).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    return n.select(*per, by, "tp", "fp", "fn", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(ratio(2 * p * r, p + r), 4).alias("f1"))
+    return n.select(*per, by, "tp", "fp", "fn", F.bround(p, 4).alias("precision"), F.bround(r, 4).alias("recall"), F.bround(ratio(2 * p * r, p + r), 4).alias("f1"))
 
 
-def cross_check(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def cross_check(left: DataFrame, right: DataFrame, key: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Keys that only one side has."""
-    a, b = left.select(key).distinct().withColumn("a", F.lit(1)), right.select(key).distinct().withColumn("b", F.lit(1))
-    return a.join(b, key, "full_outer").where("a is null or b is null").select(key, F.when(F.col("a").isNull(), "right_only").otherwise("left_only").alias("side"))
+    a, b = left.select(*by, key).distinct().withColumn("a", F.lit(1)), right.select(*by, key).distinct().withColumn("b", F.lit(1))
+    return a.join(b, [*by, key], "full_outer").where("a is null or b is null").select(*by, key, F.when(F.col("a").isNull(), "right_only").otherwise("left_only").alias("side"))
 
 
 def counts(entities: DataFrame, facts: DataFrame) -> DataFrame:

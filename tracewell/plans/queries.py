@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answer, diff, extract, findings, graph, ingest, registry, retrieval
 from ..sources import adapters as A
 from ..sources.io import graphml, html_lines
+from ..sources.shared import store
 from ..streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,13 +42,16 @@ def tok(column: str) -> str:
     return f"list_filter(regexp_extract_all(lower({column}), '[a-z0-9]+'), lambda t: t NOT IN ({_list(T.STOP_WORDS)}))"
 
 
-def version(spark: SparkSession, sf: str, label: str) -> DataFrame:
-    return A.facts(spark, sf).where(F.col("version") == label)
-
-
 BASE_FACTS = f"base AS (SELECT * FROM facts WHERE version = '{A.BASE}'), target AS (SELECT * FROM facts WHERE version = '{A.TARGET}')"
-VERSIONS = f"WITH RECURSIVE {A.ENTITIES}, {A.FACTS}, {BASE_FACTS}"
+VERSIONS = f"WITH RECURSIVE {A.ENTITIES}, {A.FACTS}"
 HEAD = f"WITH {A.CHUNKS}"
+EACH = ("version",)  # graphs, findings and diffs of all versions are one job
+
+
+def _facts(spark, sf) -> DataFrame:
+    """The facts of all versions, built once for all that read them."""
+    return store(A.facts(spark, sf), "facts")
+
 
 # --- lexical, dense, hybrid retrieval ---------------------------------------------------------------------------------
 
@@ -67,6 +71,7 @@ STEMS = """list_sort(list_distinct(list_filter([term,
  CASE WHEN term LIKE '%s' AND len(term) > 3 THEN term[:-2] END, CASE WHEN term LIKE '%ed' AND len(term) > 4 THEN term[:-3] END,
  CASE WHEN term LIKE '%ed' AND len(term) > 4 THEN term[:-2] END, CASE WHEN term LIKE '%ing' AND len(term) > 5 THEN term[:-4] END,
  CASE WHEN term LIKE '%ing' AND len(term) > 5 THEN term[:-4] || 'e' END], lambda x: x IS NOT NULL)))"""
+GATE_STEMS = f"CASE {' '.join(f"WHEN term = '{k}' THEN ['{v}']" for k, v in T.PRE_STEMS.items())} ELSE {STEMS} END"
 
 
 @query(f"{HEAD} SELECT term, array_to_string({STEMS}, ',') AS variants FROM (SELECT DISTINCT unnest({tok('text')}) AS term FROM chunks)")
@@ -77,17 +82,21 @@ def stem_variants(spark, sf):
 
 BM25 = f"""questions AS (SELECT item_id AS question_id, text AS question FROM benchmark),
 qt AS (SELECT question_id, term, count(*) AS qtf FROM (SELECT question_id, unnest({tok('question')}) AS term FROM questions) GROUP BY ALL),
-tf AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({tok('text')}) AS term FROM chunks) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({tok('text')}) AS term FROM chunks) GROUP BY ALL),
 dl AS (SELECT chunk_id, document_name, CAST(len({tok('text')}) AS BIGINT) AS dl FROM chunks),
-corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bm AS (SELECT question_id, chunk_id, document_name, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
  FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (chunk_id), corpus GROUP BY ALL),
-lex AS (SELECT *, round(score / (score + 1.5), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_name, chunk_id) AS rank FROM bm WHERE score > 0) WHERE rank <= 20)"""
+lex AS MATERIALIZED (SELECT *, round(score / (score + 1.5), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_name, chunk_id) AS rank FROM bm WHERE score > 0) WHERE rank <= 20)"""
+
+
+def _index(spark, sf):
+    return retrieval.lexical_index(A.chunks(spark, sf), lambda df: store(df, "index"))
 
 
 @query(f"{HEAD}, {BM25} SELECT question_id, chunk_id, document_name, score, rank, similarity FROM lex WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    return retrieval.lexical_topk(A.chunks(spark, sf), A.questions(spark, sf), 10)
+    return retrieval.lexical_topk(_index(spark, sf), A.questions(spark, sf), 10)
 
 
 @query(
@@ -96,17 +105,7 @@ def bm25_topk(spark, sf):
  WHERE version = 'en' AND page_start <= 30 AND page_end >= 10) WHERE rank <= 5"""
 )
 def bm25_filtered_post(spark, sf):
-    return retrieval.lexical_filtered(A.chunks(spark, sf), A.questions(spark, sf), {"version": "en", "page_in": (10, 30)})
-
-
-@query(
-    """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (
- SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS similarity FROM v JOIN v q ON v.label = q.label WHERE q.vec_id % 100 = 0)
- SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
-)
-def cosine_topk(spark, sf):
-    v = A.vectors(spark, sf)
-    return retrieval.cosine_topk(v, v.where(F.col("vec_id") % 100 == 0), same_label=True)
+    return retrieval.lexical_filtered(A.chunks(spark, sf), A.questions(spark, sf), {"version": "en", "page_in": (10, 30)}, index=_index(spark, sf))
 
 
 @query(
@@ -114,8 +113,8 @@ def cosine_topk(spark, sf):
  SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS similarity FROM v CROSS JOIN v q WHERE q.vec_id % 100 = 0)
  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
 )
-def cosine_topk_all(spark, sf):
-    """Every query against every vector.  cosine_topk keeps to the label, as its SQL does."""
+def cosine_topk(spark, sf):
+    """Every vector whose id is divisible by 100 against all vectors."""
     v = A.vectors(spark, sf)
     return retrieval.cosine_topk(v, v.where(F.col("vec_id") % 100 == 0))
 
@@ -127,37 +126,41 @@ def hashed(cte: str, key: str, column: str, source: str) -> str:
 {cte}_g AS (SELECT {key}, md5(f) AS h, count(*) AS n FROM {cte}_f GROUP BY ALL),
 {cte}_b AS (SELECT {key}, (CAST('0x' || substr(h, 1, 2) AS INTEGER) + 256 * CAST('0x' || substr(h, 3, 2) AS INTEGER)) % 512 AS bucket,
  sum(CASE WHEN CAST('0x' || substr(h, 9, 2) AS INTEGER) % 2 = 0 THEN n ELSE -n END) AS v FROM {cte}_g GROUP BY ALL),
-{cte} AS (SELECT {key}, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS value FROM {cte}_b WHERE v <> 0)"""
+{cte} AS MATERIALIZED (SELECT {key}, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS value FROM {cte}_b WHERE v <> 0)"""
 
 
 DENSE = f"""{hashed('hc', 'chunk_id', 'text', 'chunks')}, {hashed('hq', 'question_id', 'question', 'questions')},
-den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS rank FROM (
- SELECT question_id, chunk_id, round(sum(hq.value * hc.value), 6) AS similarity FROM hq JOIN hc USING (bucket) GROUP BY ALL)) WHERE rank <= 20)"""
-FUSED = """fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM (
- SELECT question_id, chunk_id, l.rank AS lexical_rank, d.rank AS dense_rank, round(coalesce(1 / (60 + l.rank), 0) + coalesce(1 / (60 + d.rank), 0), 6) AS rrf_score
- FROM lex l FULL JOIN den d USING (question_id, chunk_id))) WHERE rank <= 5)"""
+den AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, document_name, chunk_id) AS rank FROM (
+ SELECT question_id, chunk_id, document_name, similarity FROM (SELECT question_id, chunk_id, round(sum(hq.value * hc.value), 6) AS similarity FROM hq JOIN hc USING (bucket) GROUP BY ALL) JOIN chunks USING (chunk_id))) WHERE rank <= 20)"""
+FUSED = """fused AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf_score DESC, document_name, chunk_id) AS rank FROM (
+ SELECT question_id, chunk_id, document_name, l.rank AS lexical_rank, d.rank AS dense_rank, l.score AS lexical_score, coalesce(l.similarity, d.similarity) AS similarity,
+ CASE WHEN l.rank IS NULL THEN 'dense' WHEN d.rank IS NULL THEN 'lexical' ELSE 'dense+lexical' END AS sources, round(coalesce(1 / (60 + l.rank), 0) + coalesce(1 / (60 + d.rank), 0), 6) AS rrf_score
+ FROM lex l FULL JOIN den d USING (question_id, chunk_id, document_name))) WHERE rank <= 5)"""
 
 
 @query(f"{HEAD}, {hashed('hc', 'chunk_id', 'text', 'chunks')} SELECT chunk_id, count(*) AS n_buckets, round(sum(value * value), 6) AS norm, round(max(value), 6) AS top FROM hc GROUP BY chunk_id")
 def hash_embedding(spark, sf):
-    h = retrieval.hash_features(A.chunks(spark, sf), "chunk_id", "text")
-    return h.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_buckets"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"), F.round(F.max("value"), 6).alias("top"))
+    h = retrieval.hash_vectors(A.chunks(spark, sf), "chunk_id", "text")
+    used = F.filter("vector", lambda x: x != 0)
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    return h.select("chunk_id", F.size(used).cast("long").alias("n_buckets"), F.round(squares, 6).alias("norm"), F.round(F.array_max(used), 6).alias("top")).where("n_buckets > 0")
 
 
-@query(f"{HEAD}, {BM25}, {DENSE} SELECT question_id, chunk_id, similarity, rank FROM den")
+@query(f"{HEAD}, {BM25}, {DENSE} SELECT question_id, chunk_id, document_name, similarity, rank FROM den")
 def dense_topk(spark, sf):
     return retrieval.dense_topk(A.chunks(spark, sf), A.questions(spark, sf))
 
 
 def _legs(spark, sf):
-    c, q = A.chunks(spark, sf), A.questions(spark, sf)
-    lex, den = retrieval.lexical_topk(c, q), retrieval.dense_topk(c, q)
-    return c, q, lex, den, retrieval.rrf(lex, den)
+    c, q, index = A.chunks(spark, sf), A.questions(spark, sf), _index(spark, sf)
+    lex, den = store(retrieval.lexical_topk(index, q), "lexical"), store(retrieval.dense_topk(c, q), "dense")
+    return c, q, index, lex, den, store(retrieval.rrf(lex, den), "fused")
 
 
-@query(f"{HEAD}, {BM25}, {DENSE}, {FUSED} SELECT question_id, chunk_id, lexical_rank, dense_rank, rrf_score, rank FROM fused")
+@query(f"{HEAD}, {BM25}, {DENSE}, {FUSED} SELECT question_id, chunk_id, document_name, lexical_rank, dense_rank, lexical_score, similarity, sources, rrf_score, rank FROM fused")
 def rrf_hybrid(spark, sf):
-    return _legs(spark, sf)[4]
+    c, q = A.chunks(spark, sf), A.questions(spark, sf)
+    return retrieval.retrieve(c, q, index=_index(spark, sf))
 
 
 GOLD = "gold AS (SELECT DISTINCT question_id, chunk_id FROM questions, chunks WHERE len(question) >= 40 AND contains(text, question))"
@@ -171,7 +174,7 @@ RANKED = """ranked AS (SELECT 'lexical' AS mode, question_id, chunk_id, rank FRO
  round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_5, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM every GROUP BY mode"""
 )
 def retrieval_modes_metrics(spark, sf):
-    _, _, lex, den, fused = _legs(spark, sf)
+    _, _, _, lex, den, fused = _legs(spark, sf)
     ranked = None
     for mode, df in (("lexical", lex), ("dense", den), ("hybrid", fused)):
         part = df.select(F.lit(mode).alias("mode"), "question_id", "chunk_id", "rank")
@@ -179,43 +182,61 @@ def retrieval_modes_metrics(spark, sf):
     return retrieval.metrics(ranked, A.gold(spark, sf))
 
 
+# Gold pages of a question: those of the chunks that hold its text.
+QA = "qa AS (SELECT question_id, list_distinct(flatten(list([page_start, page_end]))) AS gold_pages, list_distinct(list(CAST(chunk_id % 7 AS VARCHAR))) AS gold_sections FROM gold JOIN chunks USING (chunk_id) GROUP BY question_id)"
+
+
+@query(
+    f"""{HEAD}, {BM25}, {GOLD}, {QA}, h AS (SELECT qa.question_id, rank, list_has_any(range(page_start, page_end + 1), [CAST(x AS BIGINT) for x in gold_pages]) AS p, list_contains(gold_sections, CAST(chunk_id % 7 AS VARCHAR)) AS s FROM qa JOIN lex USING (question_id) JOIN chunks USING (chunk_id) WHERE rank <= 10),
+ f AS (SELECT question_id, min(rank) FILTER (WHERE p) AS p, min(rank) FILTER (WHERE s) AS s FROM h GROUP BY 1), e AS (SELECT p, s FROM qa LEFT JOIN f USING (question_id))
+ SELECT count(*) AS n_questions, {', '.join(f"round(avg(CASE WHEN {c} <= {k} THEN 1.0 ELSE 0.0 END), 4) AS {n}_hit_at_{k}" for c, n in (('p', 'page'), ('s', 'section')) for k in (1, 3, 5, 10))}, round(avg(coalesce(1 / p, 0)), 4) AS mrr_page FROM e"""
+)
+def retrieval_report(spark, sf):
+    c = A.chunks(spark, sf).withColumn("section_no", (F.col("chunk_id") % 7).cast("string"))
+    on = A.gold(spark, sf).join(c, "chunk_id")
+    qa = on.groupBy("question_id").agg(F.array_distinct(F.flatten(F.collect_list(F.array("page_start", "page_end")))).alias("gold_pages"), F.collect_set("section_no").alias("gold_sections"))
+    hits = retrieval.lexical_topk(_index(spark, sf), A.questions(spark, sf), 10).select("question_id", "chunk_id", "rank").join(c.select("chunk_id", "page_start", "page_end", "section_no"), "chunk_id")
+    return retrieval.retrieval_report(hits, qa)
+
+
 COVER = f"""content AS (SELECT DISTINCT question_id, term FROM qt WHERE term NOT IN ({_list(T.QUESTION_WORDS)})),
 weighed AS (SELECT question_id, term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM content LEFT JOIN df USING (term), corpus),
-seen AS (SELECT DISTINCT question_id, unnest({STEMS}) AS stem FROM (SELECT question_id, unnest({tok('text')}) AS term FROM fused JOIN chunks USING (chunk_id) WHERE rank <= 3)),
-hit AS (SELECT DISTINCT question_id, term FROM (SELECT question_id, term, unnest({STEMS}) AS stem FROM content) JOIN seen USING (question_id, stem)),
-cover AS (SELECT question_id, round(CASE WHEN coalesce(whole, 0) = 0 THEN 1.0 ELSE coalesce(part, 0) / whole END, 6) AS coverage, coalesce(n_missing, 0) AS n_missing FROM questions LEFT JOIN (
- SELECT question_id, sum(idf) AS whole, sum(CASE WHEN h.term IS NOT NULL THEN idf END) AS part, count(*) FILTER (WHERE h.term IS NULL) AS n_missing FROM weighed w LEFT JOIN hit h USING (question_id, term) GROUP BY question_id) USING (question_id))"""
-GATE = """decisions AS (SELECT question_id, coalesce(n_hits, 0) AS n_hits, coalesce(best_similarity, 0) AS best_similarity, coalesce(best_lexical, 0) AS best_lexical, coverage, coalesce(agreement, 0) AS agreement FROM questions LEFT JOIN (
- SELECT f.question_id, count(*) AS n_hits, max(l.similarity) AS best_similarity, max(l.score) AS best_lexical, round(avg(CASE WHEN lexical_rank IS NOT NULL AND dense_rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS agreement
- FROM fused f LEFT JOIN lex l USING (question_id, chunk_id) GROUP BY 1) USING (question_id) JOIN cover USING (question_id))"""
+seen AS (SELECT DISTINCT question_id, unnest({tok('text')}) AS stem FROM fused JOIN chunks USING (chunk_id) WHERE rank <= 3),
+hit AS (SELECT DISTINCT question_id, term FROM (SELECT question_id, term, unnest({GATE_STEMS}) AS stem FROM content) JOIN seen USING (question_id, stem)),
+cover AS (SELECT question_id, round(CASE WHEN question_id NOT IN (SELECT question_id FROM fused) THEN 0 WHEN coalesce(whole, 0) = 0 THEN 1.0 ELSE coalesce(part, 0) / whole END, 6) AS coverage, coalesce(n_missing, 0) AS n_missing, coalesce(missing, '') AS missing FROM questions LEFT JOIN (
+ SELECT question_id, sum(idf) AS whole, sum(CASE WHEN h.term IS NOT NULL THEN idf END) AS part, count(*) FILTER (WHERE h.term IS NULL) AS n_missing, string_agg(w.term, ',' ORDER BY w.term) FILTER (WHERE h.term IS NULL) AS missing FROM weighed w LEFT JOIN hit h USING (question_id, term) GROUP BY question_id) USING (question_id))"""
+GATE = """decisions AS (SELECT question_id, coalesce(n_hits, 0) AS n_hits, coalesce(best_similarity, 0) AS best_similarity, coalesce(best_lexical, 0) AS best_lexical, coalesce(lexical_hits, 0) AS lexical_hits, coverage, coalesce(agreement, 0) AS agreement FROM questions LEFT JOIN (
+ SELECT question_id, count(*) AS n_hits, max(similarity) AS best_similarity, max(lexical_score) AS best_lexical, count(*) FILTER (WHERE lexical_score > 0) AS lexical_hits, round(avg(CASE WHEN sources = 'dense+lexical' THEN 1.0 ELSE 0.0 END), 6) AS agreement
+ FROM fused GROUP BY 1) USING (question_id) JOIN cover USING (question_id))"""
 
 
-@query(f"{HEAD}, {BM25}, {DENSE}, {FUSED}, {COVER} SELECT question_id, coverage, n_missing FROM cover")
+@query(f"{HEAD}, {BM25}, {DENSE}, {FUSED}, {COVER} SELECT question_id, coverage, n_missing, missing FROM cover")
 def query_coverage(spark, sf):
-    c, q, _, _, fused = _legs(spark, sf)
-    return retrieval.coverage(c, q, fused)
+    c, q, index, _, _, fused = _legs(spark, sf)
+    return retrieval.coverage(index, c, q, fused)
 
 
 def _decisions(spark, sf):
-    c, q, lex, _, fused = _legs(spark, sf)
-    return retrieval.gate(q, fused, lex, retrieval.coverage(c, q, fused))
+    c, q, index, _, _, fused = _legs(spark, sf)
+    return retrieval.gate(q, fused, retrieval.coverage(index, c, q, fused))
 
 
 @query(
     f"""{HEAD}, {BM25}, {DENSE}, {FUSED}, {COVER}, {GATE} SELECT *, reason = 'ok' AS passed FROM (SELECT *, CASE WHEN n_hits < 1 THEN 'no_hits' WHEN best_similarity < 0.1 THEN 'low_score'
- WHEN best_lexical < 0.25 THEN 'low_lexical' WHEN coverage < 0.3 THEN 'low_coverage' WHEN agreement < 0 THEN 'low_agreement' ELSE 'ok' END AS reason FROM decisions)"""
+ WHEN lexical_hits = 0 OR best_lexical < 0.25 THEN 'low_lexical' WHEN coverage < 0.3 THEN 'low_coverage' WHEN agreement < 0 THEN 'low_agreement' ELSE 'ok' END AS reason FROM decisions)"""
 )
 def gate_decision(spark, sf):
     return _decisions(spark, sf)
 
 
 @query(
-    f"""{HEAD}, {BM25}, {DENSE}, {FUSED}, {COVER}, {GATE}, {GOLD}, grid AS (SELECT * FROM (SELECT unnest([0.0, 0.15, 0.25, 0.35])::DOUBLE AS min_lexical), (SELECT unnest([0.0, 0.15, 0.30, 0.45])::DOUBLE AS min_coverage)),
- cells AS (SELECT min_lexical, min_coverage, n_hits < 1 OR best_similarity < 0.1 OR best_lexical < min_lexical OR coverage < min_coverage AS refused, question_id IN (SELECT question_id FROM gold) AS has_gold FROM decisions, grid)
- SELECT min_lexical, min_coverage, count(*) FILTER (WHERE refused AND has_gold) AS false_refusals, count(*) FILTER (WHERE NOT refused AND NOT has_gold) AS missed_refusals FROM cells GROUP BY ALL"""
+    f"""{HEAD}, {BM25}, {DENSE}, {FUSED}, {COVER}, {GATE}, {GOLD}, grid AS (SELECT * FROM (SELECT unnest([0.1, 0.5])::DOUBLE AS min_score), (SELECT unnest([0.0, 0.15, 0.25, 0.35])::DOUBLE AS min_lexical), (SELECT unnest([0.0, 0.15, 0.30, 0.45])::DOUBLE AS min_coverage)),
+ cells AS (SELECT min_score, min_lexical, min_coverage, question_id, n_hits < 1 OR best_similarity < min_score OR lexical_hits = 0 OR best_lexical < min_lexical OR coverage < min_coverage AS refused, question_id IN (SELECT question_id FROM gold) AS has_gold FROM decisions, grid)
+ SELECT min_score, min_lexical, min_coverage, count(*) FILTER (WHERE refused AND has_gold) AS false_refusals, count(*) FILTER (WHERE NOT refused AND NOT has_gold) AS missed_refusals,
+ coalesce(string_agg(CAST(question_id AS VARCHAR), ',' ORDER BY question_id) FILTER (WHERE refused AND has_gold), '') AS falsely_refused, coalesce(string_agg(CAST(question_id AS VARCHAR), ',' ORDER BY question_id) FILTER (WHERE NOT refused AND NOT has_gold), '') AS wrongly_passed FROM cells GROUP BY ALL"""
 )
 def gate_sweep(spark, sf):
-    return retrieval.gate_sweep(_decisions(spark, sf), A.gold(spark, sf))
+    return retrieval.gate_sweep(store(_decisions(spark, sf), "decisions"), A.gold(spark, sf), score_grid=(0.1, 0.5))
 
 
 @query("SELECT (SELECT n_chars FROM (SELECT n_chars, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS n FROM documents) WHERE i = least(n - 1, CAST(round_even(0.95 * (n - 1), 0) AS BIGINT))) AS nearest, (SELECT median(n_chars) FROM documents) AS median")
@@ -486,16 +507,16 @@ def registry_upsert(spark, sf):
 
 
 @query(
-    f"""{VERSIONS}, want AS (SELECT DISTINCT 'G' || p_size AS grp, 'interface:P-' || p_partkey AS object FROM part JOIN target ON 'interface:P-' || p_partkey = object WHERE predicate = 'provides' AND p_size <= 50),
- req AS (SELECT DISTINCT subject, object FROM target WHERE predicate = 'requires'), need AS (SELECT grp, count(DISTINCT object) AS need FROM want GROUP BY grp),
- have AS (SELECT grp, subject, count(DISTINCT object) AS have FROM want JOIN req USING (object) GROUP BY ALL)
+    f"""{VERSIONS}, want AS (SELECT DISTINCT version, version || '/' || (l.l_orderkey % 97) AS grp, 'interface:P-' || l_partkey AS object FROM lines l ),
+ req AS (SELECT DISTINCT version, subject, object FROM facts WHERE predicate = 'requires'), need AS (SELECT grp, count(DISTINCT object) AS need FROM want GROUP BY grp),
+ have AS (SELECT grp, subject, count(DISTINCT object) AS have FROM want JOIN req USING (version, object) GROUP BY ALL)
  SELECT grp AS "group", min(subject) AS owner FROM have JOIN need USING (grp) WHERE have = need GROUP BY grp HAVING count(*) = 1"""
 )
 def relational_division_owner(spark, sf):
-    t = version(spark, sf, A.TARGET)
-    parts = A.table(spark, sf, "part").select(F.concat(F.lit("G"), F.col("p_size")).alias("group"), F.concat(F.lit("interface:P-"), F.col("p_partkey")).alias("object"))
-    wanted = parts.join(t.where("predicate = 'provides'").select("object").distinct(), "object", "left_semi")
-    return registry.sole_owner(t.where("predicate = 'requires'").select("subject", "object").distinct(), wanted)
+    """The one customer who requires all parts of a group of a month's orders."""
+    lines = A.table(spark, sf, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("version"), F.concat_ws("/", F.date_format("l_shipdate", "yyyy-MM"), (F.col("l_orderkey") % 97).cast("string")).alias("group"), F.concat(F.lit("interface:P-"), F.col("l_partkey")).alias("object"))
+    required = A.facts(spark, sf).where("predicate = 'requires'").select("version", "subject", "object").distinct()
+    return registry.sole_owner(required, lines.distinct(), by=EACH).select("group", "owner")
 
 
 @query(f"WITH {A.ENTITIES}, {A.FACTS} SELECT 'entity_type' AS kind, entity_type AS name, count(*) AS n FROM entities GROUP BY entity_type UNION ALL SELECT 'predicate', predicate, count(*) FROM facts GROUP BY predicate")
@@ -503,111 +524,146 @@ def registry_counts(spark, sf):
     return registry.counts(A.entities(spark, sf), A.facts(spark, sf))
 
 
-# --- graph ------------------------------------------------------------------------------------------------------------
+# --- graph: all versions in one job -----------------------------------------------------------------------------------
 
+ADJ = "adj AS MATERIALIZED (SELECT version, subject AS node, object AS neighbour, predicate, 'out' AS direction FROM facts UNION ALL SELECT version, object, subject, predicate, 'in' FROM facts)"
+ENDS = "vers AS (SELECT DISTINCT version FROM facts), ends AS MATERIALIZED (SELECT DISTINCT version, k FROM (SELECT version, unnest([subject, object]) AS k FROM facts))"
 
-@query(f"{VERSIONS}, ends AS (SELECT DISTINCT unnest([subject, object]) AS k FROM target), {PARTIAL} SELECT entity_key, entity_type, name, 'registry' AS source FROM known UNION ALL SELECT k, split_part(k, ':', 1), split_part(k, ':', 2), 'unregistered' FROM ends WHERE k NOT IN (SELECT entity_key FROM known)")
+
+@query(f"{VERSIONS}, {ENDS}, {PARTIAL} SELECT version, entity_key, entity_type, name, 1.0::DOUBLE AS confidence, 'registry' AS source FROM known, vers UNION ALL SELECT version, k, split_part(k, ':', 1), split_part(k, ':', 2), 0.0, 'unregistered' FROM ends WHERE k NOT IN (SELECT entity_key FROM known)")
 def graph_nodes(spark, sf):
-    return graph.build_nodes(version(spark, sf, A.TARGET), _known(spark, sf))
+    return graph.build_nodes(A.facts(spark, sf), _known(spark, sf), EACH)
 
 
-@query(f"WITH {A.ENTITIES}, {A.FACTS}, {PARTIAL} SELECT k AS entity_key FROM (SELECT DISTINCT unnest([subject, object]) AS k FROM facts) WHERE k NOT IN (SELECT entity_key FROM known)")
+@query(f"{VERSIONS}, {ENDS}, {PARTIAL} SELECT version, k AS entity_key FROM ends WHERE k NOT IN (SELECT entity_key FROM known)")
 def implicit_nodes(spark, sf):
-    return graph.implicit_nodes(A.facts(spark, sf), _known(spark, sf))
+    return graph.implicit_nodes(A.facts(spark, sf), _known(spark, sf), EACH)
 
 
-@query(f"WITH {A.FACTS}, e AS (SELECT subject AS k, 1 AS o, 0 AS i FROM facts UNION ALL SELECT object, 0, 1 FROM facts) SELECT k AS entity_key, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, count(*) AS degree FROM e GROUP BY k")
+@query(f"WITH {A.FACTS}, e AS (SELECT version, subject AS k, 1 AS o, 0 AS i FROM facts UNION ALL SELECT version, object, 0, 1 FROM facts) SELECT version, k AS entity_key, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, count(*) AS degree FROM e GROUP BY ALL")
 def degree(spark, sf):
-    return graph.degrees(A.facts(spark, sf))
+    return graph.degrees(A.facts(spark, sf), EACH)
 
 
-@query(f"{VERSIONS} SELECT subject, predicate, object, fact_key, confidence FROM target")
+@query(f"{VERSIONS} SELECT version, subject, predicate, object, fact_key, confidence FROM facts")
 def edges_payload(spark, sf):
-    return graph.ordered_edges(version(spark, sf, A.TARGET))
+    return graph.ordered_edges(A.facts(spark, sf), EACH)
 
 
-@query(f"{VERSIONS}, adj AS (SELECT subject AS node, object AS neighbour FROM target UNION SELECT object, subject FROM target) SELECT node, count(*) AS n, min(neighbour) AS first FROM adj GROUP BY node")
+@query(f"{VERSIONS}, {ADJ} SELECT version, node, count(DISTINCT neighbour) AS n, min(neighbour) AS first FROM adj GROUP BY ALL")
 def neighbors(spark, sf):
-    near = graph.adjacency(version(spark, sf, A.TARGET)).select("node", "neighbour").distinct()
-    return near.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("neighbour").alias("first"))
+    return graph.neighbors(A.facts(spark, sf), EACH).groupBy("version", "node").agg(F.count(F.lit(1)).alias("n"), F.min("neighbour").alias("first"))
 
 
-@query(
-    f"""{VERSIONS}, adj AS (SELECT subject AS node, object AS neighbour, predicate, 'out' AS direction FROM target UNION ALL SELECT object, subject, predicate, 'in' FROM target)
- SELECT node, predicate, direction, count(*) AS n_edges, array_to_string(list_sort(list(DISTINCT neighbour)), ',') AS neighbours FROM adj WHERE node LIKE 'component:S-%' OR node LIKE 'signal:%' GROUP BY ALL"""
-)
+@query(f"{VERSIONS}, {ADJ} SELECT version, node, predicate, direction, count(*) AS n_edges, array_to_string(list_sort(list(DISTINCT neighbour)), ',') AS neighbours FROM adj WHERE node LIKE 'component:S-%' OR node LIKE 'signal:%' GROUP BY ALL")
 def related(spark, sf):
     e = A.entities(spark, sf)
     keys = e.where("entity_key like 'component:S-%' or entity_key like 'signal:%'").select("entity_key")
-    return graph.related(version(spark, sf, A.TARGET), e, keys)
+    return graph.related(A.facts(spark, sf), e, keys, EACH)
+
+
+@query(f"{VERSIONS}, {ADJ} SELECT version, node, predicate, direction, neighbour, e.entity_type AS neighbour_type, e.name AS neighbour_name, count(*) AS n FROM adj LEFT JOIN entities e ON e.entity_key = neighbour WHERE node LIKE 'component:S-%' GROUP BY ALL")
+def entity_details(spark, sf):
+    e = A.entities(spark, sf)
+    found = graph.touching(A.facts(spark, sf), e, e.where("entity_key like 'component:S-%'").select("entity_key"), EACH)
+    return found.groupBy("version", "node", "predicate", "direction", "neighbour", "neighbour_type", "neighbour_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {A.ENTITIES} SELECT entity_key, entity_type, name FROM entities WHERE contains(lower(entity_key || ' ' || name), 'bolt')")
+def entity_search(spark, sf):
+    return graph.search_entities(A.entities(spark, sf), " Bolt ")
+
+
+@query(f"{VERSIONS} SELECT version, fact_key FROM facts WHERE subject ILIKE '%:p-7' OR object ILIKE '%:p-7'")
+def facts_by_suffix(spark, sf):
+    return graph.facts_of_id(A.facts(spark, sf), "p-7").select("version", "fact_key")
 
 
 @query(
-    f"""WITH {A.ENTITIES}, i AS (SELECT DISTINCT ident FROM (SELECT p_name AS ident FROM part UNION ALL SELECT s_name FROM supplier UNION ALL SELECT 'C-' || c_custkey FROM customer UNION ALL SELECT 'interface:P-' || p_partkey FROM part UNION ALL SELECT n_name FROM nation)),
- tail AS (SELECT split_part(entity_key, ':', 2) AS ident, min(entity_key) AS k FROM entities GROUP BY 1), nm AS (SELECT lower(name) AS l, min(entity_key) AS k FROM entities GROUP BY 1 HAVING count(*) = 1)
- SELECT i.ident, coalesce(e.entity_key, tail.k, nm.k) AS entity_key FROM i LEFT JOIN entities e ON e.entity_key = i.ident LEFT JOIN tail ON tail.ident = i.ident LEFT JOIN nm ON nm.l = lower(i.ident)"""
+    f"""WITH {A.ENTITIES}, i AS (SELECT DISTINCT ident FROM (SELECT p_name AS ident FROM part UNION ALL SELECT s_name FROM supplier UNION ALL SELECT 'C-' || c_custkey FROM customer UNION ALL SELECT 'INTERFACE:p-' || p_partkey FROM part UNION ALL SELECT lower(n_name) FROM nation)),
+ ids AS (SELECT substr(entity_key, instr(entity_key, ':') + 1) AS u, arg_min(entity_key, CASE entity_type WHEN 'component' THEN 1 WHEN 'interface' THEN 2 ELSE 4 END) AS k FROM entities GROUP BY 1), nm AS (SELECT lower(name) AS l, min(entity_key) AS k FROM entities GROUP BY 1 HAVING count(*) = 1)
+ SELECT i.ident, coalesce(e.entity_key, t.entity_key, ids.k, nm.k) AS entity_key FROM i LEFT JOIN entities e ON e.entity_key = i.ident LEFT JOIN entities t ON contains(i.ident, ':') AND t.entity_key = lower(split_part(i.ident, ':', 1)) || ':' || upper(split_part(i.ident, ':', 2))
+ LEFT JOIN ids ON NOT contains(i.ident, ':') AND ids.u = upper(i.ident) LEFT JOIN nm ON NOT contains(i.ident, ':') AND nm.l = lower(i.ident)"""
 )
 def resolve_key(spark, sf):
     t = lambda n: A.table(spark, sf, n)
-    idents = t("part").select(F.col("p_name").alias("ident")).union(t("supplier").select("s_name")).union(t("customer").select(F.concat(F.lit("C-"), F.col("c_custkey")))).union(t("part").select(F.concat(F.lit("interface:P-"), F.col("p_partkey")))).union(t("nation").select("n_name")).distinct()
+    idents = t("part").select(F.col("p_name").alias("ident")).union(t("supplier").select("s_name")).union(t("customer").select(F.concat(F.lit("C-"), F.col("c_custkey")))).union(t("part").select(F.concat(F.lit("INTERFACE:p-"), F.col("p_partkey")))).union(t("nation").select(F.lower("n_name"))).distinct()
     return graph.resolve_keys(idents, A.entities(spark, sf))
 
 
-WALK = "walk(seed, node, depth) AS (SELECT entity_key, entity_key, 0 FROM entities WHERE entity_key LIKE 'signal:%' UNION SELECT seed, neighbour, depth + 1 FROM walk JOIN adj USING (node) WHERE depth < 2)"
-ADJ = "adj AS (SELECT subject AS node, object AS neighbour FROM target UNION SELECT object, subject FROM target)"
+def _signals(spark, sf):
+    return A.entities(spark, sf).where("entity_type = 'signal'")
 
 
-@query(f"{VERSIONS}, {ADJ}, {WALK} SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY ALL")
+@query(
+    f"""{VERSIONS}, {ADJ}, step AS (SELECT DISTINCT version, node, neighbour FROM adj), one AS (SELECT version, node AS seed, neighbour AS node FROM step WHERE node LIKE 'signal:%'),
+ two AS (SELECT DISTINCT o.version, o.seed, s.neighbour AS node FROM one o JOIN step s ON s.version = o.version AND s.node = o.node), d AS (SELECT DISTINCT version, seed, seed AS node, 0 AS depth FROM one UNION ALL SELECT version, seed, node, 1 FROM one UNION ALL SELECT version, seed, node, 2 FROM two)
+ SELECT version, seed, node, CAST(min(depth) AS INTEGER) AS depth FROM d GROUP BY ALL"""
+)
 def khop_ego(spark, sf):
-    return graph.k_hop(version(spark, sf, A.TARGET), A.entities(spark, sf).where("entity_type = 'signal'"), 2)
+    return graph.k_hop(_facts(spark, sf), _signals(spark, sf), 2, EACH)
 
 
-@query(f"{VERSIONS}, {ADJ}, {WALK} SELECT seed, node, CAST(min(depth) AS BIGINT) AS length FROM walk GROUP BY ALL HAVING min(depth) > 0")
+@query()
 def shortest_path_len(spark, sf):
-    return graph.shortest_lengths(version(spark, sf, A.TARGET), A.entities(spark, sf).where("entity_type = 'signal'"), 2)
-
-
-def _write(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder."""
-    import tempfile
-
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Lengths from every signal, without a limit, in every version; tested against breadth-first search."""
+    return graph.shortest_lengths(A.facts(spark, sf), _signals(spark, sf), store, EACH)
 
 
 @query()
-def shortest_path_all(spark, sf):
-    """Lengths without a limit; tested against breadth-first search.  shortest_path_len keeps to the two steps of its SQL."""
-    return graph.shortest_lengths(version(spark, sf, A.TARGET), A.entities(spark, sf).where("entity_type = 'signal'"), write=_write)
+def shortest_path(spark, sf):
+    """The path from every supplier to every region's first signal, in every version; tested against breadth-first search."""
+    f = _facts(spark, sf)
+    sources = f.where("predicate = 'provides'").select("version", F.col("subject").alias("source")).distinct()
+    targets = f.where("predicate = 'carries'").groupBy("version").agg(F.min("object").alias("target"))
+    found = graph.shortest_paths(f, sources.join(targets, "version"), store, EACH, directed=False)
+    return found.select("version", "source", "target", "length", F.array_join("path", " ").alias("path"))
 
 
-@query(f"{VERSIONS}, pairs AS (SELECT subject AS a, object AS b FROM target WHERE predicate = 'provides'), adj AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(a, b) AS (SELECT a, a FROM adj UNION SELECT r.a, adj.b FROM reach r JOIN adj ON r.b = adj.a) SELECT a AS entity_key, min(b) AS component FROM reach GROUP BY a")
+@query()
 def components(spark, sf):
-    return graph.weak_components(version(spark, sf, A.TARGET).where("predicate = 'provides'"), _write)
+    """Over all predicates, in every version; tested against union-find."""
+    return graph.weak_components(A.facts(spark, sf), store, by=EACH)
 
 
-@query(f"{VERSIONS} SELECT predicate, count(*) AS n FROM target WHERE confidence >= 0.9 GROUP BY predicate UNION ALL SELECT 'node', count(*) FROM entities WHERE entity_type = 'component'")
+@query(f"{VERSIONS} SELECT version, predicate, count(*) AS n FROM facts WHERE confidence >= 0.9 AND predicate <> 'carries' AND subject LIKE 'component:%' AND object LIKE 'interface:%' GROUP BY ALL UNION ALL SELECT version, 'node', (SELECT count(*) FROM entities WHERE entity_type = 'interface') FROM (SELECT DISTINCT version FROM facts)")
 def filter_graph(spark, sf):
-    e = A.entities(spark, sf)
-    t = version(spark, sf, A.TARGET)
-    kept, _ = graph.filter_graph(t, e, entity_type="component")
-    _, edges = graph.filter_graph(t, e, min_confidence=0.9)
-    return edges.groupBy("predicate").agg(F.count(F.lit(1)).alias("n")).union(kept.agg(F.count(F.lit(1))).select(F.lit("node"), "count(1)"))
+    f, e = A.facts(spark, sf), A.entities(spark, sf)
+    kept, _ = graph.filter_graph(f, graph.build_nodes(f, e, EACH), entity_type="interface", by=EACH)
+    _, edges = graph.filter_graph(f, e, min_confidence=0.9, by=EACH)
+    return edges.groupBy("version", "predicate").agg(F.count(F.lit(1)).alias("n")).union(kept.groupBy("version").agg(F.count(F.lit(1))).select("version", F.lit("node"), "count(1)"))
+
+
+@query(
+    f"""{VERSIONS}, {ADJ}, {ENDS}, {PARTIAL}, near AS (SELECT DISTINCT version, neighbour AS k FROM adj WHERE node = 'signal:Brand#2' UNION SELECT version, 'signal:Brand#2' FROM adj WHERE node = 'signal:Brand#2')
+ SELECT f.version, predicate, count(*) AS n FROM facts f WHERE EXISTS (SELECT 1 FROM near n WHERE n.version = f.version AND n.k = f.subject) AND EXISTS (SELECT 1 FROM near n WHERE n.version = f.version AND n.k = f.object) GROUP BY ALL"""
+)
+def ego_edges(spark, sf):
+    """Edges among a signal and its neighbours, in every version."""
+    f = _facts(spark, sf)
+    _, edges = graph.filter_graph(f, graph.build_nodes(f, A.entities(spark, sf), EACH), node="signal:Brand#2", depth=1, by=EACH)
+    return edges.groupBy("version", "predicate").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    f"""{VERSIONS}, {PARTIAL}, ends AS (SELECT DISTINCT unnest([subject, object]) AS k FROM target) SELECT 'empty_end' AS rule, count(*) AS n FROM target WHERE subject = '' OR object = '' UNION ALL SELECT 'confidence_range', count(*) FROM target WHERE confidence NOT BETWEEN 0 AND 1
- UNION ALL SELECT 'domain_range', 0 UNION ALL SELECT 'unregistered', count(*) FROM ends WHERE k NOT IN (SELECT entity_key FROM known) UNION ALL SELECT 'orphan', count(*) FROM known WHERE entity_key NOT IN (SELECT k FROM ends)
- UNION ALL SELECT 'duplicate_fact', count(*) FROM (SELECT fact_key FROM target GROUP BY 1 HAVING count(*) > 1)"""
+    f"""{VERSIONS}, {ENDS}, {PARTIAL}, odd AS (SELECT version, CASE WHEN version LIKE '%-12' THEN 'carries' ELSE predicate END AS predicate, subject, object, fact_key, CASE WHEN version LIKE '%-11' THEN confidence + 0.1 ELSE confidence END AS confidence FROM facts),
+ r AS (SELECT version, 'confidence_range' AS rule FROM odd WHERE confidence NOT BETWEEN 0 AND 1
+ UNION ALL SELECT version, 'domain_range' FROM odd WHERE NOT ((predicate IN ('provides', 'requires') AND subject LIKE 'component:%' AND object LIKE 'interface:%') OR (predicate = 'carries' AND subject LIKE 'interface:%' AND object LIKE 'signal:%'))
+ UNION ALL SELECT version, 'unregistered' FROM ends WHERE k NOT IN (SELECT entity_key FROM known) UNION ALL SELECT v.version, 'orphan' FROM known, vers v WHERE NOT EXISTS (SELECT 1 FROM ends e WHERE e.version = v.version AND e.k = entity_key)
+ UNION ALL SELECT version, 'duplicate_fact' FROM (SELECT version, fact_key FROM odd GROUP BY ALL HAVING count(*) > 1)), n AS (SELECT version, rule, count(*) AS n FROM r GROUP BY ALL)
+ SELECT v.version, u.rule, coalesce(n.n, 0) AS n FROM vers v CROSS JOIN (SELECT unnest([{_list(graph.RULES)}]) AS rule) u LEFT JOIN n ON n.version = v.version AND n.rule = u.rule"""
 )
 def graph_validation(spark, sf):
-    return graph.validate(version(spark, sf, A.TARGET), _known(spark, sf))
+    """Every version against a registry with gaps; the facts of each December and November are bent."""
+    f = A.facts(spark, sf)
+    f = f.withColumn("predicate", F.when(F.col("version").like("%-12"), "carries").otherwise(F.col("predicate"))).withColumn("confidence", F.when(F.col("version").like("%-11"), F.col("confidence") + 0.1).otherwise(F.col("confidence")))
+    return graph.validate(store(f, "facts"), _known(spark, sf), EACH)
+
+
+@query(f"{VERSIONS}, n AS (SELECT version, 'node' AS kind, entity_type AS name, count(*) AS n FROM entities, (SELECT DISTINCT version FROM facts) GROUP BY ALL) SELECT * FROM n UNION ALL SELECT version, 'edge', predicate, count(*) FROM facts GROUP BY ALL")
+def graph_statistics(spark, sf):
+    f = A.facts(spark, sf)
+    return graph.statistics(f, graph.build_nodes(f, A.entities(spark, sf), EACH), EACH)
 
 
 def _escaped(column: str) -> str:
@@ -617,75 +673,132 @@ def _escaped(column: str) -> str:
 
 
 @query(
-    f"""{VERSIONS} SELECT 0 AS part, '<node id="' || {_escaped('entity_key')} || '"><data key="name">' || {_escaped('name')} || '</data></node>' AS line FROM entities
- UNION ALL SELECT 1, '<edge source="' || {_escaped('subject')} || '" target="' || {_escaped('object')} || '"><data key="predicate">' || {_escaped('predicate')} || '</data></edge>' FROM target"""
+    f"""{VERSIONS}, {ENDS} SELECT version, 0 AS part, '<node id="' || {_escaped('k')} || '"><data key="name">' || {_escaped('name')} || '</data></node>' AS line FROM ends JOIN entities ON entity_key = k
+ UNION ALL SELECT version, 1, '<edge source="' || {_escaped('subject')} || '" target="' || {_escaped('object')} || '"><data key="predicate">' || {_escaped('predicate')} || '</data></edge>' FROM facts"""
 )
 def graphml_lines(spark, sf):
-    return graphml(A.entities(spark, sf), version(spark, sf, A.TARGET))
+    f = A.facts(spark, sf)
+    nodes = graph.ends(f, EACH).distinct().join(A.entities(spark, sf), "entity_key")
+    return graphml(nodes, f, EACH)
 
 
-# --- findings ---------------------------------------------------------------------------------------------------------
+# --- findings: all versions in one job --------------------------------------------------------------------------------
 
+
+def _joined(column: str) -> str:
+    return f"array_to_string(list_sort(list(DISTINCT {column})), ',')"
+
+
+_found_head = "SELECT version, '{}' AS finding_type, {} AS severity, {} AS entity_keys, {} AS fact_keys, {} AS confidence"
+LACK = f"""lack AS (SELECT * FROM facts f WHERE predicate = 'requires' AND NOT EXISTS (SELECT 1 FROM facts p WHERE p.predicate = 'provides' AND p.version = f.version AND p.object = f.object)),
+lackf AS (SELECT version, object, {_joined('fact_key')} AS fk, max(confidence) AS c FROM lack GROUP BY ALL),
+idle AS (SELECT * FROM facts f WHERE predicate = 'carries' AND NOT EXISTS (SELECT 1 FROM facts p WHERE p.predicate = 'requires' AND p.version = f.version AND p.object = f.subject)),
+idlef AS (SELECT version, subject, {_joined('fact_key')} AS fk, max(confidence) AS c FROM idle GROUP BY ALL),
+dup AS (SELECT lower(trim(name)) AS n, list(DISTINCT entity_key) AS k FROM known WHERE entity_type = 'interface' AND trim(name) <> '' GROUP BY 1 HAVING count(DISTINCT entity_key) >= 2),
+dupk AS (SELECT n, unnest(k) AS entity_key FROM dup), dupf AS (SELECT version, n, {_joined('fact_key')} AS fk FROM (SELECT version, fact_key, unnest([subject, object]) AS entity_key FROM facts) JOIN dupk USING (entity_key) GROUP BY ALL)"""
 DETECT = {
-    "undefined_reference": "SELECT 'undefined_reference' AS finding_type, k AS entity_keys, count(*) AS n_facts FROM (SELECT unnest([subject, object]) AS k FROM target) WHERE k NOT IN (SELECT entity_key FROM known) GROUP BY k",
-    "dangling_requires": "SELECT 'dangling_requires' AS finding_type, object AS entity_keys, count(*) AS n_facts FROM target WHERE predicate = 'requires' AND object NOT IN (SELECT object FROM target WHERE predicate = 'provides') GROUP BY object",
-    "duplicate_interface": "SELECT 'duplicate_interface' AS finding_type, array_to_string(list_sort(list(DISTINCT entity_key)), ',') AS entity_keys, 0 AS n_facts FROM known WHERE entity_type = 'interface' GROUP BY lower(trim(name)) HAVING count(DISTINCT entity_key) >= 2",
-    "conflicting_providers": "SELECT 'conflicting_providers' AS finding_type, object AS entity_keys, count(*) AS n_facts FROM target WHERE predicate = 'provides' GROUP BY object HAVING count(DISTINCT subject) >= 2",
-    "orphan_entity": "SELECT 'orphan_entity' AS finding_type, entity_key AS entity_keys, 0 AS n_facts FROM known WHERE entity_key NOT IN (SELECT unnest([subject, object]) FROM target)",
-    "unconsumed_signal": "SELECT 'unconsumed_signal' AS finding_type, object AS entity_keys, count(*) AS n_facts FROM target WHERE predicate = 'carries' GROUP BY object HAVING count(*) FILTER (WHERE subject IN (SELECT object FROM target WHERE predicate = 'requires')) = 0",
-    "inconsistent_classification": "SELECT 'inconsistent_classification' AS finding_type, object AS entity_keys, count(*) AS n_facts FROM target GROUP BY object HAVING bool_or(predicate = 'requires') AND bool_or(predicate = 'provides')",
+    "undefined_reference": _found_head.format("undefined_reference", "'high'", _joined("k"), "fact_key", "max(confidence)") + " FROM (SELECT version, fact_key, confidence, unnest([subject, object]) AS k FROM facts) WHERE k NOT IN (SELECT entity_key FROM known) GROUP BY version, fact_key",
+    "dangling_requires": _found_head.format("dangling_requires", "CASE WHEN object IN (SELECT entity_key FROM known) THEN 'medium' ELSE 'high' END", "array_to_string(list_sort([subject, object]), ',')", "fk", "c") + " FROM (SELECT DISTINCT version, subject, object FROM lack) JOIN lackf USING (version, object)",
+    "duplicate_interface": _found_head.format("duplicate_interface", "'medium'", "array_to_string(list_sort(k), ',')", "coalesce(fk, '')", "0.5") + " FROM dup CROSS JOIN vers LEFT JOIN dupf USING (version, n)",
+    "conflicting_providers": _found_head.format("conflicting_providers", "'high'", "array_to_string(list_sort(list_append(list(DISTINCT subject), object)), ',')", _joined("fact_key"), "max(confidence)") + " FROM facts WHERE predicate = 'provides' GROUP BY version, object HAVING count(DISTINCT subject) >= 2",
+    "orphan_entity": _found_head.format("orphan_entity", "'medium'", "entity_key", "''", "0.5") + " FROM known, vers v WHERE NOT EXISTS (SELECT 1 FROM ends e WHERE e.version = v.version AND e.k = entity_key)",
+    "unconsumed_signal": _found_head.format("unconsumed_signal", "'medium'", "array_to_string(list_sort([subject, object]), ',')", "fk", "c") + " FROM (SELECT DISTINCT version, subject, object FROM idle) JOIN idlef USING (version, subject)",
 }
-FINDHEAD = f"{VERSIONS}, {PARTIAL}"
+FINDHEAD = f"{VERSIONS}, {ENDS}, {PARTIAL}, {LACK}"
+_flat = "version, finding_type, severity, entity_keys, fact_keys, CAST(confidence AS DOUBLE) AS confidence"
 
 
-def _detector(kind: str, name: str) -> None:
-    detect = {**findings.DETECTORS, "inconsistent_classification": findings.inconsistent_classification}[kind]
+def _flattened(found: DataFrame) -> DataFrame:
+    return found.withColumn("entity_keys", F.array_join("entity_keys", ",")).withColumn("fact_keys", F.array_join("fact_keys", ","))
 
+
+def _detector(kind: str, name: str) -> None:
     def run(spark, sf):
-        return detect(version(spark, sf, A.TARGET), _known(spark, sf))
+        found = findings.DETECTORS[kind](A.facts(spark, sf), _known(spark, sf), by=EACH)
+        return _flattened(found).select("version", "finding_type", "severity", "entity_keys", F.md5("fact_keys").alias("facts_md5"), "confidence")
 
     run.__name__ = name
-    query(f"{FINDHEAD} {DETECT[kind]}")(run)
+    query(f"{FINDHEAD} SELECT version, finding_type, severity, entity_keys, md5(fact_keys) AS facts_md5, CAST(confidence AS DOUBLE) AS confidence FROM ({DETECT[kind]})")(run)
 
 
-for _kind, _name in (("undefined_reference", "undefined_refs"), ("dangling_requires", "dangling_requires"), ("duplicate_interface", "duplicate_names"), ("conflicting_providers", "conflicting_providers"), ("orphan_entity", "orphans"), ("unconsumed_signal", "unconsumed"), ("inconsistent_classification", "dual_class")):
+for _kind, _name in (("undefined_reference", "undefined_refs"), ("dangling_requires", "dangling_requires"), ("duplicate_interface", "duplicate_names"), ("conflicting_providers", "conflicting_providers"), ("orphan_entity", "orphans"), ("unconsumed_signal", "unconsumed")):
     _detector(_kind, _name)
 
-_codes = " ".join(f"WHEN '{k}' THEN '{c}'" for k, (c, _) in findings.CODES.items())
-_severities = " ".join(f"WHEN '{k}' THEN '{s}'" for k, (_, s) in findings.CODES.items())
-FOUND = f"""all_found AS ({' UNION ALL '.join(DETECT[k] for k in findings.DETECTORS)}), found AS (SELECT 'M6-' || CASE finding_type {_codes} END || '-' || substr(sha256('{A.TARGET}' || '|' || finding_type || '|' || entity_keys || '|'), 1, 10) AS finding_id,
- finding_type, CASE finding_type {_severities} END AS severity, entity_keys, n_facts FROM all_found)"""
 
+@query(
+    f"""WITH {A.CLUSTERS}, twice AS (SELECT version, subject, {_joined('fact_key')} AS fk FROM cf WHERE object IN (SELECT entity_key FROM ce) GROUP BY ALL HAVING count(DISTINCT object) = 2),
+ miss AS (SELECT version, fact_key, {_joined('k')} AS k FROM (SELECT version, fact_key, unnest([subject, object]) AS k FROM cf) WHERE k NOT IN (SELECT entity_key FROM ce) GROUP BY ALL)
+ SELECT version, 'InconsistentClassificationDetector' AS detector, 'medium' AS severity, subject || ',autosar:platform_foundation:adaptive_platform_foundation,autosar:platform_service:adaptive_platform_services' AS entity_keys, fk AS fact_keys FROM twice
+ UNION ALL SELECT version, 'AutosarUndefinedReferenceDetector', 'high', k, fact_key FROM miss"""
+)
+def dual_class(spark, sf):
+    """The two detectors of the second vocabulary."""
+    found = findings.run(store(A.cluster_facts(spark, sf), "clusters"), A.cluster_entities(spark, sf), "version", findings.PROFILES["adaptive"], EACH)
+    return _flattened(found).select("version", "detector", "severity", "entity_keys", "fact_keys")
+
+
+_codes = " ".join(f"WHEN '{k}' THEN '{c}'" for k, c in findings.CODES.items())
+FOUND = f"""all_found AS ({' UNION ALL '.join(DETECT.values())}), found AS MATERIALIZED (SELECT 'M6-' || CASE finding_type {_codes} END || '-' || substr(sha256(version || '|' || finding_type || '|' || entity_keys || '|' || fact_keys), 1, 10) AS finding_id,
+ {_flat} FROM all_found)"""
 
-def _findings(spark, sf, label=A.TARGET):
-    return findings.run(version(spark, sf, label), _known(spark, sf), label)
 
+def _findings(spark, sf):
+    """Findings of every version, its facts and the registry."""
+    f, known = _facts(spark, sf), store(_known(spark, sf), "known")
+    return findings.run(f, known, "version", by=EACH), f, known
 
-@query(f"{FINDHEAD}, {FOUND} SELECT finding_id, finding_type, severity, entity_keys, n_facts FROM found")
+
+@query(f"{FINDHEAD}, {FOUND} SELECT version, finding_id, finding_type, severity, entity_keys, confidence FROM found")
 def finding_ids(spark, sf):
-    return _findings(spark, sf)
+    return _flattened(_findings(spark, sf)[0]).select("version", "finding_id", "finding_type", "severity", "entity_keys", "confidence")
 
 
-@query(f"{FINDHEAD}, {FOUND} SELECT finding_type, severity, count(*) AS n FROM found GROUP BY GROUPING SETS ((finding_type), (severity), ())")
+@query(f"{FINDHEAD}, {FOUND} SELECT finding_type, severity, status, count(*) AS n FROM (SELECT *, 'open' AS status FROM found) GROUP BY GROUPING SETS ((finding_type), (severity), (status), ())")
 def findings_breakdown(spark, sf):
-    return findings.breakdown(_findings(spark, sf))
+    return findings.breakdown(_findings(spark, sf)[0])
+
 
+@query(f"{FINDHEAD}, {FOUND} SELECT version, count(*) AS n FROM found WHERE severity = 'high' AND finding_type = 'dangling_requires' GROUP BY version")
+def findings_filtered(spark, sf):
+    return findings.select(_findings(spark, sf)[0], finding_type="dangling_requires", severity="high", status="open").groupBy("version").agg(F.count(F.lit(1)).alias("n"))
 
-@query(f"{FINDHEAD}, {FOUND} SELECT unnest(['id_mismatch', 'unknown_type', 'repeated_id', 'no_entity']) AS rule, 0 AS n UNION ALL SELECT 'unknown_entity', count(*) FROM (SELECT finding_type, unnest(string_split(entity_keys, ',')) AS k FROM found) WHERE finding_type NOT IN ('undefined_reference', 'dangling_requires') AND k NOT IN (SELECT entity_key FROM entities)")
+
+@query(
+    f"""{FINDHEAD}, {FOUND}, f AS (SELECT finding_id, version, finding_type, unnest(string_split(entity_keys, ',')) AS k FROM found WHERE finding_type <> 'duplicate_interface')
+ SELECT u.rule, count(r.rule) AS n FROM (SELECT unnest([{_list(findings.RULES)}]) AS rule) u LEFT JOIN (SELECT 'unknown_entity_key' AS rule FROM f WHERE finding_type NOT IN ('undefined_reference', 'dangling_requires') AND k NOT IN (SELECT entity_key FROM known)
+ UNION ALL SELECT 'invalid_severity' FROM f WHERE finding_type = 'orphan_entity' UNION ALL SELECT 'invalid_confidence' FROM (SELECT DISTINCT finding_id FROM f WHERE finding_type = 'conflicting_providers')) r USING (rule) GROUP BY u.rule"""
+)
 def finding_validation(spark, sf):
-    return findings.validate(_findings(spark, sf), A.entities(spark, sf), A.TARGET)
+    """Findings (but duplicate names) with bent severities and confidences against all rules."""
+    found, f, known = _findings(spark, sf)
+    found = found.where("finding_type <> 'duplicate_interface'")
+    found = found.withColumn("severity", F.when(F.col("finding_type") == "orphan_entity", "fatal").otherwise(F.col("severity"))).withColumn("confidence", F.when(F.col("finding_type") == "conflicting_providers", F.col("confidence") + 1).otherwise(F.col("confidence")))
+    return findings.validate(store(found, "findings"), f, known, EACH)
+
+
+@query(
+    f"""{FINDHEAD}, {FOUND}, e AS (SELECT finding_id, 'fact' AS kind, unnest(string_split(fact_keys, ',')) AS key FROM found WHERE fact_keys <> '' UNION ALL SELECT finding_id, 'entity', unnest(string_split(entity_keys, ',')) FROM found)
+ SELECT kind, CASE WHEN kind = 'fact' THEN 'supporting registry fact' WHEN key IN (SELECT entity_key FROM known) THEN 'referenced entity' ELSE 'entity absent from registry' END AS note, count(*) AS n, count(DISTINCT finding_id) AS findings FROM e GROUP BY ALL"""
+)
+def finding_evidence(spark, sf):
+    found, f, known = _findings(spark, sf)
+    e = findings.evidence(store(found, "findings"), f, known, EACH)
+    return e.groupBy("kind", "note").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("finding_id").alias("findings"))
 
 
 @query(
-    f"""{FINDHEAD}, {FOUND}, cur AS (SELECT finding_type || ':' || entity_keys AS finding_id FROM found), prev AS (SELECT 'orphan_entity:' || entity_key AS finding_id, CASE WHEN entity_type = 'interface' THEN 'confirmed' ELSE 'rejected' END AS state FROM known WHERE entity_key NOT IN (SELECT unnest([subject, object]) FROM base))
+    f"""{FINDHEAD}, {FOUND}, pairs AS ({"SELECT version AS before, lead(version) OVER (ORDER BY version) AS now FROM vers"}), key AS (SELECT version, finding_type || ':' || entity_keys AS finding_id FROM found), cur AS (SELECT now || '/' || finding_id AS finding_id FROM key JOIN pairs ON now = version),
+ prev AS (SELECT now || '/' || finding_id AS finding_id, CASE WHEN finding_id LIKE '%interface:%' THEN 'accepted' ELSE 'rejected' END AS state FROM key JOIN pairs ON before = version WHERE now IS NOT NULL AND finding_id LIKE 'orphan_entity:%')
  SELECT finding_id, coalesce(state, 'open') AS state, CASE WHEN c.finding_id IS NULL THEN 'vanished' WHEN state IS NULL THEN 'new' ELSE 'kept' END AS change FROM cur c FULL JOIN prev p USING (finding_id)"""
 )
 def review_carry_over(spark, sf):
-    known = _known(spark, sf)
-    key = F.concat_ws(":", "finding_type", "entity_keys")
-    cur = _findings(spark, sf).select(key.alias("finding_id"))
-    prev = findings.orphan_entities(version(spark, sf, A.BASE), known).join(known.select(F.col("entity_key").alias("entity_keys"), "entity_type"), "entity_keys")
-    return findings.carry_over(cur, prev.select(key.alias("finding_id"), F.when(F.col("entity_type") == "interface", "confirmed").otherwise("rejected").alias("state")))
+    """Review states of the orphans of each version, carried to the version after it."""
+    found = store(_findings(spark, sf)[0].select("version", F.concat_ws(":", "finding_type", F.array_join("entity_keys", ",")).alias("k")), "findings")
+    pairs = found.select(F.col("version").alias("before")).distinct().withColumn("now", F.lead("before").over(Window.orderBy("before"))).where("now is not null")
+    ident = F.concat_ws("/", "now", "k").alias("finding_id")
+    cur = found.join(pairs, found.version == pairs.now).select(ident)
+    prev = found.where("k like 'orphan_entity:%'").join(pairs, found.version == pairs.before).select(ident, F.when(F.contains("k", F.lit("interface:")), "accepted").otherwise("rejected").alias("state"))
+    return findings.carry_over(cur, prev)
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1")
@@ -693,157 +806,117 @@ def latest_run(spark, sf):
     return findings.latest(A.table(spark, sf, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-# --- diff and impact --------------------------------------------------------------------------------------------------
+# --- diff and impact: every two versions that follow each other, in one job ----------------------------------------------
 
-SNAP = """be AS (SELECT * FROM entities WHERE entity_key IN (SELECT unnest([subject, object]) FROM base)), te AS (SELECT entity_key, entity_type, CASE WHEN entity_type = 'interface' AND len(name) % 2 = 0 THEN name || ' (new)' ELSE name END AS name FROM entities WHERE entity_key IN (SELECT unnest([subject, object]) FROM target)),
-ec AS (SELECT entity_key, CASE WHEN b.name IS NULL THEN 'added' WHEN t.name IS NULL THEN 'removed' WHEN b.name <> t.name THEN 'changed' END AS change FROM be b FULL JOIN te t USING (entity_key)),
-rc AS (SELECT fact_key, coalesce(b.subject, t.subject) AS subject, coalesce(b.predicate, t.predicate) AS predicate, coalesce(b.object, t.object) AS object, CASE WHEN b.fact_key IS NULL THEN 'added' ELSE 'removed' END AS change FROM base b FULL JOIN target t USING (fact_key) WHERE b.fact_key IS NULL OR t.fact_key IS NULL)"""
+_pairs = "pairs AS (SELECT * FROM (SELECT version AS base_version, lead(version) OVER (ORDER BY version) AS target_version FROM vers) WHERE target_version IS NOT NULL)"
+_digest = "'M7-' || CASE {0} WHEN 'entity_added' THEN 'ENT-ADD' WHEN 'entity_removed' THEN 'ENT-REM' WHEN 'entity_changed' THEN 'ENT-CHG' WHEN 'relationship_added' THEN 'REL-ADD' ELSE 'REL-REM' END || '-' || substr(sha256(base_version || '|' || target_version || '|' || {0} || '|' || {1}), 1, 10)"
+SNAP = f"""{ENDS}, {_pairs}, be AS MATERIALIZED (SELECT base_version, target_version, e.* FROM pairs JOIN ends ON version = base_version JOIN entities e ON entity_key = k),
+te AS MATERIALIZED (SELECT base_version, target_version, entity_key, entity_type, CASE WHEN entity_type = 'interface' AND len(name) % 2 = 0 THEN name || ' (new)' ELSE name END AS name FROM pairs JOIN ends ON version = target_version JOIN entities e ON entity_key = k),
+ec0 AS (SELECT base_version, target_version, entity_key, b.name AS bn, t.name AS tn, CASE WHEN b.name IS NULL THEN 'entity_added' WHEN t.name IS NULL THEN 'entity_removed' WHEN b.name <> t.name THEN 'entity_changed' END AS change_type FROM be b FULL JOIN te t USING (base_version, target_version, entity_key)),
+ec AS MATERIALIZED (SELECT *, {_digest.format('change_type', 'entity_key')} AS change_id FROM ec0 WHERE change_type IS NOT NULL),
+bf AS MATERIALIZED (SELECT base_version, target_version, f.* FROM pairs JOIN facts f ON version = base_version), tf AS MATERIALIZED (SELECT base_version, target_version, f.* FROM pairs JOIN facts f ON version = target_version),
+rc AS MATERIALIZED (SELECT *, {_digest.format('change_type', "fact_key")} AS change_id FROM (SELECT base_version, target_version, fact_key, coalesce(b.subject, t.subject) AS subject, coalesce(b.predicate, t.predicate) AS predicate, coalesce(b.object, t.object) AS object, CASE WHEN b.subject IS NULL THEN 'relationship_added' ELSE 'relationship_removed' END AS change_type
+ FROM bf b FULL JOIN tf t USING (base_version, target_version, fact_key) WHERE b.subject IS NULL OR t.subject IS NULL))"""
 
 
 def _snapshots(spark, sf):
+    """Base and target facts and entities of every pair; the targets' interfaces of even names are renamed."""
+    f = _facts(spark, sf)
     e = A.entities(spark, sf)
-    b, t = version(spark, sf, A.BASE), version(spark, sf, A.TARGET)
+    b, t = (store(df, "side") for df in diff.consecutive(f))
     renamed = F.when((F.col("entity_type") == "interface") & (F.length("name") % 2 == 0), F.concat("name", F.lit(" (new)"))).otherwise(F.col("name"))
-    return b, t, diff.snapshot_entities(b, e), diff.snapshot_entities(t, e).withColumn("name", renamed)
+    return b, t, diff.snapshot_entities(b, e, diff.PAIR), diff.snapshot_entities(t, e, diff.PAIR).withColumn("name", renamed)
 
 
-@query(f"{VERSIONS}, {SNAP} SELECT entity_key, change FROM ec WHERE change IS NOT NULL")
+@query(f"{VERSIONS}, {SNAP} SELECT base_version, target_version, change_id, change_type, entity_key, split_part(entity_key, ':', 1) AS entity_type, coalesce(tn, bn) AS display_name, CASE WHEN change_type = 'entity_changed' THEN bn ELSE '' END AS base_name, CASE WHEN change_type = 'entity_changed' THEN tn ELSE '' END AS target_name FROM ec")
 def entity_diff(spark, sf):
     _, _, be, te = _snapshots(spark, sf)
-    return diff.entity_diff(be, te)
+    return diff.entity_diff(be, te, diff.PAIR)
 
 
-@query(f"{VERSIONS}, {SNAP} SELECT fact_key, subject, predicate, object, change FROM rc")
+@query(f"{VERSIONS}, {SNAP} SELECT base_version, target_version, change_id, change_type, fact_key, subject, predicate, object, '' AS object_value FROM rc")
 def relationship_diff(spark, sf):
     b, t, _, _ = _snapshots(spark, sf)
-    return diff.relationship_diff(b, t)
+    return diff.relationship_diff(b, t, diff.PAIR)
 
 
-@query(f"{VERSIONS}, {SNAP}, gone AS (SELECT entity_key FROM be WHERE entity_key LIKE 'interface:%' AND len(name) % 3 = 0) SELECT fact_key, k AS entity_key FROM (SELECT fact_key, unnest([subject, object]) AS k FROM target) WHERE k IN (SELECT entity_key FROM gone)")
+@query(
+    f"""{VERSIONS}, {SNAP}, tk AS (SELECT * FROM te WHERE NOT (entity_type = 'interface' AND len(name) % 3 = 0)), gone AS (SELECT base_version, target_version, entity_key AS k FROM be b WHERE NOT EXISTS (SELECT 1 FROM tk t WHERE t.base_version = b.base_version AND t.entity_key = b.entity_key)),
+ s AS (SELECT base_version, target_version, fact_key, {_joined('k')} AS entity_keys FROM (SELECT base_version, target_version, fact_key, unnest([subject, object]) AS k FROM tf) JOIN gone USING (base_version, target_version, k) GROUP BY ALL)
+ SELECT base_version, target_version, 'M7-STALEREF-' || substr(sha256(base_version || '|' || target_version || '|stale_reference|' || entity_keys || '|' || fact_key), 1, 10) AS finding_id, entity_keys, fact_key FROM s"""
+)
 def stale_refs(spark, sf):
-    """Target facts that name an interface which the target registry, as read here, has dropped."""
+    """Target facts that name an entity of the base which the target's registry, from which some interfaces are left out, lacks."""
     _, t, be, te = _snapshots(spark, sf)
-    dropped = be.where("entity_type = 'interface' and length(name) % 3 = 0").select("entity_key")
-    return diff.stale_references(dropped, te.join(dropped, "entity_key", "left_anti"), t)
+    left = te.where("not (entity_type = 'interface' and length(name) % 3 = 0)")
+    return diff.stale_references(be, left, t, diff.PAIR).select(*diff.PAIR, "finding_id", F.array_join("entity_keys", ",").alias("entity_keys"), "fact_key")
 
 
-@query(f"{VERSIONS}, {SNAP} SELECT 'entity' AS level, change, count(*) AS n FROM ec WHERE change IS NOT NULL GROUP BY change UNION ALL SELECT 'relationship', change, count(*) FROM rc GROUP BY change")
-def diff_summary(spark, sf):
-    b, t, be, te = _snapshots(spark, sf)
-    return diff.summary(diff.entity_diff(be, te), diff.relationship_diff(b, t))
+def impact_sql(depth: int, starts: str) -> str:
+    return f"""{VERSIONS}, {SNAP}, adj AS MATERIALIZED (SELECT version, subject AS node, object AS neighbour, predicate, fact_key, 'out' AS direction FROM facts UNION ALL SELECT version, object, subject, predicate, fact_key, 'in' FROM facts),
+ start AS ({starts}),
+ bfs(change_id, scope, node, depth, predicate, ord, path) AS (SELECT change_id, scope, node, 0, CAST(NULL AS VARCHAR), [pos], '' FROM start
+ UNION ALL SELECT change_id, w.scope, neighbour, depth + 1, coalesce(w.predicate, adj.predicate), list_append(ord, fact_key || chr(1) || neighbour || chr(1) || direction), CASE WHEN path = '' THEN '' ELSE path || '/' END || fact_key FROM bfs w JOIN adj ON adj.version = w.scope AND adj.node = w.node WHERE depth < {depth}),
+ best AS (SELECT change_id, scope, node, min(depth) AS depth, arg_min(struct_pack(predicate := predicate, path := path), struct_pack(d := depth, o := ord)) AS x FROM bfs GROUP BY ALL),
+ imp AS (SELECT 'M7-IMP-' || substr(sha256(change_id || '|' || node || '|' || depth), 1, 10) AS impact_id, change_id, node, CAST(depth AS BIGINT) AS depth, CASE WHEN depth = 0 THEN 'direct' WHEN depth >= 2 THEN 'transitive' WHEN x.predicate = 'requires' THEN 'interface_consumer' WHEN x.predicate = 'provides' THEN 'interface_provider' WHEN x.predicate = 'carries' THEN 'signal' ELSE 'transitive' END AS category, scope AS version_scope, x.path AS facts FROM best)"""
 
 
-def _impacts(spark, sf, depth):
+ENTITY_STARTS = "SELECT change_id, CASE WHEN change_type = 'entity_removed' THEN base_version ELSE target_version END AS scope, entity_key AS node, '0' AS pos FROM ec"
+BOTH_STARTS = f"{ENTITY_STARTS} UNION ALL SELECT change_id, CASE WHEN change_type = 'relationship_removed' THEN base_version ELSE target_version END, unnest([subject, object]), unnest(['0', '1']) FROM rc"
+
+
+def _impacts(spark, sf, depth, relations=False):
     b, t, be, te = _snapshots(spark, sf)
-    return diff.impact(diff.entity_diff(be, te), b, t, depth), b, t
+    ent = diff.entity_diff(be, te, diff.PAIR)
+    starts = diff.anchors(ent, diff.relationship_diff(b, t, diff.PAIR) if relations else None, diff.PAIR)
+    return diff.impact(starts, b, t, depth, diff.PAIR, write=store), b, t
 
 
-def impact_sql(depth: int) -> str:
-    return f"""{VERSIONS}, {SNAP}, adj AS (SELECT 'base' AS side, subject AS node, object AS neighbour, predicate, fact_key, 'out' AS direction FROM base UNION ALL SELECT 'base', object, subject, predicate, fact_key, 'in' FROM base
- UNION ALL SELECT 'target', subject, object, predicate, fact_key, 'out' FROM target UNION ALL SELECT 'target', object, subject, predicate, fact_key, 'in' FROM target),
- bfs(change_key, side, node, depth, predicate, path) AS (SELECT entity_key, CASE WHEN change = 'removed' THEN 'base' ELSE 'target' END, entity_key, 0, CAST(NULL AS VARCHAR), '' FROM ec WHERE change IS NOT NULL
- UNION ALL SELECT change_key, w.side, neighbour, depth + 1, adj.predicate, CASE WHEN path = '' THEN '' ELSE path || '/' END || fact_key || '>' || neighbour || '>' || direction FROM bfs w JOIN adj ON adj.side = w.side AND adj.node = w.node WHERE depth < {depth})
- SELECT change_key, node, CAST(depth AS BIGINT) AS depth, CASE WHEN depth = 0 THEN 'direct' WHEN depth >= 2 THEN 'transitive' WHEN predicate = 'requires' THEN 'interface_consumer' WHEN predicate = 'provides' THEN 'interface_provider' WHEN predicate = 'carries' THEN 'signal' ELSE 'transitive' END AS category, path
- FROM (SELECT *, row_number() OVER (PARTITION BY change_key, node ORDER BY depth, path COLLATE "C") AS r FROM bfs) WHERE r = 1"""
+def _impact_rows(found: DataFrame) -> DataFrame:
+    return found.select("impact_id", "change_id", "node", "depth", "category", "version_scope", F.array_join(F.transform("path", lambda s: s["fact_key"]), "/").alias("facts"))
 
 
-@query(impact_sql(1).replace(' COLLATE "C"', ""))
+@query(f"{impact_sql(1, ENTITY_STARTS)} SELECT * FROM imp")
 def impact_d1(spark, sf):
-    return _impacts(spark, sf, 1)[0]
+    return _impact_rows(_impacts(spark, sf, 1)[0])
 
 
-@query(impact_sql(2).replace(' COLLATE "C"', ""))
+@query(f"{impact_sql(2, ENTITY_STARTS)} SELECT version_scope, depth, category, count(*) AS n, count(DISTINCT change_id) AS changes, count(DISTINCT node) AS nodes FROM imp GROUP BY ALL")
 def impact_d2(spark, sf):
-    return _impacts(spark, sf, 2)[0]
-
-
-@query(f"{VERSIONS} SELECT subject AS change_key, object AS node, fact_key FROM target WHERE 1 = 0")
-def impact_path_valid(spark, sf):
-    return diff.invalid_paths(*_impacts(spark, sf, 1))
-
-
-@query(f"{VERSIONS}, {SNAP} SELECT entity_key, 'M7-' || upper(change) || '-' || substr(sha256('{A.BASE}|{A.TARGET}|' || change || '|' || entity_key), 1, 10) AS change_id FROM ec WHERE change IS NOT NULL")
-def change_ids(spark, sf):
-    return entity_diff(spark, sf).select("entity_key", diff.change_id(A.BASE, A.TARGET, F.col("change"), F.col("entity_key")).alias("change_id"))
-
+    return _impacts(spark, sf, 2)[0].groupBy("version_scope", "depth", "category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("change_id").alias("changes"), F.countDistinct("node").alias("nodes"))
 
-# --- all versions in one job: no SQL, tested version by version against the queries above -------------------------------
 
-EACH = ("version",)
-
-
-@query()
-def graph_nodes_all(spark, sf):
-    return graph.build_nodes(A.facts(spark, sf), _known(spark, sf), EACH)
-
-
-@query()
-def related_all(spark, sf):
-    e = A.entities(spark, sf)
-    keys = e.where("entity_key like 'component:S-%' or entity_key like 'signal:%'").select("entity_key")
-    return graph.related(A.facts(spark, sf), e, keys, EACH)
-
-
-@query()
-def components_all(spark, sf):
-    """Over all predicates."""
-    return graph.weak_components(A.facts(spark, sf), _write, by=EACH)
-
-
-@query()
-def findings_all(spark, sf):
-    """The findings of all seven detectors."""
-    detectors = {**findings.DETECTORS, "inconsistent_classification": findings.inconsistent_classification}
-    return findings.run(A.facts(spark, sf), _known(spark, sf), "version", detectors, by=EACH)
-
-
-def _all_snapshots(spark, sf):
-    e = A.entities(spark, sf)
-    b, t = diff.consecutive(A.facts(spark, sf))
-    renamed = F.when((F.col("entity_type") == "interface") & (F.length("name") % 2 == 0), F.concat("name", F.lit(" (new)"))).otherwise(F.col("name"))
-    return b, t, diff.snapshot_entities(b, e, diff.PAIR), diff.snapshot_entities(t, e, diff.PAIR).withColumn("name", renamed)
-
-
-@query()
-def entity_diff_all(spark, sf):
-    _, _, be, te = _all_snapshots(spark, sf)
-    return diff.entity_diff(be, te, diff.PAIR)
-
-
-@query()
-def relationship_diff_all(spark, sf):
-    return diff.relationship_diff(*diff.consecutive(A.facts(spark, sf)), diff.PAIR)
-
-
-def _all_impacts(spark, sf, depth):
-    b, t, be, te = _all_snapshots(spark, sf)
-    return diff.impact(diff.entity_diff(be, te, diff.PAIR), b, t, depth, diff.PAIR)
-
-
-@query()
-def impact_d1_all(spark, sf):
-    return _all_impacts(spark, sf, 1)
-
-
-@query()
-def impact_d2_all(spark, sf):
-    return _all_impacts(spark, sf, 2)
+@query(
+    f"""{impact_sql(1, BOTH_STARTS)}, s AS (SELECT base_version, target_version, unnest(['change', 'entity_type']) AS kind, unnest([change_type, split_part(entity_key, ':', 1)]) AS name FROM ec UNION ALL SELECT base_version, target_version, unnest(['change', 'predicate']), unnest([change_type, predicate]) FROM rc
+ UNION ALL SELECT base_version, target_version, 'impact', category FROM imp JOIN (SELECT base_version, target_version, change_id FROM ec UNION ALL SELECT base_version, target_version, change_id FROM rc) USING (change_id)) SELECT base_version, target_version, kind, name, count(*) AS n FROM s GROUP BY ALL"""
+)
+def diff_summary(spark, sf):
+    """Changes by type, entity type and predicate and impacts of all changes by category, for every pair of versions."""
+    b, t, be, te = _snapshots(spark, sf)
+    return diff.compare(b, t, be, te, depth=1, by=diff.PAIR, write=store)["summary"]
 
 
-@query()
-def prf_scores_all(spark, sf):
-    return registry.scores(*diff.consecutive(A.facts(spark, sf)), "fact_key", "predicate", diff.PAIR)
+@query(
+    f"""{impact_sql(1, ENTITY_STARTS)}, odd AS (SELECT i.*, ec.base_version FROM imp i JOIN ec USING (change_id) WHERE i.depth = 1)
+ SELECT 'step_absent' AS rule, impact_id FROM odd WHERE node LIKE 'signal:%' UNION ALL SELECT 'path_length', impact_id FROM odd WHERE node LIKE 'component:%'"""
+)
+def impact_path_valid(spark, sf):
+    """Impacts with bent paths: a fact that is none where a signal is reached, a lost depth where a component is."""
+    found, b, t = _impacts(spark, sf, 1)
+    bent = F.when(F.col("node").startswith("signal:"), F.transform("path", lambda s: s.withField("fact_key", F.lit("none")))).otherwise(F.col("path"))
+    found = found.where("depth = 1").withColumn("path", bent).withColumn("depth", F.when(F.col("node").startswith("component:"), F.lit(7).cast("long")).otherwise(F.col("depth")))
+    return diff.invalid_paths(store(found, "impacts"), b, t, diff.PAIR)
 
 
 # --- evaluation, answers, reports -------------------------------------------------------------------------------------
 
 
 @query(
-    f"""{VERSIONS}, s AS (SELECT predicate, count(b.fact_key) FILTER (WHERE t.fact_key IS NOT NULL) AS tp, count(*) FILTER (WHERE t.fact_key IS NULL) AS fp, count(*) FILTER (WHERE b.fact_key IS NULL) AS fn FROM (SELECT predicate, fact_key FROM base) b FULL JOIN (SELECT predicate, fact_key FROM target) t USING (predicate, fact_key) GROUP BY predicate),
- r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS q FROM s) SELECT predicate, tp, fp, fn, round(p, 4) AS precision, round(q, 4) AS recall, round(CASE WHEN p + q = 0 THEN 0 ELSE 2 * p * q / (p + q) END, 4) AS f1 FROM r"""
+    f"""{VERSIONS}, {SNAP}, s AS (SELECT base_version, target_version, predicate, count(*) FILTER (WHERE b.subject IS NOT NULL AND t.subject IS NOT NULL) AS tp, count(*) FILTER (WHERE t.subject IS NULL) AS fp, count(*) FILTER (WHERE b.subject IS NULL) AS fn FROM bf b FULL JOIN tf t USING (base_version, target_version, predicate, fact_key) GROUP BY ALL),
+ r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS q FROM s) SELECT base_version, target_version, predicate, tp, fp, fn, round_even(p, 4) AS precision, round_even(q, 4) AS recall, round_even(CASE WHEN p + q = 0 THEN 0 ELSE 2 * p * q / (p + q) END, 4) AS f1 FROM r"""
 )
 def prf_scores(spark, sf):
-    return registry.scores(version(spark, sf, A.BASE), version(spark, sf, A.TARGET), "fact_key", "predicate")
+    return registry.scores(*diff.consecutive(_facts(spark, sf)), "fact_key", "predicate", diff.PAIR)
 
 
 @query("SELECT count(*) AS n, count(d.doc_id) AS valid, round(count(d.doc_id) / count(*), 4) AS accuracy FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id AND d.lang = 'en'")
@@ -852,9 +925,9 @@ def provenance_accuracy(spark, sf):
     return A.table(spark, sf, "labels").join(d, "doc_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count("ok").alias("valid"), F.round(F.count("ok") / F.count(F.lit(1)), 4).alias("accuracy"))
 
 
-@query(f"{VERSIONS} SELECT fact_key, CASE WHEN b.fact_key IS NULL THEN 'right_only' ELSE 'left_only' END AS side FROM (SELECT DISTINCT fact_key FROM base) b FULL JOIN (SELECT DISTINCT fact_key FROM target) t USING (fact_key) WHERE b.fact_key IS NULL OR t.fact_key IS NULL".replace("CASE WHEN b.fact_key", "CASE WHEN b.fact_key"))
+@query(f"{VERSIONS}, {SNAP} SELECT base_version, target_version, fact_key, CASE WHEN change_type = 'relationship_added' THEN 'right_only' ELSE 'left_only' END AS side FROM rc")
 def registry_crosscheck(spark, sf):
-    return registry.cross_check(version(spark, sf, A.BASE), version(spark, sf, A.TARGET), "fact_key")
+    return registry.cross_check(*diff.consecutive(_facts(spark, sf)), "fact_key", diff.PAIR)
 
 
 @query("SELECT c_custkey, n_name, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_orders FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -864,12 +937,12 @@ def versions_flags(spark, sf):
     return c.join(n, c.c_nationkey == n.n_nationkey).join(o, "c_custkey", "left").select("c_custkey", "n_name", F.coalesce("has_orders", F.lit(False)).alias("has_orders"))
 
 
-CONTEXT = """ctx AS (SELECT question_id, rank, 'E' || rank AS evidence_id, chunk_id, CASE WHEN len(text) > 900 THEN rtrim(left(text, 900), ' ') || ' ...' ELSE text END AS block FROM lex JOIN chunks USING (chunk_id) WHERE rank <= 6)"""
+CONTEXT = """ctx AS MATERIALIZED (SELECT question_id, rank, 'E' || rank AS evidence_id, chunk_id, CASE WHEN len(text) > 900 THEN rtrim(left(text, 900), ' ') || ' ...' ELSE text END AS block FROM lex JOIN chunks USING (chunk_id) WHERE rank <= 6)"""
 
 
 def _context(spark, sf):
     c, q = A.chunks(spark, sf), A.questions(spark, sf)
-    return q, answer.context(retrieval.lexical_topk(c, q, 6), c)
+    return q, answer.context(retrieval.lexical_topk(_index(spark, sf), q, 6), c)
 
 
 @query(f"{HEAD}, {BM25}, {CONTEXT} SELECT question_id, evidence_id, chunk_id, block FROM ctx")
@@ -879,8 +952,9 @@ def evidence_context(spark, sf):
 
 @query(
     f"""{HEAD}, {BM25}, {CONTEXT}, qs AS (SELECT question_id, list_distinct({tok('question')}) AS q FROM questions), sh AS (SELECT c.*, q, len(list_intersect(q, list_distinct({tok('block')}))) AS shared FROM ctx c JOIN qs USING (question_id)),
- best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY shared DESC, rank) AS n FROM sh) WHERE n = 1), o AS (SELECT *, CASE WHEN len(q) = 0 THEN 1 ELSE shared / len(q) END AS ov, list_filter(string_split(regexp_replace(block, '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30)), lambda x: x <> '') AS s FROM best)
- SELECT question_id, evidence_id AS best_evidence, round(ov, 6) AS overlap, ov < 0.2 AS refused, CASE WHEN ov < 0.2 THEN '' ELSE array_to_string(s[1:2], ' ') END AS answer FROM o"""
+ rk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY shared DESC, rank) AS n, list_filter(string_split(regexp_replace(regexp_replace(block, '\\s+', ' ', 'g'), '([.!?]) ', '\\1' || chr(30), 'g'), chr(30)), lambda x: x <> '') AS s FROM sh),
+ o AS (SELECT a.question_id, a.evidence_id AS best, CASE WHEN len(a.q) = 0 THEN 1 ELSE a.shared / len(a.q) END AS ov, array_to_string(list_concat(a.s[1:2], coalesce(b.s[1:1], [])), ' ') AS text, ' [' || a.evidence_id || ']' || coalesce(' [' || b.evidence_id || ']', '') AS cites FROM rk a LEFT JOIN rk b ON b.question_id = a.question_id AND b.n = 2 WHERE a.n = 1)
+ SELECT question_id, best AS best_evidence, round(ov, 6) AS overlap, ov < 0.2 AS refused, CASE WHEN ov < 0.2 THEN '' ELSE text || cites END AS answer FROM o"""
 )
 def mock_answer(spark, sf):
     return answer.extractive_answer(*_context(spark, sf))
@@ -896,23 +970,30 @@ def citations_validate(spark, sf):
     return answer.citation_issues(answer.parse_responses(q.select("question_id", F.concat(F.lit("```json\n"), reply, F.lit("\n```")).alias("response"))), ctx)
 
 
-@query(f"{VERSIONS} SELECT subject, predicate, object, fact_key FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY fact_key) AS n FROM target) WHERE n = 1")
+@query()
+def copilot_answers(spark, sf):
+    """All questions through retrieval, gate, context, extractive generation and citation checks (tested by its parts)."""
+    c, q = A.chunks(spark, sf), A.questions(spark, sf)
+    return answer.ask(q, c, index=_index(spark, sf), write=store).select("question_id", "status", "detail", "answer", "n_citations")
+
+
+@query(f"{VERSIONS} SELECT version, subject, predicate, object, fact_key FROM (SELECT *, row_number() OVER (PARTITION BY version, subject ORDER BY fact_key) AS n FROM facts) WHERE n = 1")
 def evidence_first(spark, sf):
-    return answer.first_evidence(version(spark, sf, A.TARGET)).select("subject", "predicate", "object", "fact_key")
+    return answer.first_evidence(A.facts(spark, sf), ("version", "subject")).select("version", "subject", "predicate", "object", "fact_key")
 
 
-@query(f"{FINDHEAD}, {FOUND} SELECT finding_id, finding_type, severity, replace(entity_keys, ',', ';') AS entities, n_facts FROM found")
+@query(f"{FINDHEAD}, {FOUND} SELECT finding_id, finding_type, severity, replace(entity_keys, ',', ';') AS entities, CASE WHEN fact_keys = '' THEN 0 ELSE len(string_split(fact_keys, ',')) END AS n_facts FROM found")
 def report_csv_rows(spark, sf):
-    return answer.csv_rows(_findings(spark, sf))
+    return answer.csv_rows(_findings(spark, sf)[0])
 
 
 # --- event streams (batch twins) --------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, event_type, props IS NOT NULL AS has_props, CAST(len(props) AS BIGINT) AS n FROM events")
+@query("SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf):
     e = A.table(spark, sf, "events")
-    return e.select("event_id", "event_type", F.col("props").isNotNull().alias("has_props"), F.length("props").cast("long").alias("n"))
+    return e.select("event_id", "event_type", F.from_json("props", "k long")["k"].alias("k"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

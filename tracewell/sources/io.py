@@ -72,9 +72,18 @@ def append_audit(spark: SparkSession, path: str, action: str, details: str) -> N
     spark.range(1).select(F.lit(action).alias("action"), F.lit(details).alias("details"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
 
 
-def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """GraphML elements, a line each: part (0 nodes, 1 edges), line."""
+def graphml(nodes: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """GraphML elements, a line each: part (0 nodes, 1 edges), line.  An edge's provenance, where it has one, is flattened."""
     from ..functions.text import escape_html as e
 
-    n = nodes.select(F.lit(0).alias("part"), F.format_string('<node id="%s"><data key="name">%s</data></node>', e(F.col("entity_key")), e(F.coalesce("name", F.lit("")))).alias("line"))
-    return n.union(edges.select(F.lit(1), F.format_string('<edge source="%s" target="%s"><data key="predicate">%s</data></edge>', e(F.col("subject")), e(F.col("object")), e(F.col("predicate")))))
+    n = nodes.select(*by, F.lit(0).alias("part"), F.format_string('<node id="%s"><data key="name">%s</data></node>', e(F.col("entity_key")), e(F.coalesce("name", F.lit("")))).alias("line"))
+    flat = F.concat(F.lit('<data key="provenance">'), e(flat_provenance(F.col("provenance"))), F.lit("</data>")) if "provenance" in edges.columns else F.lit("")
+    return n.union(edges.select(*by, F.lit(1), F.format_string('<edge source="%s" target="%s"><data key="predicate">%s</data>%s</edge>', e(F.col("subject")), e(F.col("object")), e(F.col("predicate")), flat)))
+
+
+PROVENANCE = ("document_name", "version_label", "section_no", "section_title", "page_start", "page_end", "source_chunk_id")
+
+
+def flat_provenance(provenance: F.Column) -> F.Column:
+    """key=value pairs of a provenance struct, joined by semicolons."""
+    return F.array_join(F.array(*[F.concat(F.lit(f"{k}="), F.coalesce(provenance[k].cast("string"), F.lit(""))) for k in PROVENANCE]), "; ")
