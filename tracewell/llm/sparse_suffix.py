@@ -1,22 +1,25 @@
-"""Repeated passages by hash grouping at the positions of a sparse suffix array (operator 6).
-
-This takes the place of the dealt method: suffixes are neither sorted, nor compared with their neighbours, nor extended
-word by word.  Hashes of runs of fixed length are grouped instead: a sort of suffixes needs their texts beside each
-other, and the suffixes of a passage that very many texts share would meet in one task, while a grouping of hashes
-combines before the exchange.  The spans are the same but for collisions of 64-bit hashes, since a match of at least
-`min_words` words is the union of its runs of exactly `min_words`.
+"""Repeated passages by a sparse suffix array (operator 6).
 
 Only suffixes at content-selected positions are kept: of every window of WINDOW consecutive K-word runs, the position
 of the run with the smallest hash (its minimiser).  With K + WINDOW - 1 = `min_words`, every passage of `min_words`
-words holds at least one, and equal passages hold the same ones.  The suffixes are grouped by the hash of their first K
-words; one that is alone in its group repeats nothing and is dropped.  For the others every passage of exactly
-`min_words` words for which the position is the minimiser is hashed, these hashes are grouped again, and a passage is
-kept if its group has a member in another text or elsewhere in its own.  The union of the kept passages of a text is
-its repeated spans, as far as each match extends to either side.
+words holds at least one, at the same place wherever the passage stands, with K words of the passage from it on and at
+most WINDOW - 1 before it.  Suffixes whose first K words occur once repeat nothing and are dropped.
+
+The others carry the words of a passage: the next `min_words` from the position on, and the WINDOW - 1 before it, nearest
+first.  They are dealt by the hash of their first K words and sorted by the words that follow (each partition is a part of
+the sorted suffix array), neighbours are compared, and the matches are extended to the left:  all suffixes that share at
+least r following words are neighbours in a run; sorted by the words before them, a suffix shares most of these with a
+neighbour in that order.  So for each number r of following words that some neighbours share, the longest extension to
+the left among all partners is found from neighbours alone, and a passage is reported if and only if its words, compared
+as text, stand elsewhere too.  A repeated span is the union of such passages of `min_words` words.
 
-Suffixes and passages of a text are found once for all of its copies, which fold into one node with the number of
-rows; a text with copies repeats wholly if it has `min_words` words.  Equal hashes are brought together by partial
-aggregation and joins that adaptive execution can split, so a passage that very many texts share meets in no one task.
+Suffixes with the same words around them fold into one row with their number before they are sorted, so a passage that
+very many texts share is one row, but for the positions near its ends, where the texts differ.  A group of more than GROUP
+different rows there would be one task; its passages are told apart by 128-bit hashes of their words instead, counted by
+(partial) aggregation.
+
+Suffixes of a text are found once for all of its copies, which fold into one node (a 128-bit content id) with the number
+of rows; a text with copies repeats wholly if it has `min_words` words.
 
 Edge cases: null, empty and short texts have no span; texts of any length are used whole; repeated rows are copies of
 each other; rows without an id take part; an empty table gives an empty table; other columns are not looked at.
@@ -35,9 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunkcache import ChunkCache
-from .common import materialise, text_id
+from .common import materialise
 
 MIN_WORDS, K = 50, 20
+GROUP = 1024
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -55,7 +59,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def words(text: str | None) -> np.ndarray:
-    found = _WORD.findall((text or "").lower())
+    found = _WORD.findall(_folded(text or ""))
     return np.frombuffer(b"".join(_hashes().get(found)), ">u8").astype(np.uint64)
 
 
@@ -84,14 +88,6 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate([view[i : i + 20_000].argmin(1) for i in range(0, len(view), 20_000)]) + np.arange(len(view))
 
 
-def spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Union of [s, s + length) for sorted starts; touching ones are kept apart only by a gap."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    return [(int(p[0]), int(p[-1]) + length) for p in np.split(starts, cut)]
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays).astype(np.int64) if arrays else np.empty(0, np.int64)))
@@ -110,29 +106,149 @@ def _suffixes(min_words: int, k: int):
     return run
 
 
-def _passages(min_words: int, k: int):
+def _contexts(min_words: int, k: int):
+    """A row for each kept suffix whose first words occur again: node, pos (in words), key, right, left, ctx (their hash).
+
+    Every word of right and left is closed by a blank, so that equal beginnings end between words.
+    """
+    before = min_words - k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                b = whole.slice(first, 256)
+                source, pos, key, right, left, ctx = [], [], [], [], [], []
+                for i, (text, keys) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                    found = _WORD.findall(_folded(text))
+                    grams = runs(words(text), k)
+                    at = np.unique(minimisers(grams, before + 1))
+                    at = at[np.isin(grams[at], np.array(keys, np.int64).astype(np.uint64))]
+                    for p, h in zip(at.tolist(), grams[at].astype(np.int64).tolist()):
+                        r = " ".join(found[p : p + min_words]) + " "
+                        n = " ".join(found[p - 1 : p - before - 1 if p > before else None : -1]) + " " if p else ""
+                        source.append(i)
+                        pos.append(p)
+                        key.append(h)
+                        right.append(r)
+                        left.append(n)
+                        ctx.append(xxhash.xxh3_128_digest(f"{r}\0{n}".encode("utf-8", "replace")))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(source, pa.int32())), pa.array(pos, pa.int32()), pa.array(key, pa.int64()), pa.array(right, pa.string()), pa.array(left, pa.string()), pa.array(ctx, pa.binary())], names=["node", "pos", "key", "right", "left", "ctx"])
+
+    return run
+
+
+def shared_words(a: str, b: str) -> int:
+    """How many words two lists of words, each closed by a blank, have in common from the start."""
+    if a == b:
+        return a.count(" ")
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return a.count(" ", 0, lo)
+
+
+def left_extensions(group: list[tuple[str, str, int]], min_words: int, k: int) -> list[list[tuple[int, int]]]:
+    """For each suffix (right, left, number of rows) of a group sorted by right, ranges (least, most) of d such that the
+    passage from d words before it on stands elsewhere too."""
+    out: list[list[tuple[int, int]]] = [[] for _ in group]
+    before = min_words - k
+    for i, (right, left, n) in enumerate(group):
+        if n > 1:
+            least, most = max(min_words - right.count(" "), 0), min(left.count(" "), before)
+            if least <= most:
+                out[i].append((least, most))
+    follow = [shared_words(a[0], b[0]) for a, b in zip(group, group[1:])]
+    levels = sorted({r for r in follow if r >= k}, reverse=True)
+    for level, lower in zip(levels, [*levels[1:], k - 1]):
+        least, most = min_words - level, min_words - lower - 1
+        i = 0
+        while i < len(follow):
+            if follow[i] < level:
+                i += 1
+                continue
+            j = i
+            while j < len(follow) and follow[j] >= level:
+                j += 1
+            run = sorted(range(i, j + 1), key=lambda x: group[x][1])
+            near = [shared_words(group[x][1], group[y][1]) for x, y in zip(run, run[1:])]
+            for at, x in enumerate(run):
+                d = min(max(near[at - 1] if at else 0, near[at] if at < len(near) else 0), most)
+                if d >= least:
+                    out[x].append((least, d))
+            i = j
+    return out
+
+
+def _neighbours(min_words: int, k: int):
+    """Over suffixes sorted by (key, right, left): ctx and the passages found from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        kind = pa.list_(pa.struct([("least", pa.int32()), ("most", pa.int32())]))
+
+        def done(ends: list[int]) -> pa.RecordBatch:
+            ctx, found = [], []
+            for i, j in zip(ends, ends[1:]):
+                for row, ranges in zip(held[i:j], left_extensions([x[1:4] for x in held[i:j]], min_words, k)):
+                    if ranges:
+                        ctx.append(row[4])
+                        found.append([{"least": a, "most": b} for a, b in ranges])
+            return pa.RecordBatch.from_arrays([pa.array(ctx, pa.binary()), pa.array(found, kind)], names=["ctx", "ranges"])
+
+        for b in batches:
+            held += zip(*(b.column(i).to_pylist() for i in range(5)))
+            cut = [0, *(i for i in range(1, len(held)) if held[i][0] != held[i - 1][0])]
+            yield done(cut)
+            held = held[cut[-1] :]
+        if held:
+            yield done([0, len(held)])
+
+    return run
+
+
+def _windows(min_words: int, k: int):
+    """All passages of `min_words` words around the suffixes of large groups: ctx, n, d, hash of the words and d.
+
+    A passage of a text is hashed from each suffix in it; d tells these apart, so that it does not meet itself."""
+    before = min_words - k
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            starts, hashes = [], []
-            for text, keys in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                h = words(text)
-                grams = runs(h, k)
-                repeats = np.isin(grams, np.array(keys, np.int64).astype(np.uint64))
-                s = np.flatnonzero(repeats[minimisers(grams, min_words - k + 1)])
-                starts.append(s)
-                hashes.append(runs(h, min_words)[s])
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(starts), _lists(hashes)], names=["node", "starts", "hashes"])
+            ctx, n, ds, hashes = [], [], [], []
+            for right, left, c, count in zip(*(b.column(i).to_pylist() for i in range(4))):
+                r, before_ = right.split(), left.split()
+                for d in range(max(min_words - len(r), 0), min(len(before_), before) + 1):
+                    ctx.append(c)
+                    n.append(count)
+                    ds.append(d)
+                    hashes.append(xxhash.xxh3_128_digest(" ".join([str(d), *before_[:d][::-1], *r[: min_words - d]]).encode("utf-8", "replace")))
+            yield pa.RecordBatch.from_arrays([pa.array(ctx, pa.binary()), pa.array(n, pa.int64()), pa.array(ds, pa.int32()), pa.array(hashes, pa.binary())], names=["ctx", "n", "d", "hash"])
 
     return run
 
 
+def spans_of(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """Union of the passages [s, s + length) of all s of the ranges (first, last); ones that touch are one span."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(starts):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b + length))
+        else:
+            out.append((a, b + length))
+    return out
+
+
 def _spans(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text, starts, whole in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 at = [m.span() for m in _WORD.finditer(_folded(text))]
-                found = np.arange(len(at) - min_words + 1) if whole and len(at) >= min_words else np.array(sorted(starts or []), np.int64)
+                found = [(0, len(at) - min_words)] if whole and len(at) >= min_words else [(s["a"], s["b"]) for s in starts or []]
                 out.append([{"start": at[s][0], "end": at[e - 1][1], "n_words": e - s} for s, e in spans_of(found, min_words)])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["node", "spans"])
@@ -146,14 +262,14 @@ def _folded(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
+def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, k: int = K, group: int = GROUP) -> DataFrame:
     """doc_id, start, end (code points, end exclusive), n_words: every maximal span of passages of at least `min_words`
     words (lower-cased runs of letters and digits) that occur elsewhere; no row for a text without one."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null").withColumn("node", text_id(F.col("text")))
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null").withColumn("node", F.unhex(F.md5("text")))
     copies = docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    keys = materialise(docs.select("node", "text").mapInArrow(_suffixes(min_words, k), "node long, keys array<long>"), "suffixes")
+    keys = materialise(docs.select("node", "text").mapInArrow(_suffixes(min_words, k), "node binary, keys array<long>"), "suffixes")
     flat = keys.select("node", F.explode("keys").alias("key"))
-    # groups of equal keys: in another text, or twice in one (copies of a text count once)
+    # first words that occur again: in another text, or twice in one (copies of a text count once)
     shared = flat.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     inside = keys.where(F.size("keys") > F.size(F.array_distinct("keys"))).select(F.explode("keys").alias("key")).distinct()
     shared = materialise(shared.union(inside).distinct(), "shared")
@@ -165,12 +281,20 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         n = nodes.withColumnRenamed("node", "n")
         return docs.join(n, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("first"))).drop("n", "doc_id", "first").dropDuplicates(["node"])
 
-    passages = one_text_each(wanted.select("node", "first", "keys")).select("node", "text", "keys").mapInArrow(_passages(min_words, k), "node long, starts array<long>, hashes array<long>")
-    passages = materialise(passages.select("node", F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select("node", F.col("x.starts").alias("start"), F.col("x.hashes").alias("hash")), "passages")
-    equal = materialise(passages.groupBy("hash").agg(F.min(F.struct("node", "start")).alias("lo"), F.max(F.struct("node", "start")).alias("hi")).where("lo <> hi").select("hash"), "equal")
-    hit = passages.join(equal, "hash", "left_semi").groupBy("node").agg(F.collect_list("start").alias("starts"))
+    kept = one_text_each(wanted.select("node", "first", "keys")).select("node", "text", "keys")
+    kept = materialise(kept.mapInArrow(_contexts(min_words, k), "node binary, pos int, key long, right string, left string, ctx binary"), "contexts")
+    rows = materialise(kept.groupBy("key", "right", "left", "ctx").agg(F.count(F.lit(1)).alias("n")), "rows")
+    large = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group).select("key"), "large")
+    ordered = rows.join(large, "key", "left_anti").select("key", "right", "left", "n", "ctx").repartition("key").sortWithinPartitions("key", "right", "left")
+    found = ordered.mapInArrow(_neighbours(min_words, k), "ctx binary, ranges array<struct<least:int,most:int>>")
+    hashed = materialise(rows.join(large, "key", "left_semi").select("right", "left", "ctx", "n").mapInArrow(_windows(min_words, k), "ctx binary, n long, d int, hash binary"), "windows")
+    again = hashed.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+    more = hashed.join(again, "hash", "left_semi").groupBy("ctx").agg(F.transform(F.collect_set("d"), lambda d: F.struct(d.alias("least"), d.alias("most"))).alias("ranges"))
+    found = materialise(found.union(more), "found")
+    starts = kept.select("node", "pos", "ctx").join(found, "ctx").select("node", F.explode(F.transform("ranges", lambda r: F.struct((F.col("pos") - r["most"]).alias("a"), (F.col("pos") - r["least"]).alias("b")))).alias("s"))
+    hit = starts.groupBy("node").agg(F.collect_list("s").alias("starts"))
     marked = hit.join(copies.where("copies > 1").select("node", F.lit(True).alias("whole")), "node", "full").join(copies.select("node", "first"), "node")
-    spans = one_text_each(materialise(marked, "marked")).select("node", "text", "starts", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(_spans(min_words), "node long, spans array<struct<start:long,end:long,n_words:long>>")
+    spans = one_text_each(materialise(marked, "marked")).select("node", "text", "starts", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(_spans(min_words), "node binary, spans array<struct<start:long,end:long,n_words:long>>")
     spans = materialise(spans.where(F.size("spans") > 0), "spans")
     return docs.select("doc_id", "node").join(spans, "node").select("doc_id", F.inline("spans"))
 
