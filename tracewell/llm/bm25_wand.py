@@ -9,7 +9,8 @@ top k is passed over (block-max WAND, with the pivot moved a block at a time and
 Document frequencies, the number of documents and their mean length are those of the whole table, so scores of
 different shards compare, and the merge of the shards' top k is the exact top k.
 
-Queries are dealt into blocks of QUERIES and meet each shard once a block: a task holds one shard and one block.
+Queries are dealt into blocks of QUERIES, or of TERMS terms if those are fewer, and meet each shard once a block: a task
+holds one shard and one block.
 Terms are 64-bit hashes.  Scores are rounded to six places before they are ranked; ties go to the smaller id.
 
 Edge cases: a null or empty text matches nothing and, as a query, returns no row; texts of any length are used whole;
@@ -36,6 +37,7 @@ from .common import materialise, text_id
 
 K1, B = 1.5, 0.75
 SHARD, BLOCK, QUERIES, DENSE = 10_000, 256, 32_768, 32
+TERMS = 1 << 20  # terms that the queries of a block hold, about
 _WORD = re.compile(r"[^\W_]+").findall
 
 
@@ -154,14 +156,14 @@ def top_k(df: DataFrame, is_query, k: int = 10, doc_id: str = "doc_id", text: st
     """query_id, rank, doc_id, score: the best k documents of df for every row of df that `is_query` (a condition) selects."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_id(F.col(text)).alias("tid"), F.col(text).alias("text"))
     docs = materialise(rows.mapInArrow(_terms, "doc_id long, tid long, length long, terms array<long>, counts array<int>"), "terms")
-    n, total, asked = docs.agg(F.count(F.lit(1)), F.sum("length"), F.count_if(is_query)).first()
+    n, total, asked, held = docs.agg(F.count(F.lit(1)), F.sum("length"), F.count_if(is_query), F.sum(F.when(is_query, F.size("terms")))).first()
     mean = (total or 0) / max(n, 1) or 1.0
     df_ = materialise(docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     found = docs.where(is_query).dropDuplicates(["doc_id", "tid"]).select(F.col("doc_id").alias("query_id"), "tid", F.explode(F.arrays_zip("terms", "counts")).alias("x"))
     found = found.select("query_id", "tid", F.col("x.terms").alias("term"), F.col("x.counts").alias("qtf")).join(df_, "term")
     weight = F.col("qtf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (K1 + 1)
     vectors = found.groupBy("query_id", "tid").agg(F.array_sort(F.collect_list(F.struct("term", weight.alias("weight")))).alias("v"))
-    shards, groups = max(math.ceil(n / shard), 1), max(math.ceil(asked / queries), 1)
+    shards, groups = max(math.ceil(n / shard), 1), max(math.ceil(asked / queries), math.ceil((held or 0) / TERMS), 1)
     vectors = vectors.select("query_id", "tid", F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"), F.pmod(F.xxhash64("query_id", "tid"), F.lit(groups)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     norm = K1 * (1 - B + B * F.col("length") / mean)
     # ids are hashed with the content, so that no id draws many rows to a shard

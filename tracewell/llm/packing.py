@@ -6,12 +6,12 @@ into the open pack with the most room left (the shortest pack) that fits, and pa
 one pattern with a count.  A pattern's slots are then joined back to the rests by rank: the r-th rest of a length
 takes the r-th slot of that length.
 
-Ranks are counted in (length, bucket) groups, with buckets by a hash of the document's id, and shifted by the counts
-of earlier buckets; so a length that a third of all rows share is ranked by many tasks.  The driver sees capacity x
-BUCKETS counts whatever the input.
+Ranks are counted in (length, bucket, part) groups, with buckets and parts by hashes of the document's id and content,
+and shifted by the counts of earlier parts and buckets; so a length that a third of all rows share is ranked by many tasks,
+the number of parts growing with the input.  The driver sees capacity x BUCKETS counts whatever the input.
 
 Edge cases: a null or empty text is one end id; texts of any length are encoded whole; repeated rows are packed each;
-rows without an id are packed like others (all in one bucket); an empty table gives no piece; other columns are not
+rows without an id are packed like others; an empty table gives no piece; other columns are not
 looked at.
 """
 
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, materialise
 
 BUCKETS = 128
+PART = 1 << 20  # rows a (bucket, part) holds on average
 
 
 # Fixed value: the splitter of byte-level BPE files.
@@ -167,15 +168,23 @@ class Slots:
 
 def pack(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", capacity: int = 1024, end_id: int = 0, bucket_by: str = "doc_id") -> DataFrame:
     """One row per piece: keep, start, length, ids (unsigned 32-bit little-endian), doc_tokens, sequence_id, offset."""
-    tokens = encode(df, path, keep, text, end_id).withColumn("rest", (F.col("n_ids") % capacity).cast("int")).withColumn("bucket", F.pmod(F.xxhash64(bucket_by), F.lit(BUCKETS)).cast("int"))
-    group = Window.partitionBy("rest", "bucket")
+    parts = -(-df.count() // (BUCKETS * PART)) or 1
+    where = {"bucket": F.pmod(F.xxhash64(bucket_by, "ids"), F.lit(BUCKETS)).cast("int"), "part": F.pmod(F.xxhash64(F.lit(1), bucket_by, "ids"), F.lit(parts)).cast("int")}
+    tokens = encode(df, path, keep, text, end_id).withColumn("rest", (F.col("n_ids") % capacity).cast("int")).withColumns(where)
+    group = Window.partitionBy("rest", "bucket", "part")
     order = group.orderBy(*keep, "n_ids").rowsBetween(Window.unboundedPreceding, -1)
     full = F.floor(F.col("n_ids") / capacity)
     ranked = tokens.withColumn("rank", F.count(F.lit(1)).over(order)).withColumn("full_before", F.coalesce(F.sum(full).over(order), F.lit(0)))
     ranked = materialise(ranked, "pack")
+    sizes = ranked.groupBy("rest", "bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(full).alias("f"))
+    if parts > 1:  # ranks go on from part to part
+        sizes = materialise(sizes, "sizes")
+        earlier = Window.partitionBy("rest", "bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        shift = sizes.select("rest", "bucket", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("f").over(earlier), F.lit(0)).alias("f0"))
+        ranked = ranked.join(shift, ["rest", "bucket", "part"]).withColumn("rank", F.col("rank") + F.col("n0")).withColumn("full_before", F.col("full_before") + F.col("f0"))
     counts = np.zeros((capacity, BUCKETS), np.int64)
     fulls = np.zeros((capacity, BUCKETS), np.int64)
-    for r in ranked.groupBy("rest", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(full).alias("f")).collect():  # capacity x BUCKETS rows at most
+    for r in sizes.groupBy("rest", "bucket").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).collect():  # capacity x BUCKETS rows at most
         counts[r.rest, r.bucket], fulls[r.rest, r.bucket] = r.n, r.f
     histogram = {n: int(c) for n, c in enumerate(counts.sum(1)) if n and c}
     slots = Slots(shortest_pack_first(histogram, capacity))
