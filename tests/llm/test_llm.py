@@ -272,8 +272,8 @@ def test_repeated_passages(spark, docs):
         seen.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
     want = Counter()
     for r, m, w in zip(rows, words, low):
-        at = [(i, i) for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1]
-        for a, b in spans_of(at, n):
+        at = np.array([i for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1], int)
+        for a, b in zip(*spans_of(at, at, n)):
             want[(r.doc_id, m[a].start(), m[b - 1].end(), b - a)] += 1
     got = Counter(tuple(r) for r in repeated_passages(docs).collect())
     assert got == want and len(want) >= 5

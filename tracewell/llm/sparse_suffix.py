@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunkcache import ChunkCache
 from .common import materialise
 
 MIN_WORDS, K = 50, 20
@@ -45,11 +45,7 @@ GROUP = 1024
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-
-
-@lru_cache(maxsize=1)
-def _hashes() -> ChunkCache:
-    return ChunkCache(lambda words: [xxhash.xxh64_digest(w.encode("utf-8", "replace")) for w in words], 300_000)
+_PLACE = _U((1 << 28) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,9 +54,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def words(text: str | None) -> np.ndarray:
-    found = _WORD.findall(_folded(text or ""))
-    return np.frombuffer(b"".join(_hashes().get(found)), ">u8").astype(np.uint64)
+def _folded(text: str) -> str:
+    """Lower case, character by character where the length would change, so that places stay those of the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+@lru_cache(maxsize=1)
+def _is_word() -> np.ndarray:
+    """For each code point, whether words hold it."""
+    out = np.zeros(0x110000, bool)
+    for m in _WORD.finditer("".join(map(chr, range(0x110000)))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+class Words:
+    """The words of texts: begin and end (code points in their text), hash (64 bits), and the first word of each text (and
+    the end)."""
+
+    def __init__(self, texts: list[str | None]):
+        folded = [_folded(t or "") for t in texts]
+        size = np.array([len(t) + 1 for t in folded], np.int64)
+        offset = np.cumsum(size) - size
+        codes = np.frombuffer("\n".join([*folded, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+        inside = _is_word()[codes]
+        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+        begin, end = edge[::2], edge[1::2]
+        self.first = np.append(np.searchsorted(begin, offset), len(begin))
+        text = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        length = end - begin
+        at = np.cumsum(length) - length
+        place = np.arange(length.sum()) - np.repeat(at, length)
+        power = np.full(int(length.max(initial=0)), _BASE, _U)
+        power[:1] = 1
+        power = np.multiply.accumulate(power)
+        letters = _mix(codes[inside].astype(_U) + _U(_BASE)) * power[place]
+        self.hash = _mix(np.add.reduceat(letters, at) + length.astype(_U)) if len(at) else np.empty(0, _U)
+        self.begin, self.end = begin - offset[text], end - offset[text]
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
@@ -81,27 +112,54 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
-    """For every window, the position of its smallest run, the first on ties (the same in equal windows)."""
-    if len(grams) < window:
+    """For every window, the position of its smallest run, the first on ties (the same in equal windows): the leading bits
+    of the hash with the place behind them, least of two parts of blocks as long as the window."""
+    n = len(grams) - window + 1
+    if n < 1:
         return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams, window)
-    return np.concatenate([view[i : i + 20_000].argmin(1) for i in range(0, len(view), 20_000)]) + np.arange(len(view))
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays).astype(np.int64) if arrays else np.empty(0, np.int64)))
+    if len(grams) > int(_PLACE):
+        raise ValueError("too many words at once")
+    value = (grams & ~_PLACE) | np.arange(len(grams), dtype=_U)
+    blocks = np.append(value, np.full(-len(value) % window, ~_U(0))).reshape(-1, window)
+    head = np.minimum.accumulate(blocks, 1).ravel()
+    tail = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
+    return (np.minimum(tail[:n], head[window - 1 : window - 1 + n]) & _PLACE).astype(np.int64)
+
+
+def suffix_positions(texts: list[str | None], min_words: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kept suffixes of texts: how many each text has, their positions in words and the hashes of their first words."""
+    w = Words(texts)
+    grams = runs(w.hash, k)
+    least = minimisers(grams, min_words - k + 1)
+    # windows that begin in a text and end in another are none
+    text = np.repeat(np.arange(len(texts)), np.diff(w.first))[: len(least)]
+    least, text = (x[np.arange(len(least)) + min_words <= w.first[text + 1]] for x in (least, text))
+    new = np.flatnonzero(np.diff(least, prepend=-1))
+    at, text = least[new], text[new]
+    return np.bincount(text, minlength=len(texts)), at - w.first[text], grams[at]
+
+
+def _batches(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of a batch with about a million characters each, and their texts."""
+    texts = b.column(column).to_pylist()
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "") + 1
+        if size > 1_000_000 or i == len(texts) - 1:
+            yield b.slice(first, i + 1 - first), texts[first : i + 1]
+            first, size = i + 1, 0
+
+
+def _list(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values, kind))
 
 
 def _suffixes(min_words: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = []
-            for text in b.column(1).to_pylist():
-                grams = runs(words(text), k)
-                at = np.unique(minimisers(grams, min_words - k + 1))
-                keys.append(grams[at])
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(keys)], names=["node", "keys"])
+        for whole in batches:
+            for b, texts in _batches(whole, 1):
+                n, pos, key = suffix_positions(texts, min_words, k)
+                yield pa.RecordBatch.from_arrays([b.column(0), _list(n, key.astype(np.int64), pa.int64()), _list(n, pos.astype(np.int32), pa.int32())], names=["node", "keys", "pos"])
 
     return run
 
@@ -117,22 +175,20 @@ def _contexts(min_words: int, k: int):
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 b = whole.slice(first, 256)
-                source, pos, key, right, left, ctx = [], [], [], [], [], []
-                for i, (text, keys) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                right, left, ctx = [], [], []
+                at = b.column(2)
+                for text, places in zip(b.column(1).to_pylist(), at.to_pylist()):
                     found = _WORD.findall(_folded(text))
-                    grams = runs(words(text), k)
-                    at = np.unique(minimisers(grams, before + 1))
-                    at = at[np.isin(grams[at], np.array(keys, np.int64).astype(np.uint64))]
-                    for p, h in zip(at.tolist(), grams[at].astype(np.int64).tolist()):
-                        r = " ".join(found[p : p + min_words]) + " "
-                        n = " ".join(found[p - 1 : p - before - 1 if p > before else None : -1]) + " " if p else ""
-                        source.append(i)
-                        pos.append(p)
-                        key.append(h)
+                    n, forth, back = len(found), " ".join([*found, ""]), " ".join([*found[::-1], ""])
+                    to = [0, *accumulate(len(w) + 1 for w in found)]
+                    fro = [0, *accumulate(len(w) + 1 for w in found[::-1])]
+                    for p in places:
+                        r, f = forth[to[p] : to[min(p + min_words, n)]], back[fro[n - p] : fro[min(n - p + before, n)]]
                         right.append(r)
-                        left.append(n)
-                        ctx.append(xxhash.xxh3_128_digest(f"{r}\0{n}".encode("utf-8", "replace")))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(source, pa.int32())), pa.array(pos, pa.int32()), pa.array(key, pa.int64()), pa.array(right, pa.string()), pa.array(left, pa.string()), pa.array(ctx, pa.binary())], names=["node", "pos", "key", "right", "left", "ctx"])
+                        left.append(f)
+                        ctx.append(xxhash.xxh3_128_digest(f"{r}\0{f}".encode("utf-8", "replace")))
+                source = np.repeat(np.arange(b.num_rows), np.diff(at.offsets.to_numpy()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(source)), at.flatten(), b.column(3).flatten(), pa.array(right, pa.string()), pa.array(left, pa.string()), pa.array(ctx, pa.binary())], names=["node", "pos", "key", "right", "left", "ctx"])
 
     return run
 
@@ -231,49 +287,53 @@ def _windows(min_words: int, k: int):
     return run
 
 
-def spans_of(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+def spans_of(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Union of the passages [s, s + length) of all s of the ranges (first, last); ones that touch are one span."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(starts):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b + length))
-        else:
-            out.append((a, b + length))
-    return out
+    order = np.argsort(first, kind="stable")
+    begin, end = first[order], np.maximum.accumulate(last[order] + length)
+    new = np.flatnonzero(np.append(True, begin[1:] > end[:-1])) if len(begin) else np.empty(0, np.int64)
+    return begin[new], end[np.append(new[1:], len(end)) - 1] if len(begin) else end
 
 
 def _spans(min_words: int):
+    """starts: ranges of passages, first << 32 | last; whole: the text has copies."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, starts, whole in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                at = [m.span() for m in _WORD.finditer(_folded(text))]
-                found = [(0, len(at) - min_words)] if whole and len(at) >= min_words else [(s["a"], s["b"]) for s in starts or []]
-                out.append([{"start": at[s][0], "end": at[e - 1][1], "n_words": e - s} for s, e in spans_of(found, min_words)])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["node", "spans"])
+        kind = [("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64())]
+        for all_ in batches:
+            for b, texts in _batches(all_, 1):
+                w = Words(texts)
+                starts, whole = b.column(2), b.column(3).to_pylist()
+                at, packed = starts.offsets.to_numpy(), starts.flatten().to_numpy()
+                at = at - at[0]
+                cols: list[list[np.ndarray]] = [[], [], []]
+                n = np.zeros(len(texts), np.int64)
+                for i in range(len(texts)):
+                    lo, size = w.first[i], w.first[i + 1] - w.first[i]
+                    some = packed[at[i] : at[i + 1]]
+                    first, last = (some >> 32, some & 0xFFFFFFFF) if not whole[i] else (np.zeros(int(size >= min_words), np.int64), np.full(int(size >= min_words), size - min_words))
+                    s, e = spans_of(first, last, min_words)
+                    n[i] = len(s)
+                    for col, x in zip(cols, (w.begin[lo + s], w.end[lo + e - 1], e - s)):
+                        col.append(x)
+                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], fields=[pa.field(*f) for f in kind])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), flat)], names=["node", "spans"])
 
     return run
 
 
-def _folded(text: str) -> str:
-    """Lower case, character by character where the length would change, so that places stay those of the text."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
 def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, k: int = K, group: int = GROUP) -> DataFrame:
     """doc_id, start, end (code points, end exclusive), n_words: every maximal span of passages of at least `min_words`
     words (lower-cased runs of letters and digits) that occur elsewhere; no row for a text without one."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null").withColumn("node", F.unhex(F.md5("text")))
     copies = docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    keys = materialise(docs.select("node", "text").mapInArrow(_suffixes(min_words, k), "node binary, keys array<long>"), "suffixes")
-    flat = keys.select("node", F.explode("keys").alias("key"))
+    keys = materialise(docs.select("node", "text").mapInArrow(_suffixes(min_words, k), "node binary, keys array<long>, pos array<int>"), "suffixes")
+    flat = keys.select("node", F.explode(F.arrays_zip("keys", "pos")).alias("x")).select("node", F.col("x.keys").alias("key"), F.col("x.pos").alias("pos"))
     # first words that occur again: in another text, or twice in one (copies of a text count once)
     shared = flat.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     inside = keys.where(F.size("keys") > F.size(F.array_distinct("keys"))).select(F.explode("keys").alias("key")).distinct()
     shared = materialise(shared.union(inside).distinct(), "shared")
-    wanted = flat.distinct().join(shared, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    wanted = flat.distinct().join(shared, "key", "left_semi").groupBy("node").agg(F.collect_list(F.struct("pos", "key")).alias("at"))
     wanted = materialise(wanted.join(copies, "node"), "wanted")
 
     def one_text_each(nodes: DataFrame) -> DataFrame:
@@ -281,7 +341,7 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         n = nodes.withColumnRenamed("node", "n")
         return docs.join(n, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("first"))).drop("n", "doc_id", "first").dropDuplicates(["node"])
 
-    kept = one_text_each(wanted.select("node", "first", "keys")).select("node", "text", "keys")
+    kept = one_text_each(wanted.select("node", "first", "at")).select("node", "text", "at.pos", "at.key")
     kept = materialise(kept.mapInArrow(_contexts(min_words, k), "node binary, pos int, key long, right string, left string, ctx binary"), "contexts")
     rows = materialise(kept.groupBy("key", "right", "left", "ctx").agg(F.count(F.lit(1)).alias("n")), "rows")
     large = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group).select("key"), "large")
@@ -291,10 +351,11 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     again = hashed.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
     more = hashed.join(again, "hash", "left_semi").groupBy("ctx").agg(F.transform(F.collect_set("d"), lambda d: F.struct(d.alias("least"), d.alias("most"))).alias("ranges"))
     found = materialise(found.union(more), "found")
-    starts = kept.select("node", "pos", "ctx").join(found, "ctx").select("node", F.explode(F.transform("ranges", lambda r: F.struct((F.col("pos") - r["most"]).alias("a"), (F.col("pos") - r["least"]).alias("b")))).alias("s"))
-    hit = starts.groupBy("node").agg(F.collect_list("s").alias("starts"))
+    packed = F.transform("ranges", lambda r: F.shiftleft((F.col("pos") - r["most"]).cast("long"), 32) + (F.col("pos") - r["least"]))
+    starts = kept.select("node", "pos", "ctx").join(found, "ctx").select("node", packed.alias("s"))
+    hit = starts.groupBy("node").agg(F.flatten(F.collect_list("s")).alias("starts"))
     marked = hit.join(copies.where("copies > 1").select("node", F.lit(True).alias("whole")), "node", "full").join(copies.select("node", "first"), "node")
-    spans = one_text_each(materialise(marked, "marked")).select("node", "text", "starts", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(_spans(min_words), "node binary, spans array<struct<start:long,end:long,n_words:long>>")
+    spans = one_text_each(materialise(marked, "marked")).select("node", "text", F.coalesce("starts", F.array().cast("array<long>")).alias("starts"), F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(_spans(min_words), "node binary, spans array<struct<start:long,end:long,n_words:long>>")
     spans = materialise(spans.where(F.size("spans") > 0), "spans")
     return docs.select("doc_id", "node").join(spans, "node").select("doc_id", F.inline("spans"))
 
