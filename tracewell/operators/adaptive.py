@@ -1,4 +1,4 @@
-"""The adaptive-platform vocabulary: name mentions and trigger rules, as tables that sentences are joined with.
+"""The second vocabulary (adaptive platforms): name mentions and trigger rules, as tables that sentences are joined with.
 
 A rule fires in a sentence that holds its trigger without a negation before it; it then joins every mention of its
 subject types in the sentence with every mention of its object types (or of one named entity).  All rules run over
@@ -23,7 +23,7 @@ NAMES = {
     AA: ("Adaptive Application",),
     ARA: ("ARA",),
     FOUNDATION: ("Adaptive Platform Foundation",),
-    SERVICES: ("Adaptive Platform Service",),
+    SERVICES: ("Adaptive Platform Services",),
     MANIFEST: ("Machine Manifest", "Execution Manifest", "Service Instance Manifest", "Application Design"),
     IF: ("ARA interface", "PSE51", "OSI", "ara::com service interface", "C++ interface", "SOME/IP"),
     PROCESS: ("OS process",),
@@ -33,7 +33,7 @@ NAMES = {
 SPELLINGS = {
     "EM": "Execution Management", "SM": "State Management", "CM": "Communication Management", "DM": "Diagnostic Management", "TS": "Time Synchronization",
     "UCM": "Update and Configuration Management", "PHM": "Platform Health Management", "IAM": "Identity and Access Management", "OS": "Operating System", "NM": "Network Management",
-    "Adaptive Applications": "Adaptive Application", "Adaptive Platform Services": "Adaptive Platform Service", "Execution manifest": "Execution Manifest",
+    "Adaptive Applications": "Adaptive Application", "Adaptive Platform Service": "Adaptive Platform Services", "Execution manifest": "Execution Manifest",
 }
 NEGATION = r"(?i)\b(?:do(?:es)? not|not available|is not|are not|no longer|cannot|may not)\b"
 MENTION, VERB, STRUCTURAL = 0.75, 0.85, 0.90
@@ -49,26 +49,27 @@ class Rule:
     subject_name: str | None = None
     object_name: str | None = None
     ordered: bool = False  # the subject stands before the object
+    fixed: tuple[tuple[str, str], ...] = ()  # objects (type, name) whether or not the sentence names them, if the chunks do
 
 
 # Trigger patterns, directions and confidences.
 RULES = (
     Rule("provides_interface", r"\b(?:provide[sd]?|provides)\b[^.]{0,80}?\binterface[s]?\b", (FC,), (IF,)),
     Rule("runs_on", r"\brun[s]?\s+on(?:\s+top\s+of)?\b", (AA,), (ARA,), STRUCTURAL),
-    Rule("belongs_to", r"\b(?:belong[s]? to|belonging to)\b", (FC,), (FOUNDATION, SERVICES)),
+    Rule("belongs_to", r"\b(?:belong[s]? to|belonging to)\b", (FC,), (), fixed=((FOUNDATION, "Adaptive Platform Foundation"), (SERVICES, "Adaptive Platform Services"))),
     Rule("commands", r"\bcommanding\b", (FC,), (FC,), STRUCTURAL, "State Management", "Execution Management"),
     Rule("interacts_with", r"\b(?:interact[s]? with|interacting with|communication between|coordina(?:te|tes|ting))\b", (FC, AA), (FC, AA), ordered=True),
     Rule("implemented_as", r"\b(?:implemented as|implemented with|realize[sd]? in the form of)\b", (FC, AA), (PROCESS,)),
     Rule("configured_by", r"\b(?:configured in|based on|determined by)\b", (FC, AA, MACHINE), (MANIFEST,)),
-    Rule("uses_interface", r"\buse[sd]?\s+(?:only\s+)?(?:the\s+)?(?:standard\s+)?(?:PSE51|ARA|OS)?\s*(?:as\s+)?(?:OS\s+)?interface[s]?\b|\buse[s]?\s+PSE51\b|\buse[s]?\s+the\s+standard\s+ARA\b", (FC, AA), (IF,)),
+    Rule("uses_interface", r"\b(?:use[sd]?\s+(?:only\s+)?(?:the\s+)?(?:standard\s+)?|use[s]?\s+)?(?:PSE51\s+)?(?:as\s+)?(?:OS\s+)?interface[s]?\b|\buse[s]?\s+PSE51\b|\buse[s]?\s+the\s+standard\s+ARA\b", (FC, AA), (IF,)),
     Rule("provides_service", r"\b(?:provide[s]?\s+service[s]?|provide[s]? such service[s]?|offer[s]?\s+or\s+consume(?:s)?)\b", (AA, FC), (SERVICE,)),
     Rule("updates", r"\b(?:updat(?:e|es|ing))\b", (FC,), (PACKAGE,), VERB, "Update and Configuration Management"),
 )
 
 
 def key(kind, name):
-    """adaptive:<type>:<name in lower case, other characters as one underscore>."""
-    return F.concat(F.lit("adaptive:"), kind, F.lit(":"), F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", ""))
+    """autosar:<type>:<name in lower case, other characters as one underscore>."""
+    return F.concat(F.lit("autosar:"), kind, F.lit(":"), F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", ""))
 
 
 def _spelled() -> dict[str, tuple[str, str]]:
@@ -109,6 +110,13 @@ def relations(chunks: DataFrame, rules: tuple[Rule, ...] = RULES, chunk: str = "
         s = s.where(F.col("name") == r.subject_name) if r.subject_name else s
         o = o.where(F.col("name") == r.object_name) if r.object_name else o
         s = s.select(chunk, "sentence_no", F.col("pos").alias("ps"), F.col("entity_key").alias("subject"))
+        if r.fixed:
+            named_keys = [key(F.lit(k), F.lit(n)) for k, n in r.fixed]
+            held = named.select(F.col("entity_key").alias("object")).distinct()
+            pairs = s.select("*", F.explode(F.array(*named_keys)).alias("object")).join(held, "object", "left_semi")
+            out_ = pairs.select("subject", F.lit(r.predicate).alias("predicate"), "object", F.lit(r.confidence).alias("confidence"), chunk, "sentence_no").distinct()
+            out = out_ if out is None else out.unionByName(out_)
+            continue
         pairs = s.join(o.select(chunk, "sentence_no", F.col("pos").alias("po"), F.col("entity_key").alias("object")), [chunk, "sentence_no"]).where("subject <> object")
         pairs = pairs.where("ps < po") if r.ordered else pairs
         part = pairs.select("subject", F.lit(r.predicate).alias("predicate"), "object", F.lit(r.confidence).alias("confidence"), chunk, "sentence_no").distinct()
