@@ -36,7 +36,7 @@ from .chunkcache import ChunkCache
 from .common import materialise, text_id
 
 K1, B = 1.5, 0.75
-SHARD, BLOCK, QUERIES, DENSE = 10_000, 256, 32_768, 32
+SHARD, BLOCK, QUERIES, DENSE = 5_000, 256, 32_768, 32
 TERMS = 1 << 20  # terms that the queries of a block hold, about
 _WORD = re.compile(r"[^\W_]+").findall
 
