@@ -1,16 +1,17 @@
 """Exact BM25 top-k search with block-max dynamic pruning, per shard, merged exactly (operator 4).
 
-Documents are dealt into shards of about SHARD rows by a hash of their id.  A shard builds an inverted index.  The
-postings of a query's rare terms are added up first; frequent terms stand in a matrix, cut at blocks of BLOCK
-documents, with the largest impact of each term in each block.  A query's bound for a block is the largest sum of rare
-terms in it plus its frequent terms' block maxima; a block is evaluated for a query only if the bound reaches the
-query's floor, the k-th best score of the documents that share most of its rare terms, so nothing that could enter the
-top k is passed over (block-max WAND, with the pivot moved a block at a time and many queries sharing a pass).
+Queries are dealt into blocks of at most about TERMS terms, or QUERIES rows if those are fewer; a block goes to all
+tasks, and each task reads its part of the table once, as shards of at most SHARD rows or POSTINGS postings, so neither
+documents nor queries are shuffled or repeated.  A shard builds an inverted index.  The postings of a query's rare terms
+are added up first; frequent terms stand in a matrix, cut at blocks of BLOCK documents, with the largest impact of each
+term in each block.  A document is evaluated for a query only if its rare terms and the block's maxima of the frequent
+ones reach the query's floor: the k-th best score so far in the task, or among the shard's documents that share most of
+its rare terms.  So nothing that could enter the top k is passed over (block-max WAND, with the pivot moved over a shard's
+documents at once).  Where few documents of a shard remain they are evaluated one by one, else by blocks, many queries
+sharing a product.
 Document frequencies, the number of documents and their mean length are those of the whole table, so scores of
-different shards compare, and the merge of the shards' top k is the exact top k.
+different shards compare, and the merge of the tasks' top k is the exact top k.
 
-Queries are dealt into blocks of QUERIES, or of TERMS terms if those are fewer, and meet each shard once a block: a task
-holds one shard and one block.
 Terms are 64-bit hashes.  Scores are rounded to six places before they are ranked; ties go to the smaller id.
 
 Edge cases: a null or empty text matches nothing and, as a query, returns no row; texts of any length are used whole;
@@ -33,17 +34,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunkcache import ChunkCache
-from .common import materialise, text_id
+from .common import materialise, materialise_blocks, text_id
 
 K1, B = 1.5, 0.75
-SHARD, BLOCK, QUERIES, DENSE = 5_000, 256, 32_768, 32
-TERMS = 1 << 20  # terms that the queries of a block hold, about
+SHARD, BLOCK, QUERIES, DENSE = 4_096, 256, 32_768, 32
+POSTINGS = 1 << 20  # that a shard holds, unless one document alone has more
+CELLS = 1 << 23  # of a shard's matrix of frequent terms
+TERMS = 1 << 20  # terms that the queries of a block hold, about: 16 MB, on the driver and in every worker
 _WORD = re.compile(r"[^\W_]+").findall
 
 
 @lru_cache(maxsize=1)
 def _hashes() -> ChunkCache:
-    return ChunkCache(lambda words: [xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) - (1 << 63) for w in words], 400_000)
+    return ChunkCache(lambda words: [xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) - (1 << 63) for w in words], 200_000)
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -52,7 +55,7 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (b.slice(at, 1_000) for b in batches for at in range(0, b.num_rows, 1_000)):
         ids, counts, lengths = [], [], []
         for text in b.column(2).to_pylist():
             found = Counter(_WORD((text or "").lower()))
@@ -75,6 +78,8 @@ class ShardIndex:
         self.size = np.diff(np.append(self.start, len(terms)))
         self.terms = terms[self.start]
         dense = np.flatnonzero(self.size * DENSE >= n)
+        if len(dense) * n > CELLS:  # the most frequent ones
+            dense = np.sort(dense[np.argsort(-self.size[dense], kind="stable")[: CELLS // n]])
         self.column = np.full(len(self.terms), -1)
         self.column[dense] = np.arange(len(dense))
         self.matrix = np.zeros((n, len(dense)))
@@ -89,11 +94,12 @@ class ShardIndex:
         ends = np.cumsum(size)
         return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-        """For each query (terms, weights), ids and rounded scores of the best k by (score, smaller id); and how many
-        (block, query) pairs were evaluated."""
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, floor: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """For each query (terms, weights), ids and rounded scores of the best k by (score, smaller id), but for documents
+        below its floor; and how many (document, query) pairs were evaluated."""
         n, q = len(self.ids), len(queries)
-        dense, scores = np.zeros((self.matrix.shape[1], q)), np.zeros((n, q))
+        dense, scores, floor = np.zeros((self.matrix.shape[1], q)), np.zeros((q, n)), floor.copy()
+        few = min(n, 4 * k)
         for i, (terms, weights) in enumerate(queries):
             at = np.searchsorted(self.terms, terms)
             has = at < len(self.terms)
@@ -104,50 +110,80 @@ class ShardIndex:
             rare, weights = at[column < 0], weights[column < 0]
             size = self.size[rare]
             posts = self._ranges(self.start[rare], size)
-            scores[:, i] = np.bincount(self.doc[posts], self.impact[posts] * np.repeat(weights, size), n)
-        # the k-th best of the documents that share most rare terms is a first floor
-        floor, few = np.zeros(q), min(n, 4 * k)
-        for i in range(q):
-            best = np.argpartition(scores[:, i], n - few)[n - few :]
-            floor[i] = np.sort(scores[best, i] + self.matrix[best] @ dense[:, i])[-k] if few >= k else 0
-        bound = self.top @ dense + np.maximum.reduceat(scores, self.edges, 0)
-        seen = 0
-        for block in np.argsort(-bound.max(1), kind="stable"):
-            active = np.flatnonzero((bound[block] > 0) & (bound[block] * (1 + 1e-12) >= floor - 1e-6))
-            rows = slice(self.edges[block], min(self.edges[block] + BLOCK, n))
-            skipped = np.ones(q, bool)
-            skipped[active] = False
-            scores[rows, skipped] = 0
-            if len(active):
-                scores[rows, active] += self.matrix[rows] @ dense[:, active]
-                seen += len(active)
+            scores[i] = np.bincount(self.doc[posts], self.impact[posts] * np.repeat(weights, size), n)
+            if few >= k:  # the k-th best of the documents that share most rare terms
+                best = np.argpartition(scores[i], n - few)[n - few :]
+                floor[i] = max(floor[i], np.sort(scores[i, best] + self.matrix[best] @ dense[:, i])[-k])
+        bound = scores + np.repeat((self.top @ dense).T, BLOCK, 1)[:, :n]
+        wanted = (bound > 0) & (bound * (1 + 1e-12) >= floor[:, None] - 1e-6)
+        left = wanted.sum(1)
+        many = left * 16 > n
+        open_ = np.logical_or.reduceat(wanted, self.edges, 1) & many[:, None]
+        for e, block in zip(self.edges, open_.T):
+            if block.any():
+                scores[block, e : e + BLOCK] += (self.matrix[e : e + BLOCK] @ dense[:, block]).T
         out = []
         for i in range(q):
-            column = scores[:, i]
-            least = np.partition(column, n - k)[n - k] if n > k else 0.0
-            found = np.flatnonzero(column > max(least - 1e-6, 0))
-            rounded = np.round(column[found], 6)
-            best = found[np.lexsort((self.ids[found], -rounded))[:k]]
-            out.append((self.ids[best], np.round(column[best], 6)))
-        return out, seen
-
-
-def _search(k: int):
-    def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if docs.num_rows and queries.num_rows:
-            terms, weights = docs.column("terms").combine_chunks(), docs.column("impacts").combine_chunks()
-            index = ShardIndex(docs.column("doc_id").to_numpy(), np.diff(terms.offsets.to_numpy()), terms.flatten().to_numpy(), weights.flatten().to_numpy())
-            qt, qw = queries.column("terms").combine_chunks(), queries.column("weights").combine_chunks()
-            ends, all_t, all_w = qt.offsets.to_numpy(), qt.flatten().to_numpy(), qw.flatten().to_numpy()
-            ends = ends - ends[0]
-            names = list(zip(queries.column("query_id").to_pylist(), queries.column("tid").to_pylist()))
-            for at in range(0, len(names), 32):
-                some = range(at, min(at + 32, len(names)))
-                found, _ = index.search([(all_t[ends[i] : ends[i + 1]], all_w[ends[i] : ends[i + 1]]) for i in some], k)
-                out += [(*names[i], int(d), float(s)) for i, (ids, scores) in zip(some, found) for d, s in zip(ids, scores)]
-        cols = list(zip(*out)) or [(), (), (), ()]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "tid", "doc_id", "score"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))})
+            found = np.flatnonzero(wanted[i])
+            column = scores[i, found]
+            if not many[i] and len(found):
+                column = column + self.matrix[found] @ dense[:, i]
+            least = np.partition(column, len(found) - k)[len(found) - k] if len(found) > k else 0.0
+            near = column > max(least - 1e-6, 0)
+            out.append(_best(self.ids[found[near]], np.round(column[near], 6), k))
+        return out, int(left.sum())
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    best = np.lexsort((ids, -scores))[:k]
+    return ids[best], scores[best]
+
+
+def _shards(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[pa.Table]:
+    """The rows of (doc_id, length, terms, counts), in tables of at most `shard` rows and, with over one row, POSTINGS terms."""
+    held: list[pa.RecordBatch] = []
+    rows = posts = 0
+    for b in batches:
+        ends, at = b.column("terms").offsets.to_numpy(), 0
+        while at < b.num_rows:
+            fit = int(np.searchsorted(ends, ends[at] + POSTINGS - posts, "right")) - 1
+            upto = min(max(fit, at if rows else at + 1), at + shard - rows, b.num_rows)
+            if upto > at:
+                held.append(b.slice(at, upto - at))
+                rows, posts, at = rows + upto - at, posts + int(ends[upto] - ends[at]), upto
+            if at < b.num_rows:
+                yield pa.Table.from_batches(held)
+                held, rows, posts = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _search(asked, k: int, mean: float, shard: int):
+    """asked: a broadcast of ids, content ids, ends of the lists, terms and weights of a block of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tids, ends, all_terms, all_weights = asked.value
+        queries = [(all_terms[a:b], all_weights[a:b]) for a, b in zip(ends, ends[1:])]
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        floor = np.zeros(len(queries))
+        for docs in _shards(batches, shard) if queries else ():
+            terms, counts = docs.column("terms").combine_chunks(), docs.column("counts").combine_chunks().flatten().to_numpy()
+            sizes = np.diff(terms.offsets.to_numpy())
+            norm = K1 * (1 - B + B * docs.column("length").to_numpy() / mean)
+            index = ShardIndex(docs.column("doc_id").to_numpy(), sizes, terms.flatten().to_numpy(), counts / (counts + np.repeat(norm, sizes)))
+            del docs, terms, counts
+            for at in range(0, len(queries), 32):
+                found, _ = index.search(queries[at : at + 32], k, floor[at : at + 32])
+                for i, (d, s) in enumerate(found, at):
+                    if len(d):
+                        best[i] = _best(np.concatenate([best[i][0], d]), np.concatenate([best[i][1], s]), k)
+                        if len(best[i][0]) == k:
+                            floor[i] = best[i][1][-1]
+            del index
+        many = np.array([len(d) for d, _ in best], np.int64)
+        if many.sum():
+            columns = [np.repeat(ids, many), np.repeat(tids, many), np.concatenate([d for d, _ in best]), np.concatenate([s for _, s in best])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "tid", "doc_id", "score"])
 
     return run
 
@@ -163,14 +199,23 @@ def top_k(df: DataFrame, is_query, k: int = 10, doc_id: str = "doc_id", text: st
     found = found.select("query_id", "tid", F.col("x.terms").alias("term"), F.col("x.counts").alias("qtf")).join(df_, "term")
     weight = F.col("qtf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (K1 + 1)
     vectors = found.groupBy("query_id", "tid").agg(F.array_sort(F.collect_list(F.struct("term", weight.alias("weight")))).alias("v"))
-    shards, groups = max(math.ceil(n / shard), 1), max(math.ceil(asked / queries), math.ceil((held or 0) / TERMS), 1)
-    vectors = vectors.select("query_id", "tid", F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"), F.pmod(F.xxhash64("query_id", "tid"), F.lit(groups)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    norm = K1 * (1 - B + B * F.col("length") / mean)
-    # ids are hashed with the content, so that no id draws many rows to a shard
-    indexed = docs.where("doc_id is not null and length > 0").select("doc_id", "terms", F.transform("counts", lambda c: c / (c + norm)).alias("impacts"), F.pmod(F.xxhash64("doc_id", "tid"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    hits = indexed.groupBy("shard", "part").cogroup(vectors.groupBy("shard", "part")).applyInArrow(_search(k), "query_id long, tid long, doc_id long, score double")
+    groups = max(math.ceil(asked / queries), math.ceil((held or 0) / TERMS), 1)
+    part = F.pmod(F.xxhash64("query_id", "tid"), F.lit(groups)).cast("int")
+    vectors = vectors.select("query_id", "tid", F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"), part.alias("part"))
+    vectors = materialise(vectors.sortWithinPartitions("part"), "queries")  # sorted, so that a block reads few row groups
+    searched = docs.where("doc_id is not null and length > 0").select("doc_id", "length", "terms", "counts")
     rank = F.row_number().over(Window.partitionBy("query_id", "tid").orderBy(F.col("score").desc(), "doc_id"))
-    return hits.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+    def blocks() -> Iterator[DataFrame]:
+        for p in range(groups):
+            block = vectors.where(F.col("part") == p).toArrow().combine_chunks()
+            terms, weights = (pa.concat_arrays(block.column(c).chunks or [pa.array([], block.schema.field(c).type)]) for c in ("terms", "weights"))
+            sent = df.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy(), block.column("tid").to_numpy(), np.concatenate([[0], np.cumsum(np.diff(terms.offsets.to_numpy()))]), terms.flatten().to_numpy(), weights.flatten().to_numpy()))
+            hits = searched.mapInArrow(_search(sent, k, mean, shard), "query_id long, tid long, doc_id long, score double")
+            yield hits.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+            sent.destroy()
+
+    return materialise_blocks(df.sparkSession, blocks(), "query_id long, rank long, doc_id long, score double", "hits")
 
 
 def op4_bm25_topk(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import store
+from ..sources.shared import folder, store
 
 #: Unicode White_Space, which the tokenizer libraries call \s (Python's own adds U+001C..1F); for a character class.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -21,6 +24,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return store(df, name)
 
 
+def materialise_blocks(spark: SparkSession, blocks: Iterable[DataFrame], schema: str, name: str) -> DataFrame:
+    """Write one DataFrame after the other to one table of the shared folder and read it back.  The table goes when the
+    application ends."""
+    path = f"{folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    for df in blocks:
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def text_id(text: Column) -> Column:
     """64-bit content id of a text.  Copies share it, so groups of copies fold into one node whatever their ids.
     Two different texts share one with probability 2^-64 a pair: some hundreds of pairs among 10^11 texts."""
