@@ -604,9 +604,15 @@ def khop_ego(spark, sf):
     return graph.k_hop(_facts(spark, sf), _signals(spark, sf), 2, EACH)
 
 
-@query()
+@query(
+    f"""{VERSIONS}, {ADJ}, step AS MATERIALIZED (SELECT DISTINCT version, node, neighbour FROM adj),
+ walk(version, seed, node, length) USING KEY (version, seed, node) AS (SELECT DISTINCT version, node, node, CAST(0 AS BIGINT) FROM adj WHERE node LIKE 'signal:%' UNION
+ SELECT s.version, w.seed, s.neighbour, min(w.length) + 1 FROM walk w JOIN step s ON s.version = w.version AND s.node = w.node
+ LEFT JOIN recurring.walk r ON r.version = s.version AND r.seed = w.seed AND r.node = s.neighbour WHERE r.node IS NULL GROUP BY 1, 2, 3)
+ SELECT version, seed, node, length FROM walk WHERE length > 0"""
+)
 def shortest_path_len(spark, sf):
-    """Lengths from every signal, without a limit, in every version; tested against breadth-first search."""
+    """Lengths from every signal, without a limit, in every version; tested against breadth-first search as well."""
     return graph.shortest_lengths(A.facts(spark, sf), _signals(spark, sf), store, EACH)
 
 
@@ -620,9 +626,15 @@ def shortest_path(spark, sf):
     return found.select("version", "source", "target", "length", F.array_join("path", " ").alias("path"))
 
 
-@query()
+@query(
+    f"""{VERSIONS}, {ENDS}, {ADJ}, links AS MATERIALIZED (SELECT DISTINCT version, node, neighbour FROM adj),
+ smallest(version, entity_key, component) USING KEY (version, entity_key) AS (SELECT version, k, k FROM ends UNION
+ SELECT l.version, l.neighbour, min(w.component) FROM smallest w JOIN links l ON l.version = w.version AND l.node = w.entity_key
+ JOIN recurring.smallest r ON r.version = l.version AND r.entity_key = l.neighbour WHERE w.component < r.component GROUP BY 1, 2)
+ SELECT version, entity_key, component FROM smallest"""
+)
 def components(spark, sf):
-    """Over all predicates, in every version; tested against union-find."""
+    """Over all predicates, in every version; tested against union-find as well."""
     return graph.weak_components(A.facts(spark, sf), store, by=EACH)
 
 
