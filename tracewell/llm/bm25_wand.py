@@ -4,11 +4,12 @@ Queries are dealt into blocks of at most about TERMS terms, or QUERIES rows if t
 tasks, and each task reads its part of the table once, as shards of at most SHARD rows or POSTINGS postings, so neither
 documents nor queries are shuffled or repeated.  A shard builds an inverted index.  The postings of a query's rare terms
 are added up first; frequent terms stand in a matrix, cut at blocks of BLOCK documents, with the largest impact of each
-term in each block.  A document is evaluated for a query only if its rare terms and the block's maxima of the frequent
-ones reach the query's floor: the k-th best score so far in the task, or among the shard's documents that share most of
-its rare terms.  So nothing that could enter the top k is passed over (block-max WAND, with the pivot moved over a shard's
-documents at once).  Where few documents of a shard remain they are evaluated one by one, else by blocks, many queries
-sharing a product.
+term in each block.  Like documents share blocks and like queries follow each other, so that bounds are tight and many
+queries leave out the same blocks.  A block is evaluated for a query only if the most its rare terms add to a document and
+the block's maxima of the frequent ones reach the query's floor, the k-th best score so far in the task; so nothing that
+could enter the top k is passed over (block-max WAND, with the pivot moved over a shard's blocks at once).  An evaluation
+is a product in single precision, for many queries at once; what it can't place below the floor, by its error's bound, is
+summed in double precision, and only such scores are ranked.
 Document frequencies, the number of documents and their mean length are those of the whole table, so scores of
 different shards compare, and the merge of the tasks' top k is the exact top k.
 
@@ -38,9 +39,11 @@ from .common import materialise, materialise_blocks, text_id
 
 K1, B = 1.5, 0.75
 SHARD, BLOCK, QUERIES, DENSE = 4_096, 256, 32_768, 32
+CLUSTERS, CLUSTERED = 8, 256  # groups of like documents in a shard, told apart by so many of its most frequent terms
+TOGETHER = 128  # queries that share a product
 POSTINGS = 1 << 20  # that a shard holds, unless one document alone has more
 CELLS = 1 << 23  # of a shard's matrix of frequent terms
-TERMS = 1 << 20  # terms that the queries of a block hold, about: 16 MB, on the driver and in every worker
+TERMS = 1 << 22  # terms that the queries of a block hold, about: 64 MB, on the driver and in every worker
 _WORD = re.compile(r"[^\W_]+").findall
 
 
@@ -66,72 +69,137 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class ShardIndex:
-    """Postings of a shard by term.  Terms in at least one document of DENSE also stand in a matrix, by document."""
+    """Postings of a shard by term.  Terms in at least one document of DENSE stand in a matrix instead, by document."""
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, impacts: np.ndarray):
         """ids: of the documents; sizes: distinct terms of each; terms, impacts: theirs, one after the other."""
-        self.ids, n = ids, len(ids)
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        order = np.argsort(terms, kind="stable")
-        self.doc, self.impact, terms = doc[order], impacts[order], terms[order]
+        n, order = len(ids), _order(terms)
+        terms, self.impact = terms[order], impacts[order]
         self.start = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.empty(0, np.int64)
         self.size = np.diff(np.append(self.start, len(terms)))
         self.terms = terms[self.start]
+        doc = np.repeat(np.arange(n), sizes)[order]
         dense = np.flatnonzero(self.size * DENSE >= n)
+        frequent = dense[np.argsort(-self.size[dense], kind="stable")]
         if len(dense) * n > CELLS:  # the most frequent ones
-            dense = np.sort(dense[np.argsort(-self.size[dense], kind="stable")[: CELLS // n]])
+            dense = np.sort(frequent[: CELLS // n])
+        moved = np.lexsort((sizes, _alike(self._matrix(frequent[:CLUSTERED], doc, n).astype(np.float32))))  # like documents share blocks
+        place = np.empty(n, np.int64)
+        place[moved] = np.arange(n)
+        self.ids, self.doc = ids[moved], place[doc]
         self.column = np.full(len(self.terms), -1)
         self.column[dense] = np.arange(len(dense))
-        self.matrix = np.zeros((n, len(dense)))
-        for c, t in enumerate(dense):
-            part = slice(self.start[t], self.start[t] + self.size[t])
-            self.matrix[self.doc[part], c] = self.impact[part]
+        self.exact = self._matrix(dense, self.doc, n)
+        self.matrix = self.exact.astype(np.float32)
         self.edges = np.arange(0, n, BLOCK)
-        self.top = np.maximum.reduceat(self.matrix, self.edges, 0) if n else self.matrix  # block maxima
+        self.top = np.array([self.matrix[e : e + BLOCK].max(0) for e in self.edges], np.float32).reshape(len(self.edges), len(dense))  # block maxima
+        self.slack = (len(dense) + 16) * 2.0**-23  # twice the bound of a single-precision sum's relative error, all terms being positive
+
+    def _matrix(self, columns: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        posts, out = self._ranges(self.start[columns], self.size[columns]), np.zeros((n, len(columns)))
+        out[doc[posts], np.repeat(np.arange(len(columns)), self.size[columns])] = self.impact[posts]
+        return out
 
     @staticmethod
     def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
         ends = np.cumsum(size)
         return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
+    def lookup(self, terms: np.ndarray) -> np.ndarray:
+        """The place of each term among the shard's, or -1."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
+
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, floor: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-        """For each query (terms, weights), ids and rounded scores of the best k by (score, smaller id), but for documents
-        below its floor; and how many (document, query) pairs were evaluated."""
-        n, q = len(self.ids), len(queries)
-        dense, scores, floor = np.zeros((self.matrix.shape[1], q)), np.zeros((q, n)), floor.copy()
-        few = min(n, 4 * k)
-        for i, (terms, weights) in enumerate(queries):
-            at = np.searchsorted(self.terms, terms)
-            has = at < len(self.terms)
-            has[has] = self.terms[at[has]] == terms[has]
-            at, weights = at[has], weights[has]
-            column = self.column[at]
-            dense[column[column >= 0], i] = weights[column >= 0]
-            rare, weights = at[column < 0], weights[column < 0]
-            size = self.size[rare]
-            posts = self._ranges(self.start[rare], size)
-            scores[i] = np.bincount(self.doc[posts], self.impact[posts] * np.repeat(weights, size), n)
-            if few >= k:  # the k-th best of the documents that share most rare terms
-                best = np.argpartition(scores[i], n - few)[n - few :]
-                floor[i] = max(floor[i], np.sort(scores[i, best] + self.matrix[best] @ dense[:, i])[-k])
-        bound = scores + np.repeat((self.top @ dense).T, BLOCK, 1)[:, :n]
-        wanted = (bound > 0) & (bound * (1 + 1e-12) >= floor[:, None] - 1e-6)
-        left = wanted.sum(1)
-        many = left * 16 > n
-        open_ = np.logical_or.reduceat(wanted, self.edges, 1) & many[:, None]
+        """`search_places` for queries given as (terms, weights)."""
+        ends = np.cumsum([0, *(len(t) for t, _ in queries)])
+        terms, weights = (np.concatenate([q[x] for q in queries]) for x in (0, 1))
+        return self.search_places(self.lookup(terms), weights, ends, k, floor)
+
+    def search_places(self, at: np.ndarray, weights: np.ndarray, ends: np.ndarray, k: int, floor: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """For each query (places of terms and weights, one query after the other, with their ends), ids and rounded scores of
+        the best k by (score, smaller id), but for documents below its floor; and how many (document, query) pairs were
+        evaluated."""
+        n, q = len(self.ids), len(ends) - 1
+        who, has = np.repeat(np.arange(q), np.diff(ends)), at >= 0
+        at, weights, who = at[has], weights[has], who[has]
+        column = self.column[at]
+        common = column >= 0
+        dense = np.zeros((q, self.matrix.shape[1]))
+        dense[who[common], column[common]] = weights[common]
+        at, weights, who = at[~common], weights[~common], who[~common]
+        rare, cut = np.empty((q, n)), np.searchsorted(who, np.append(np.arange(0, q, 16), q))
+        for first, a, b in zip(range(0, q, 16), cut, cut[1:]):  # few at once, so that arrays stay in the cache
+            size = self.size[at[a:b]]
+            posts = self._ranges(self.start[at[a:b]], size)
+            cells = self.doc[posts] + np.repeat((who[a:b] - first) * n, size)
+            part = rare[first : first + 16]
+            part[:] = np.bincount(cells, self.impact[posts] * np.repeat(weights[a:b], size), part.size).reshape(part.shape)
+        scores, single = rare.astype(np.float32), dense.astype(np.float32)
+        least = ((floor - 1e-6) * (1 - self.slack)).astype(np.float32)
+        bound = np.maximum.reduceat(scores, self.edges, 1) + single @ self.top.T
+        open_ = (bound >= least[:, None]) & (bound > 0)
         for e, block in zip(self.edges, open_.T):
-            if block.any():
-                scores[block, e : e + BLOCK] += (self.matrix[e : e + BLOCK] @ dense[:, block]).T
+            if block.mean() > 0.8:  # rows of closed blocks then are whole sums, below the floor too
+                scores[:, e : e + BLOCK] += single @ self.matrix[e : e + BLOCK].T
+            elif block.any():
+                scores[block, e : e + BLOCK] += single[block] @ self.matrix[e : e + BLOCK].T
+        seen = int((open_.sum(0) * np.diff(np.append(self.edges, n))).sum())
+        wanted = (scores >= least[:, None]) & (scores > 0)  # a closed block's sums lack frequent terms, but are below the floor
+        for i in np.flatnonzero(wanted.sum(1) > 2 * k):
+            kth = float(np.partition(scores[i], n - k)[n - k])
+            wanted[i] &= scores[i] >= (kth * (1 - self.slack) - 1e-6) * (1 - self.slack)
+        rows, found = np.nonzero(wanted)
+        score = rare[rows, found]
+        cut = np.searchsorted(rows, np.arange(q + 1))
         out = []
-        for i in range(q):
-            found = np.flatnonzero(wanted[i])
-            column = scores[i, found]
-            if not many[i] and len(found):
-                column = column + self.matrix[found] @ dense[:, i]
-            least = np.partition(column, len(found) - k)[len(found) - k] if len(found) > k else 0.0
-            near = column > max(least - 1e-6, 0)
-            out.append(_best(self.ids[found[near]], np.round(column[near], 6), k))
-        return out, int(left.sum())
+        for i, (a, b) in enumerate(zip(cut, cut[1:])):
+            for x in range(a, b, 512):
+                some = slice(x, min(x + 512, b))
+                score[some] += np.einsum("ij,j->i", self.exact[found[some]], dense[i])
+            out.append(_best(self.ids[found[a:b]], np.round(score[a:b], 6), k) if b > a else (self.ids[:0], score[:0]))
+        return out, seen
+
+
+def _order(terms: np.ndarray) -> np.ndarray:
+    """An order that sorts the terms.  Keys of a term's upper bits and its place sort much faster than places by terms."""
+    low = (1 << len(terms).bit_length()) - 1
+    order = np.sort(terms & ~low | np.arange(len(terms))) & low
+    sorted_ = terms[order]
+    return np.argsort(terms) if (sorted_[1:] < sorted_[:-1]).any() else order  # terms that differ in lower bits only
+
+
+def _by_likeness(ends: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """An order of queries (terms and weights, one after the other) in which like ones follow each other, so that they leave
+    out the same blocks."""
+    vocabulary, place, times = np.unique(terms, return_inverse=True, return_counts=True)
+    column = np.full(len(vocabulary), -1)
+    frequent = np.argsort(-times, kind="stable")[:CLUSTERED]
+    column[frequent] = np.arange(len(frequent))
+    sizes, column = np.diff(ends), column[place]
+    matrix, has = np.zeros((len(sizes), len(frequent)), np.float32), column >= 0
+    matrix[np.repeat(np.arange(len(sizes)), sizes)[has], column[has]] = np.log1p(weights[has])
+    return np.lexsort((sizes, _alike(matrix)))
+
+
+def _alike(matrix: np.ndarray) -> np.ndarray:
+    """A group for each row: of the nearest by cosine of CLUSTERS centres, which start far from each other."""
+    if not matrix.size:
+        return np.zeros(len(matrix), np.int64)
+    length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+    unit = matrix / np.maximum(length, 1e-30)[:, None]
+    usual = length >= np.median(length)
+    centres, near = unit[[length.argmax()]], np.full(len(unit), -1, np.float32)
+    for _ in range(CLUSTERS - 1):
+        near = np.maximum(near, unit @ centres[-1])
+        centres = np.concatenate([centres, unit[[np.where(usual, near, 2).argmin()]]])
+    for _ in range(3):
+        group = (unit @ centres.T).argmax(1)
+        sums = np.eye(CLUSTERS, dtype=np.float32)[group].T @ unit
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-30)[:, None]
+    return (unit @ centres.T).argmax(1)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,17 +231,21 @@ def _search(asked, k: int, mean: float, shard: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tids, ends, all_terms, all_weights = asked.value
-        queries = [(all_terms[a:b], all_weights[a:b]) for a, b in zip(ends, ends[1:])]
-        best = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
-        floor = np.zeros(len(queries))
-        for docs in _shards(batches, shard) if queries else ():
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
+        floor = np.zeros(len(ids))
+        vocabulary, place = np.unique(all_terms, return_inverse=True)
+        place = place.astype(np.int32)
+        for docs in _shards(batches, shard) if len(ids) else ():
             terms, counts = docs.column("terms").combine_chunks(), docs.column("counts").combine_chunks().flatten().to_numpy()
             sizes = np.diff(terms.offsets.to_numpy())
             norm = K1 * (1 - B + B * docs.column("length").to_numpy() / mean)
             index = ShardIndex(docs.column("doc_id").to_numpy(), sizes, terms.flatten().to_numpy(), counts / (counts + np.repeat(norm, sizes)))
             del docs, terms, counts
-            for at in range(0, len(queries), 32):
-                found, _ = index.search(queries[at : at + 32], k, floor[at : at + 32])
+            places = index.lookup(vocabulary)
+            for at in range(0, len(ids), TOGETHER):
+                cut = ends[at : at + TOGETHER + 1]
+                part = slice(cut[0], cut[-1])
+                found, _ = index.search_places(places[place[part]], all_weights[part], cut - cut[0], k, floor[at : at + TOGETHER])
                 for i, (d, s) in enumerate(found, at):
                     if len(d):
                         best[i] = _best(np.concatenate([best[i][0], d]), np.concatenate([best[i][1], s]), k)
@@ -210,7 +282,10 @@ def top_k(df: DataFrame, is_query, k: int = 10, doc_id: str = "doc_id", text: st
         for p in range(groups):
             block = vectors.where(F.col("part") == p).toArrow().combine_chunks()
             terms, weights = (pa.concat_arrays(block.column(c).chunks or [pa.array([], block.schema.field(c).type)]) for c in ("terms", "weights"))
-            sent = df.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy(), block.column("tid").to_numpy(), np.concatenate([[0], np.cumsum(np.diff(terms.offsets.to_numpy()))]), terms.flatten().to_numpy(), weights.flatten().to_numpy()))
+            ends = np.concatenate([[0], np.cumsum(np.diff(terms.offsets.to_numpy()))])
+            order = _by_likeness(ends, terms.flatten().to_numpy(), weights.flatten().to_numpy())
+            sizes, places = np.diff(ends)[order], ShardIndex._ranges(ends[:-1][order], np.diff(ends)[order])
+            sent = df.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy()[order], block.column("tid").to_numpy()[order], np.concatenate([[0], np.cumsum(sizes)]), terms.flatten().to_numpy()[places], weights.flatten().to_numpy()[places]))
             hits = searched.mapInArrow(_search(sent, k, mean, shard), "query_id long, tid long, doc_id long, score double")
             yield hits.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
             sent.destroy()
