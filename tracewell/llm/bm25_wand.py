@@ -172,13 +172,13 @@ def _order(terms: np.ndarray) -> np.ndarray:
 
 
 def _by_likeness(ends: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """An order of queries (terms and weights, one after the other) in which like ones follow each other, so that they leave
+    """An order of queries (numbers of terms and weights, one after the other) in which like ones follow each other, so that they leave
     out the same blocks."""
-    vocabulary, place, times = np.unique(terms, return_inverse=True, return_counts=True)
-    column = np.full(len(vocabulary), -1)
+    times = np.bincount(terms)
+    column = np.full(len(times), -1)
     frequent = np.argsort(-times, kind="stable")[:CLUSTERED]
     column[frequent] = np.arange(len(frequent))
-    sizes, column = np.diff(ends), column[place]
+    sizes, column = np.diff(ends), column[terms]
     matrix, has = np.zeros((len(sizes), len(frequent)), np.float32), column >= 0
     matrix[np.repeat(np.arange(len(sizes)), sizes)[has], column[has]] = np.log1p(weights[has])
     return np.lexsort((sizes, _alike(matrix)))
@@ -227,14 +227,12 @@ def _shards(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[pa.Table]
 
 
 def _search(asked, k: int, mean: float, shard: int):
-    """asked: a broadcast of ids, content ids, ends of the lists, terms and weights of a block of queries."""
+    """asked: a broadcast of ids, content ids, ends of the lists, distinct terms, places in these and weights of a block of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tids, ends, all_terms, all_weights = asked.value
+        ids, tids, ends, vocabulary, place, all_weights = asked.value
         best = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
         floor = np.zeros(len(ids))
-        vocabulary, place = np.unique(all_terms, return_inverse=True)
-        place = place.astype(np.int32)
         for docs in _shards(batches, shard) if len(ids) else ():
             terms, counts = docs.column("terms").combine_chunks(), docs.column("counts").combine_chunks().flatten().to_numpy()
             sizes = np.diff(terms.offsets.to_numpy())
@@ -283,9 +281,10 @@ def top_k(df: DataFrame, is_query, k: int = 10, doc_id: str = "doc_id", text: st
             block = vectors.where(F.col("part") == p).toArrow().combine_chunks()
             terms, weights = (pa.concat_arrays(block.column(c).chunks or [pa.array([], block.schema.field(c).type)]) for c in ("terms", "weights"))
             ends = np.concatenate([[0], np.cumsum(np.diff(terms.offsets.to_numpy()))])
-            order = _by_likeness(ends, terms.flatten().to_numpy(), weights.flatten().to_numpy())
+            vocabulary, place = np.unique(terms.flatten().to_numpy(), return_inverse=True)
+            order = _by_likeness(ends, place, weights.flatten().to_numpy())
             sizes, places = np.diff(ends)[order], ShardIndex._ranges(ends[:-1][order], np.diff(ends)[order])
-            sent = df.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy()[order], block.column("tid").to_numpy()[order], np.concatenate([[0], np.cumsum(sizes)]), terms.flatten().to_numpy()[places], weights.flatten().to_numpy()[places]))
+            sent = df.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy()[order], block.column("tid").to_numpy()[order], np.concatenate([[0], np.cumsum(sizes)]), vocabulary, place[places].astype(np.int32), weights.flatten().to_numpy()[places]))
             hits = searched.mapInArrow(_search(sent, k, mean, shard), "query_id long, tid long, doc_id long, score double")
             yield hits.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
             sent.destroy()
