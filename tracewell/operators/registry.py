@@ -64,7 +64,12 @@ def sole_owner(requires: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ())
 def scores(predicted: DataFrame, gold: DataFrame, key: str, by: str, per: tuple[str, ...] = ()) -> DataFrame:
     """per, by, tp, fp, fn, precision, recall, f1 (0 where undefined, four places)."""
     both = predicted.select(*per, by, key).distinct().withColumn("p", F.lit(1)).join(gold.select(*per, by, key).distinct().withColumn("g", F.lit(1)), [*per, by, key], "full_outer")
-    n = both.groupBy(*per, by).agg(F.count_if(F.expr("p = 1 and g = 1")).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    return scores_of(both.withColumn("side", F.when(F.col("g").isNull(), "base").when(F.col("p").isNull(), "target").otherwise("both")), by, per)
+
+
+def scores_of(sides: DataFrame, by: str, per: tuple[str, ...] = ()) -> DataFrame:
+    """`scores` of keys whose side is known: 'base' (predicted only), 'target' (gold only) or 'both'."""
+    n = sides.groupBy(*per, by).agg(*[F.count_if(F.col("side") == side).alias(name) for side, name in (("both", "tp"), ("base", "fp"), ("target", "fn"))])
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return n.select(*per, by, "tp", "fp", "fn", F.bround(p, 4).alias("precision"), F.bround(r, 4).alias("recall"), F.bround(ratio(2 * p * r, p + r), 4).alias("f1"))
