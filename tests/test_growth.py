@@ -3,10 +3,11 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import diff, findings, graph
+from tracewell.operators import diff, findings, graph, retrieval
 from tracewell.sources.shared import store
 
 FACT = "version string, subject string, predicate string, object string, object_value string, confidence double, fact_key string"
@@ -112,3 +113,13 @@ def test_evidence_of_facts_without_provenance_reads_no_facts(spark):
     found = store(findings.run(f, e, "version", by=("version",)))
     rows_ = findings.evidence(found, f.unionByName(f), e, ("version",)).where("kind = 'fact'")
     assert rows_.count() == found.select(F.explode("fact_keys")).count() > 0 and rows_.where("provenance is not null").isEmpty()
+
+
+def test_words_of_few_texts_are_held_at_once():
+    texts = [f"word{i} and again word{i} {i % 7}" for i in range(1_300)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(1_300)), pa.array(["d"] * 1_300), pa.array(texts)], names=["chunk_id", "document_name", "text"])
+    out = list(retrieval._terms(iter([whole])))
+    assert max(b.num_rows for b in out) <= retrieval.TEXTS and [x for b in out for x in b.column("chunk_id").to_pylist()] == list(range(1_300))
+    assert out[-1].column("terms").to_pylist()[-1] == ["word1299", "again", "4"] and out[-1].column("tf").to_pylist()[-1] == [2, 1, 1]
+    vectors = list(retrieval._embed(iter([whole.select([0, 2])])))
+    assert max(b.num_rows for b in vectors) <= retrieval.TEXTS and sum(b.num_rows for b in vectors) == 1_300

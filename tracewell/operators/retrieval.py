@@ -54,8 +54,17 @@ def query_terms(questions: DataFrame) -> DataFrame:
 # --- the index: terms of each chunk, and what is known of all ------------------------------------------------------------
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+TEXTS = 512  # texts whose words are held at once, however many rows a batch has
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        for at in range(0, b.num_rows, TEXTS):
+            yield b.slice(at, TEXTS)
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _cut(batches):
         counted = [Counter(t for t in _TERM.findall((x or "").lower()) if t not in _STOP) for x in b.column("text").to_pylist()]
         ends = np.concatenate([[0], np.cumsum([len(c) for c in counted])]).astype(np.int32)
         terms = pa.array([t for c in counted for t in c], pa.string())
@@ -277,7 +286,7 @@ def embed(text: str | None) -> np.ndarray:
 
 
 def _embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _cut(batches):
         v = np.concatenate([embed(t) for t in b.column(1).to_pylist()] or [np.empty(0)])
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * DIM, pa.int32()), pa.array(v))], names=["key", "vector"])
 
